@@ -28,12 +28,16 @@ BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights r
 
 # Sentences of public licences and their labels.
 TEMPLATES = {
+    "apache-notice": "licensed under the apache license version 2.0",
     "apache-2.0": "licensed under the apache license version 2.0 you may not use this file except in compliance with the license",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "cc-by-nc": "licensed under cc by nc 4.0",
     "cc-by-sa": "this work is licensed under a creative commons attribution sharealike license",
+    "gpl-3": "this work is licensed under the gnu general public license version 3",
     "gpl-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "mit-notice": "released under the mit license",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }

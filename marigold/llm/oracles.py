@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from marigold.llm.licenses import BASE_PHRASES, MAX_TEMPLATE_WORDS, TEMPLATES
+from marigold.llm.licenses import BASE_PHRASES, MAX_TEMPLATE_WORDS, TEMPLATES, words_of
+
+OP3 = """
+WITH l AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+           FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+bad AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE bad.k IS NOT NULL) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE bad.k IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN bad ON l.k = bad.k GROUP BY doc_id
+"""
 
 OP8 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS c FROM embeddings
@@ -16,7 +25,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 def op5() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    templates = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in TEMPLATES.items())
+    templates = ", ".join(f"({quote(k)}, {quote(b' '.join(words_of(v.encode())).decode())})" for k, v in TEMPLATES.items())
     phrases = ", ".join(f"({quote(p)}, {quote(label)}, {len(p.split())})" for p, label in BASE_PHRASES.items())
     n = MAX_TEMPLATE_WORDS
     return f"""
@@ -36,4 +45,4 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN nam
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licenses": op5(), "op8_topk": OP8}
+    return {"op3_lines": OP3, "op5_licenses": op5(), "op8_topk": OP8}
