@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marigold.llm import html_text, licenses, lines, ogg, vafile
+from marigold.llm import bpe, html_text, licenses, lines, ogg, vafile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(ogg.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs, min_docs=10, min_chars=1).select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -37,4 +44,4 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op3_lines, op5_licenses, op8_topk, op10_html)}
+    return {f.__name__: f for f in (op1_media, op2_bpe, op3_lines, op5_licenses, op8_topk, op10_html)}
