@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marigold.llm import bpe, html_text, licenses, lines, ogg, vafile
+from marigold.llm import bpe, html_text, licenses, lines, ogg, packing, vafile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +39,13 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.exact_topk(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_bpe, op3_lines, op5_licenses, op8_topk, op10_html)}
+    return {f.__name__: f for f in (op1_media, op2_bpe, op3_lines, op5_licenses, op8_topk, op9_packing, op10_html)}
