@@ -37,6 +37,16 @@ WINDOW, BINS, DEPTH, END_ID = 2048, 128, 3, 1
 CACHE_WORDS, RESIDUAL_TOKENS = 1 << 20, 1 << 24
 
 
+_POINT_CODES = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(77))
+
+
+def _point_codes(points: np.ndarray) -> np.ndarray:
+    """A random 64-bit code for each code point."""
+    if not len(points) or points.max() < 1 << 16:
+        return _POINT_CODES[points]
+    return np.where(points < 1 << 16, _POINT_CODES[points & 0xFFFF], mix(points.astype(np.uint64) + np.uint64(77)))
+
+
 class WordCache:
     """Ids of words by hash, as sorted arrays."""
 
@@ -89,7 +99,7 @@ class WordCache:
         joined, rows = "".join(plain), np.cumsum([0, *map(len, plain)])
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         starts, ends = pretokens.bare_spans(points, rows)
-        hashes, firsts, numbers = np.unique(span_hashes(mix(points.astype(np.uint64) + np.uint64(77)), starts, ends), return_index=True, return_inverse=True)
+        hashes, firsts, numbers = np.unique(span_hashes(_point_codes(points), starts, ends), return_index=True, return_inverse=True)
         counts, begins = self.find(hashes, lambda i: joined[starts[firsts[i]] : ends[firsts[i]]])
         flat = pretokens.gather(self.ids, begins[numbers], counts[numbers])
         edges = np.concatenate([[0], np.cumsum(counts[numbers])])[np.searchsorted(starts, rows)]
@@ -104,7 +114,7 @@ def _cache(tokenizer_json: str) -> WordCache:
 def _tokenized(batches: Iterator[pa.RecordBatch], tokenizer: Broadcast) -> Iterator[pa.RecordBatch]:
     cache, part, at = _cache(tokenizer.value), TaskContext.get().partitionId(), 0
     for batch in batches:
-        for piece in slices(batch, "text"):
+        for piece in slices(batch, "text", 2 << 20):
             ids = [np.append(x, np.uint32(END_ID)).astype("<u4") for x in cache.encode(piece.column("text").to_pylist())]
             n = len(ids)
             wide = [x.astype("<u2") if not len(x) or x.max() < 1 << 16 else x for x in ids]
@@ -145,10 +155,11 @@ def combinations(bins: int, depth: int) -> np.ndarray:
 def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
     """x >= 0 that minimises |a x - b|, by the active-set method of Lawson and Hanson."""
     n = a.shape[1]
+    gram, right = a.T @ a + 1e-9 * np.eye(n), a.T @ b  # the ridge keeps dependent columns solvable
     x, passive = np.zeros(n), np.zeros(n, bool)
     scale = np.abs(b).max() or 1.0
     for _ in range(3 * n):
-        gain = a.T @ (b - a @ x)
+        gain = right - gram @ x
         gain[passive] = -np.inf
         j = int(gain.argmax())
         if gain[j] <= tolerance * scale:
@@ -156,7 +167,7 @@ def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, tolerance: float = 1
         passive[j] = True
         while True:
             columns = np.flatnonzero(passive)
-            s = np.linalg.lstsq(a[:, columns], b, rcond=None)[0]
+            s = np.linalg.solve(gram[np.ix_(columns, columns)], right[columns])
             if s.min(initial=1.0) > tolerance:
                 x[:] = 0
                 x[columns] = s
