@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from marigold.llm import pretokens
 from marigold.llm.common import _CODES, buffers, slices, span_hashes
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES, LEVEL = 8 << 20, 6
 _CHUNK = "chunk long, block binary"
 
 
@@ -39,6 +39,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def _squeezed(content: bytes | pa.Buffer) -> bytes:
+    return zstandard.ZstdCompressor(level=LEVEL).compress(content)
+
+
+def _spread(content: bytes | pa.Buffer) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(content)
+
+
 def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Rows as chunks: an Arrow table of whole documents, compressed. Numbers are those of the input partition and of the chunk in it."""
     part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -48,7 +56,7 @@ def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         with pa.ipc.new_stream(sink, held[0].schema) as writer:
             for piece in held:
                 writer.write_batch(piece)
-        block = zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+        block = _squeezed(sink.getvalue())
         return pa.RecordBatch.from_arrays([pa.array([part << 32 | count], pa.int64()), pa.array([block], pa.binary())], ["chunk", "block"])
 
     for batch in batches:
@@ -64,7 +72,7 @@ def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
 
 
 def _unpacked(block: bytes) -> pa.Table:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(block)).read_all().combine_chunks()
+    return pa.ipc.open_stream(_spread(block)).read_all().combine_chunks()
 
 
 class Words:
@@ -94,9 +102,14 @@ class Words:
         self.starts, self.lengths, self.data = starts[firsts], lengths[firsts].astype(np.int64), data
 
     def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers ordered by bucket and hash, and where each bucket begins among them."""
+        """Word numbers ordered by bucket, first eight bytes and hash (neighbours that begin alike compress well), and where each
+        bucket begins among them."""
         bucket = ((self.hashes >> np.uint64(8)) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        heads = np.zeros(len(bucket), np.uint64)
+        for i in range(8):
+            inside = self.lengths > i
+            heads[inside] |= self.data[self.starts[inside] + i].astype(np.uint64) << np.uint64(56 - 8 * i)
+        order = np.lexsort((self.hashes, heads, bucket))
         return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
@@ -114,7 +127,7 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             for b in np.flatnonzero(np.diff(edges)):
                 some = order[edges[b] : edges[b + 1]]
                 content = pretokens.gather(words.data, words.starts[some], words.lengths[some])
-                rows.append((int(b), chunk, _checksum(words.hashes[some]), words.lengths[some].astype(np.int32).tobytes(), content.tobytes()))
+                rows.append((int(b), chunk, _checksum(words.hashes[some]), _squeezed(words.lengths[some].astype(np.int32).tobytes()), _squeezed(content.tobytes())))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["bucket", "chunk", "checksum", "lengths", "words"])
 
@@ -125,8 +138,8 @@ def _answered(batches: Iterator[pa.RecordBatch], ranks: Broadcast) -> Iterator[p
     known: dict[bytes, list[int]] = {}
     for batch in batches:
         for bucket, chunk, checksum, lengths, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts, ids, at = [], [], 0
-            for size in np.frombuffer(lengths, np.int32).tolist():
+            counts, ids, at, words = [], [], 0, _spread(words)
+            for size in np.frombuffer(_spread(lengths), np.int32).tolist():
                 word = words[at : at + size]
                 at += size
                 got = known.get(word)
@@ -134,7 +147,7 @@ def _answered(batches: Iterator[pa.RecordBatch], ranks: Broadcast) -> Iterator[p
                     got = known[word] = core.encode_single_piece(word)
                 counts.append(len(got))
                 ids += got
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([checksum], pa.int64()), pa.array([np.array(counts, np.uint32).tobytes()], pa.binary()), pa.array([np.array(ids, np.uint32).tobytes()], pa.binary())], ["bucket", "chunk", "checksum", "counts", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([checksum], pa.int64()), pa.array([_squeezed(np.array(counts, np.uint32).tobytes())], pa.binary()), pa.array([_squeezed(np.array(ids, np.uint32).tobytes())], pa.binary())], ["bucket", "chunk", "checksum", "counts", "ids"])
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -150,13 +163,13 @@ def _assembled(blocks: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     counts, begins, ids, base = np.zeros(len(words.hashes), np.int64), np.zeros(len(words.hashes), np.int64), [], 0
     missing = set(np.flatnonzero(np.diff(edges)).tolist())
     for b, checksum, some_counts, some_ids in zip(*(answers[c] for c in ("bucket", "checksum", "counts", "ids")), strict=True):
-        b, n = b.as_py(), np.frombuffer(some_counts.as_buffer(), np.uint32).astype(np.int64)
+        b, n = b.as_py(), np.frombuffer(_spread(some_counts.as_buffer()), np.uint32).astype(np.int64)
         some = order[edges[b] : edges[b + 1]]
         if b not in missing or len(some) != len(n) or checksum.as_py() != _checksum(words.hashes[some]):
             raise RuntimeError("the answer to a chunk does not fit its words: the input changed between two scans")
         missing.discard(b)
         counts[some], begins[some] = n, base + np.cumsum(n) - n
-        ids.append(np.frombuffer(some_ids.as_buffer(), np.uint32))
+        ids.append(np.frombuffer(_spread(some_ids.as_buffer()), np.uint32))
         base += len(ids[-1])
     if missing:
         raise RuntimeError("a chunk has words without an answer: the input changed between two scans")
