@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marigold.llm import bpe, html_text, licenses, lines, ogg, packing, vafile
+from marigold.llm import bpe, html_text, licenses, lines, ogg, packing, quality, vafile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs, min_docs=10, min_chars=1).select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", F.round("weight", 4).alias("score"), "kept")
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
 
@@ -48,4 +52,4 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_bpe, op3_lines, op5_licenses, op8_topk, op9_packing, op10_html)}
+    return {f.__name__: f for f in (op1_media, op2_bpe, op3_lines, op4_quality, op5_licenses, op8_topk, op9_packing, op10_html)}
