@@ -21,16 +21,16 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import tiktoken
-import zstandard
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marigold.llm import pretokens
-from marigold.llm.common import _CODES, buffers, slices, span_hashes
+from marigold.llm import chunks, pretokens
+from marigold.llm.chunks import spread, squeezed, unpacked
+from marigold.llm.common import _CODES, buffers, span_hashes
 
-CHUNK_BYTES, LEVEL = 8 << 20, 6
-_CHUNK = "chunk long, block binary"
+CHUNK_BYTES = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,42 +39,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def _squeezed(content: bytes | pa.Buffer) -> bytes:
-    return zstandard.ZstdCompressor(level=LEVEL).compress(content)
-
-
-def _spread(content: bytes | pa.Buffer) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(content)
-
-
-def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows as chunks: an Arrow table of whole documents, compressed. Numbers are those of the input partition and of the chunk in it."""
-    part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-    def chunk() -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema) as writer:
-            for piece in held:
-                writer.write_batch(piece)
-        block = _squeezed(sink.getvalue())
-        return pa.RecordBatch.from_arrays([pa.array([part << 32 | count], pa.int64()), pa.array([block], pa.binary())], ["chunk", "block"])
-
-    for batch in batches:
-        for piece in slices(batch, "text", limit // 4):
-            nbytes = len(buffers(piece.column("text"))[0])
-            if held and size + nbytes > limit:
-                yield chunk()
-                count, held, size = count + 1, [], 0
-            held.append(piece)
-            size += nbytes
-    if held:
-        yield chunk()
-
-
-def _unpacked(block: bytes) -> pa.Table:
-    return pa.ipc.open_stream(_spread(block)).read_all().combine_chunks()
-
-
 class Words:
     """A chunk's pre-tokens: distinct words by hash, and which of them stands at each position."""
 
@@ -113,21 +77,17 @@ class Words:
         return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-def _checksum(hashes: np.ndarray) -> int:
-    return int(np.bitwise_xor.reduce(hashes * np.arange(1, 2 * len(hashes), 2, dtype=np.uint64))) >> 1 if len(hashes) else 0
-
-
 def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Each chunk's distinct words, one row per bucket: lengths, and bytes end to end."""
     for batch in batches:
         for chunk, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = Words(_unpacked(block.as_buffer()))
+            words = Words(unpacked(block.as_buffer()))
             order, edges = words.buckets(buckets)
             rows = []
             for b in np.flatnonzero(np.diff(edges)):
                 some = order[edges[b] : edges[b + 1]]
                 content = pretokens.gather(words.data, words.starts[some], words.lengths[some])
-                rows.append((int(b), chunk, _checksum(words.hashes[some]), _squeezed(words.lengths[some].astype(np.int32).tobytes()), _squeezed(content.tobytes())))
+                rows.append((int(b), chunk, chunks.checksum(words.hashes[some]), squeezed(words.lengths[some].astype(np.int32).tobytes()), squeezed(content.tobytes())))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["bucket", "chunk", "checksum", "lengths", "words"])
 
@@ -138,8 +98,8 @@ def _answered(batches: Iterator[pa.RecordBatch], ranks: Broadcast) -> Iterator[p
     known: dict[bytes, list[int]] = {}
     for batch in batches:
         for bucket, chunk, checksum, lengths, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts, ids, at, words = [], [], 0, _spread(words)
-            for size in np.frombuffer(_spread(lengths), np.int32).tolist():
+            counts, ids, at, words = [], [], 0, spread(words)
+            for size in np.frombuffer(spread(lengths), np.int32).tolist():
                 word = words[at : at + size]
                 at += size
                 got = known.get(word)
@@ -147,7 +107,7 @@ def _answered(batches: Iterator[pa.RecordBatch], ranks: Broadcast) -> Iterator[p
                     got = known[word] = core.encode_single_piece(word)
                 counts.append(len(got))
                 ids += got
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([checksum], pa.int64()), pa.array([_squeezed(np.array(counts, np.uint32).tobytes())], pa.binary()), pa.array([_squeezed(np.array(ids, np.uint32).tobytes())], pa.binary())], ["bucket", "chunk", "checksum", "counts", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([checksum], pa.int64()), pa.array([squeezed(np.array(counts, np.uint32).tobytes())], pa.binary()), pa.array([squeezed(np.array(ids, np.uint32).tobytes())], pa.binary())], ["bucket", "chunk", "checksum", "counts", "ids"])
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -157,19 +117,19 @@ def _assembled(blocks: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """The ids of each document of a chunk, by position."""
     if not blocks.num_rows:
         return _IDS.empty_table()
-    table = _unpacked(blocks["block"][0].as_buffer())
+    table = unpacked(blocks["block"][0].as_buffer())
     words = Words(table)
     order, edges = words.buckets(buckets)
     counts, begins, ids, base = np.zeros(len(words.hashes), np.int64), np.zeros(len(words.hashes), np.int64), [], 0
     missing = set(np.flatnonzero(np.diff(edges)).tolist())
     for b, checksum, some_counts, some_ids in zip(*(answers[c] for c in ("bucket", "checksum", "counts", "ids")), strict=True):
-        b, n = b.as_py(), np.frombuffer(_spread(some_counts.as_buffer()), np.uint32).astype(np.int64)
+        b, n = b.as_py(), np.frombuffer(spread(some_counts.as_buffer()), np.uint32).astype(np.int64)
         some = order[edges[b] : edges[b + 1]]
-        if b not in missing or len(some) != len(n) or checksum.as_py() != _checksum(words.hashes[some]):
+        if b not in missing or len(some) != len(n) or checksum.as_py() != chunks.checksum(words.hashes[some]):
             raise RuntimeError("the answer to a chunk does not fit its words: the input changed between two scans")
         missing.discard(b)
         counts[some], begins[some] = n, base + np.cumsum(n) - n
-        ids.append(np.frombuffer(_spread(some_ids.as_buffer()), np.uint32))
+        ids.append(np.frombuffer(spread(some_ids.as_buffer()), np.uint32))
         base += len(ids[-1])
     if missing:
         raise RuntimeError("a chunk has words without an answer: the input changed between two scans")
@@ -196,30 +156,36 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
-    chunks = slim.mapInArrow(partial(_packed, limit=chunk_bytes), _CHUNK).repartition(n, "chunk")  # one exchange, used twice
-    asked = chunks.mapInArrow(partial(_asked, buckets=n), "bucket int, chunk long, checksum long, lengths binary, words binary").repartition(n, "bucket")
+    packed = slim.mapInArrow(partial(chunks.packed, limit=chunk_bytes), chunks.SCHEMA).repartition(n, "chunk")  # one exchange, used twice
+    asked = packed.mapInArrow(partial(_asked, buckets=n), "bucket int, chunk long, checksum long, lengths binary, words binary").repartition(n, "bucket")
     answers = asked.mapInArrow(partial(_answered, ranks=ranks), "bucket int, chunk long, checksum long, counts binary, ids binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(partial(_assembled, buckets=n), "doc_id long, n_tokens long, ids binary")
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(partial(_assembled, buckets=n), "doc_id long, n_tokens long, ids binary")
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], ranks: Broadcast) -> Iterator[pa.RecordBatch]:
+def _decoded(batches: Iterator[pa.RecordBatch], ranks: Broadcast, at: int) -> Iterator[pa.RecordBatch]:
+    """Replaces column `at`, ids, by the bytes they stand for."""
     most = max(ranks.value.values())
     tokens: list[bytes] = [b""] * (most + 1)
     for token, rank in ranks.value.items():
         tokens[rank] = token
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     content, starts = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths
-    for batch in batches:
-        texts = []
-        for x in batch.column(2):
-            ids = np.frombuffer(x.as_buffer(), "<u4") if x.is_valid else np.zeros(0, "<u4")
-            if len(ids) and ids.max() > most:
-                raise ValueError("an id that the vocabulary lacks")
-            texts.append(pretokens.gather(content, starts[ids], lengths[ids]).tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
-
-
-def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """encoded and the bytes that its ids stand for, as `decoded`. Null ids decode to no bytes."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, 512):
+            batch = whole.slice(first, 512)
+            texts = []
+            for x in batch.column(at):
+                ids = np.frombuffer(x.as_buffer(), "<u4") if x.is_valid else np.zeros(0, "<u4")
+                if len(ids) and ids.max() > most:
+                    raise ValueError("an id that the vocabulary lacks")
+                texts.append(pretokens.gather(content, starts[ids], lengths[ids]).tobytes())
+            columns, names = batch.columns, list(batch.schema.names)
+            columns[at], names[at] = pa.array(texts, pa.binary()), "decoded"
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def decode(encoded: DataFrame, vocabulary: str, *, ids_col: str = "ids") -> DataFrame:
+    """encoded with the bytes that its ids stand for, as `decoded`, in place of the ids. Null ids decode to no bytes."""
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(partial(_decoded, ranks=ranks), "doc_id long, n_tokens long, ids binary, decoded binary")
+    fields = [T.StructField("decoded", T.BinaryType()) if f.name == ids_col else f for f in encoded.schema.fields]
+    return encoded.mapInArrow(partial(_decoded, ranks=ranks, at=encoded.columns.index(ids_col)), T.StructType(fields))

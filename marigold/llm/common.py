@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: Arrow text buffers, word hashes and written tables.
+"""What the operators of this subpackage share: Arrow text buffers, word hashes and n-grams.
 
 Hashes of words are polynomials over per-byte random 64-bit codes, taken from prefix sums over a whole buffer, so that no Python
 object is made per word. All arithmetic wraps modulo 2**64.
@@ -6,14 +6,11 @@ object is made per word. All arithmetic wraps modulo 2**64.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
 #: [\x20\x09-\x0D], the white space of the line and word contracts.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -21,32 +18,6 @@ SPACES = b" \t\n\x0b\x0c\r"
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: spark.checkpoint.dir where it is set; a temporary one in single-machine tests."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="marigold-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def written(df: DataFrame, *, name: str = "table", partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends there and a lost executor costs no recomputation.
-
-    The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marigold-{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column end to end, and the n + 1 offsets of its rows in them. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marigold.llm import bloom
-from marigold.llm.common import SPACES, written
+from marigold.llm.common import SPACES
+from marigold.plans.lineage import written
 
 RESULT = "line_dedup"
 

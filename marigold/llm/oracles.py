@@ -13,6 +13,18 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 FROM l LEFT JOIN bad ON l.k = bad.k GROUP BY doc_id
 """
 
+OP6 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+starts AS (SELECT doc_id, unnest(range(0, len(w) - 34)) AS i, w FROM d WHERE len(w) >= 35),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 35], ' ')) AS h FROM starts),
+repeats AS (SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM repeats)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+LEFT JOIN (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.i) AS t FROM words LEFT JOIN gone USING (doc_id, i) WHERE gone.doc_id IS NULL GROUP BY words.doc_id) k USING (doc_id)
+"""
+
 OP8 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS c FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -45,4 +57,4 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN nam
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lines": OP3, "op5_licenses": op5(), "op8_topk": OP8}
+    return {"op3_lines": OP3, "op5_licenses": op5(), "op6_substrings": OP6, "op8_topk": OP8}

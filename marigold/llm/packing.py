@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marigold.llm import pretokens
-from marigold.llm.common import mix, slices, span_hashes, written
+from marigold.llm.common import mix, slices, span_hashes
+from marigold.plans.lineage import written
 
 WINDOW, BINS, DEPTH, END_ID = 2048, 128, 3, 1
 #: Words that a worker keeps, and residual tokens that one task lays out.

@@ -30,7 +30,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marigold.llm.common import buffers, gram_hashes, mix, slices, within_rows, word_hashes, word_spans, written
+from marigold.llm.common import buffers, gram_hashes, mix, slices, within_rows, word_hashes, word_spans
+from marigold.plans.lineage import written
 
 BUCKETS, PARTS, PRIOR = 1 << 20, 32, 4.0
 MAX_LABELS, WEIGHT_GRAMS, SHRINK, TAIL, BEGINNING = 100_000, 100.0, 50, -2.0, 4

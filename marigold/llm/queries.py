@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marigold.llm import bpe, html_text, licenses, lines, ogg, packing, quality, vafile
+from marigold.llm import bpe, html_text, licenses, lines, ogg, packing, quality, substr, vafile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,8 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks).withColumn("ids_sha256", F.sha2("ids", 256))
+    return bpe.decode(encoded, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substr.dedup_substrings(docs, window=35).select("doc_id", "substring_dedup.n_words", "substring_dedup.n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return vafile.exact_topk(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -52,4 +57,4 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_bpe, op3_lines, op4_quality, op5_licenses, op8_topk, op9_packing, op10_html)}
+    return {f.__name__: f for f in (op1_media, op2_bpe, op3_lines, op4_quality, op5_licenses, op6_substrings, op8_topk, op9_packing, op10_html)}
