@@ -30,7 +30,7 @@ from marigold.llm import chunks, pretokens
 from marigold.llm.chunks import spread, squeezed, unpacked
 from marigold.llm.common import _CODES, buffers, span_hashes
 
-CHUNK_BYTES = 4 << 20
+
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -149,7 +149,7 @@ def _assembled(blocks: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     return pa.Table.from_arrays([table["doc_id"], pa.array(np.diff(token_edges), pa.int64()), content], schema=_IDS)
 
 
-def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = chunks.CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids): the ids of every whole text as little-endian unsigned 32-bit integers. vocabulary: path of a rank file."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 
 from marigold.llm.common import buffers, slices
 
-CHUNK_BYTES, LEVEL = 8 << 20, 6
+CHUNK_BYTES, LEVEL = 4 << 20, 6
 SCHEMA = "chunk long, block binary"
 
 

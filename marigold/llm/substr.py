@@ -199,9 +199,9 @@ def _tree(table: pa.Table, blocks: int) -> pa.Table:
     return pa.Table.from_arrays([table["group"], table["chunk"], table["checksum"], table["n"], pa.array(bits, pa.binary())], names=["group", "chunk", "checksum", "n", "flags"])
 
 
-def _removed(blocks: pa.Table, answers: pa.Table, window: int, twice: Broadcast, sketch: np.ndarray, groups: int, separator: str, schema: pa.Schema) -> pa.Table:
+def _removed(blocks: pa.Table, answers: pa.Table, window: int, twice: Broadcast, sketch: np.ndarray, groups: int, separator: str) -> pa.Table:
     if not blocks.num_rows:
-        return schema.empty_table()
+        raise RuntimeError("an answer without its chunk: the input changed between two scans")
     table = chunks.unpacked(blocks["block"][0].as_buffer())
     s = Suffixes(table, window, twice.value, sketch, groups)
     flags, missing = np.zeros(len(s.hashes), bool), set(np.flatnonzero(np.diff(s.edges)).tolist())
@@ -241,17 +241,14 @@ def _removed(blocks: pa.Table, answers: pa.Table, window: int, twice: Broadcast,
     content = joined.tobytes()
     texts = [content[a : b - c].decode() for a, b, c in zip(edges[:-1].tolist(), edges[1:].tolist(), cut.tolist(), strict=True)]
     result = pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_words - row_kept, pa.int64())], ["n_words", "n_removed"])
-    names = [f.name for f in schema]
-    columns = [pa.array(texts, pa.string()) if n == "text" else result if n == RESULT else table[n] for n in names]
-    return pa.table(dict(zip(names, columns, strict=True))).cast(schema)
+    columns = [pa.array(texts, pa.string()) if n == "text" else table[n] for n in table.column_names]
+    return pa.Table.from_arrays([*columns, result], names=[*table.column_names, RESULT])
 
 
 def dedup_substrings(docs: DataFrame, *, window: int = 35, separator: str = " ", text_col: str = "text") -> DataFrame:
     """docs with repeated words taken out of the text, and a column substring_dedup (n_words before, n_removed).
 
     Kept words are joined by one space, or with separator="original" each keeps the white space after it."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     if separator not in (" ", "original") or window < 2:
         raise ValueError("separator is ' ' or 'original', and a window has at least two words")
     spark = docs.sparkSession
@@ -274,8 +271,6 @@ def dedup_substrings(docs: DataFrame, *, window: int = 35, separator: str = " ",
     packed = slim.mapInArrow(chunks.packed, chunks.SCHEMA).repartition(n, "chunk")  # one exchange, used twice
     sent = packed.mapInArrow(partial(_sent, **shared), "group int, chunk long, checksum long, n int, paths binary, several binary")
     flags = sent.groupBy("group").applyInArrow(lambda table: _tree(table, blocks), "group int, chunk long, checksum long, n int, flags binary")
-    fields = [T.StructField(names.get(f.name, "text"), f.dataType if f.name != text_col else T.StringType()) for f in docs.schema.fields]
-    schema = T.StructType([*fields, T.StructField(RESULT, T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))])
-    arrow = to_arrow_schema(schema, timezone=spark.conf.get("spark.sql.session.timeZone"))
-    out = packed.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(partial(_removed, **shared, separator=separator, schema=arrow), schema)
+    schema = T.StructType([*slim.schema.fields, T.StructField(RESULT, T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))])
+    out = packed.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(partial(_removed, **shared, separator=separator), schema)
     return out.select(*(F.col(names.get(c, "text")).alias(c) for c in docs.columns), RESULT)
