@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marigold.llm import bpe, html_text, licenses, lines, ogg, packing, quality, substr, vafile
+from marigold.llm import bpe, html_text, licenses, lines, ngram_join, ogg, packing, quality, substr, vafile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substr.dedup_substrings(docs, window=35).select("doc_id", "substring_dedup.n_words", "substring_dedup.n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_components(table(spark, sf_dir, "documents"), shingle=3, percent=90).drop("h")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return vafile.exact_topk(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -57,4 +61,4 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_bpe, op3_lines, op4_quality, op5_licenses, op6_substrings, op8_topk, op9_packing, op10_html)}
+    return {f.__name__: f for f in (op1_media, op2_bpe, op3_lines, op4_quality, op5_licenses, op6_substrings, op7_ngrams, op8_topk, op9_packing, op10_html)}
