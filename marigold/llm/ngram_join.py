@@ -7,8 +7,8 @@ one; without words, none. Two sets link when 100 * intersection >= percent * uni
    frequencies (any order gives the same result; this one keeps common passages out of prefixes).
 2. Linked sets share a shingle in their prefixes of size - ceil(percent * size / 100) + 1 shingles. Classes with identical prefixes
    and sizes collapse into one group. Only prefix shingles that a twice-seen Bloom filter suspects are shuffled. Each shingle ties
-   its groups to their smallest one, a star instead of all pairs, and connected stars make candidate components: no link crosses
-   them.
+   the groups whose sizes pass the length filter to their smallest one, a star instead of all pairs, and connected stars make
+   candidate components: no link crosses them.
 3. Components expand to their classes and these to their whole sets. Components of up to BLOCK classes are verified in one task,
    many to a task; larger ones in tasks of two blocks each, every pair of blocks once. Inside, pairs pass the length filter, then
    exact intersections come from products of 0/1 matrices over a few thousand shingles at a time. No pair leaves a task: what does
@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marigold.llm import bloom, sketch
-from marigold.llm.common import buffers, gram_hashes, slices, word_hashes, word_spans
+from marigold.llm.common import buffers, gram_hashes, mix, slices, word_hashes, word_spans
 from marigold.operators.graph import connected_components
 from marigold.plans.lineage import dropped, written
 
-SKETCH, BLOCK, COLUMNS = 1 << 20, 1024, 4096
+BLOCK, COLUMNS = 1024, 4096
+#: Counters of the frequency sketch: about one for 16 shingles, within these bounds.
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 24
 
 
 def shingle_sets(piece: pa.RecordBatch, shingle: int) -> list[np.ndarray]:
@@ -53,12 +55,12 @@ def shingle_sets(piece: pa.RecordBatch, shingle: int) -> list[np.ndarray]:
     return out
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch], shingle: int) -> np.ndarray:
-    counts = np.zeros(SKETCH, np.int64)
+def _frequencies(batches: Iterator[pa.RecordBatch], shingle: int, counters: int) -> np.ndarray:
+    counts = np.zeros(counters, np.uint32)
     for batch in batches:
         for piece in slices(batch):
-            sets = shingle_sets(piece, shingle)
-            counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            at, n = np.unique(np.concatenate(shingle_sets(piece, shingle)) & np.uint64(counters - 1), return_counts=True)
+            counts[at.astype(np.int64)] += n.astype(np.uint32)
     return counts
 
 
@@ -67,7 +69,7 @@ def prefix_of(s: np.ndarray, frequencies: np.ndarray, percent: int) -> np.ndarra
     n = len(s)
     if not n:
         return s
-    return s[np.lexsort((s, frequencies[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]]
+    return s[np.lexsort((s, frequencies[(s & np.uint64(len(frequencies) - 1)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]]
 
 
 def _prefix_hashes(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, frequencies: Broadcast) -> Iterator[np.ndarray]:
@@ -100,11 +102,23 @@ def _described(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, fr
             )
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def size_class(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sets whose sizes pass the length filter are in equal or adjacent classes."""
+    return np.floor(np.log(n) / (np.log(100 / percent) * (1 + 1e-9) + 1e-9)).astype(np.int64)
+
+
+def _postings(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Each suspected prefix shingle of a group, under the group's size class and the next one: sizes that can link meet in one."""
     for batch in batches:
-        content = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-        groups = np.repeat(np.asarray(batch.column(0)), [len(x) for x in content])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(content) if content else np.zeros(0, np.int64)), pa.array(groups, pa.int64())], ["token", "g"])
+        content = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+        if not content:
+            continue
+        each = [len(x) for x in content]
+        groups, classes = np.repeat(np.asarray(batch.column(0)), each), np.repeat(size_class(np.asarray(batch.column(1)), percent), each)
+        shingles = np.concatenate(content)
+        for step in (0, 1):
+            key = mix(shingles + (classes + step).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(groups, pa.int64())], ["token", "g"])
 
 
 def _expanded(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -203,13 +217,15 @@ def linked_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90, i
     texts = slim.select("text")
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     share = spark.sparkContext.broadcast
-    frequencies = share(sketch.summed(texts, partial(_frequencies, shingle=shingle), SKETCH))
+    counters = int(min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << int(size / 6 / 16).bit_length())))
+    counts = sketch.summed(texts, partial(_frequencies, shingle=shingle, counters=counters), counters)
+    frequencies = share(np.minimum(counts, 65535).astype(np.uint16))
     common = {"shingle": shingle, "percent": percent, "frequencies": frequencies}
     twice = share(bloom.twice_seen(texts, partial(_prefix_hashes, **common), size / 6 * (1.02 - percent / 100)))
     sets = written(slim.mapInArrow(partial(_described, **common, twice=twice), "doc_id long, h long, n long, fp binary, g long, tokens binary"), "sets")
     held = sets.where("n > 0")
-    groups = held.groupBy("g").agg(F.first("tokens").alias("tokens"))
-    postings = written(groups.select("g", "tokens").mapInArrow(_postings, "token long, g long"), "postings")
+    groups = held.groupBy("g").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    postings = written(groups.select("g", "n", "tokens").mapInArrow(partial(_postings, percent=percent), "token long, g long"), "postings")
     stars = written(postings.groupBy("token").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").select("token", "least"), "stars")
     edges = postings.join(stars, "token").where("g <> least").select("g", "least").distinct()
     candidate = connected_components(edges, "g", "least")

@@ -16,7 +16,7 @@ SCHEMA = "part int, counts binary"
 
 def _counted(batches: Iterator[pa.RecordBatch], counts: Callable[[Iterator[pa.RecordBatch]], np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
     """One row for each part of the partition's table that is not all zeros."""
-    rows = [(i, squeezed(c.tobytes())) for i, c in enumerate(np.split(counts(batches).reshape(-1), parts)) if c.any()]
+    rows = [(i, squeezed(c.tobytes())) for i, c in enumerate(np.split(counts(batches).reshape(-1).astype(np.uint32, copy=False), parts)) if c.any()]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "counts"])
 
 
@@ -24,13 +24,13 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            totals[part] = totals.get(part, 0) + np.frombuffer(spread(counts.as_buffer()), np.int64)
+            totals[part] = totals.get(part, 0) + np.frombuffer(spread(counts.as_buffer()), np.uint32).astype(np.int64)
     for part, total in totals.items():
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([squeezed(total.tobytes())], pa.binary())], ["part", "counts"])
 
 
-def summed(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, parts: int = 16) -> np.ndarray:
-    """The sum over partitions of `counts`, a function of a partition's batches that gives `size` 64-bit counts."""
+def summed(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, parts: int = 64) -> np.ndarray:
+    """The sum over partitions of `counts`, a function of a partition's batches that gives `size` counts below 2**32."""
     rows = df.mapInArrow(partial(_counted, counts=counts, parts=parts), SCHEMA).repartition(parts, "part").mapInArrow(_summed, SCHEMA)
     total = np.zeros((parts, size // parts), np.int64)
     for r in rows.toLocalIterator():  # at most `parts` rows
