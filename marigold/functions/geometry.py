@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,43 +80,41 @@ def jittered(lat: Column, lon: Column, similarity: Column, spread: float, seed:
     return F.struct((lat + radius * F.sin(angle)).alias("lat"), (lon + radius * F.cos(angle)).alias("lon"))
 
 
-def _cross(a: list[Column], b: list[Column]) -> list[Column]:
-    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
-
-
-def _size(a: list[Column]) -> Column:
-    return F.sqrt(a[0] * a[0] + a[1] * a[1] + a[2] * a[2])
+def offsets(points: np.ndarray, types: list[str | None], normals: dict[str, tuple[float, float, float]], weights: tuple[float, ...], roll: float, scale: float, max_degrees: float, sign: float) -> np.ndarray:
+    """Points moved by the functions of their types: for each function a tangent at the point to its plane, turned by the roll about
+    the point, weighted by role; then a turn towards the sum. Unknown types and vanishing sums stay."""
+    p = np.asarray(points, float)
+    total = np.zeros_like(p)
+    known = np.array([t in STACKS for t in types], bool)
+    for role, weight in enumerate(weights):
+        names = [STACKS[t].split()[role] if t in STACKS else "Ni" for t in types]
+        normal = np.array([normals["N" if f[0] in "NS" else "F"] for f in names], float).reshape(-1, 3)
+        along = np.cross(normal, p)
+        flat = np.linalg.norm(along, axis=1) < 1e-6
+        along[flat] = np.cross(normal[flat] + np.array([1e-3, -1e-3, 2e-3]), p[flat])
+        angle = np.array([roll if f[1] == "e" else -roll for f in names])
+        total += sign * weight * turned(_normed(along), p, angle)
+    size = np.linalg.norm(total, axis=1)
+    moved = turned(p, _normed(np.cross(_normed(total), p)), np.minimum(scale * size, math.radians(max_degrees)))
+    return np.where((known & (size >= 1e-6))[:, None], moved, p)
 
 
-def _over(a: list[Column], d: Column) -> list[Column]:
-    return [F.when(d > 0, x / d).otherwise(0.0) for x in a]
+def _normed(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n == 0, 1.0, n)
 
 
-def rotated(v: list[Column], axis: list[Column], angle: Column) -> list[Column]:
-    """v turned about a unit axis (Rodrigues)."""
-    c, s, along = F.cos(angle), F.sin(angle), sum((x * y for x, y in zip(axis[1:], v[1:], strict=True)), axis[0] * v[0])
-    return [x * c + y * s + a * (1 - c) * along for x, y, a in zip(v, _cross(axis, v), axis, strict=True)]
+def turned(v: np.ndarray, axis: np.ndarray, angle: np.ndarray) -> np.ndarray:
+    """Unit vectors turned about unit axes (Rodrigues)."""
+    c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
+    return _normed(v * c + np.cross(axis, v) * s + axis * (1 - c) * (axis * v).sum(1, keepdims=True))
 
 
 def function_offset(point: Column, mbti: Column, normals: dict[str, tuple[float, float, float]], weights: tuple[float, ...] = (0.4, 0.3, 0.2, 0.1), roll: float = 0.1, scale: float = 1.0, max_degrees: float = 12.0, sign: float = -1.0) -> Column:
-    """struct(x, y, z): the point moved by its type's functions, each along a tangent to the plane of perceiving (N) or judging (F).
+    """struct(x, y, z): the point moved by its type's functions, weights by role, dominant first. `sign` is the observed -1."""
 
-    weights are by role, dominant first; extraverted functions roll one way, introverted ones the other. `sign` is the observed -1."""
-    p = [point["x"], point["y"], point["z"]]
-    stack = F.split(F.try_element_at(F.create_map(*(F.lit(x) for pair in STACKS.items() for x in pair)), mbti), " ")
-    total: list[Column] = [F.lit(0.0)] * 3
-    for role, weight in enumerate(weights):
-        f = stack[role]
-        perceiving, extra = F.substring(f, 1, 1).isin("N", "S"), F.substring(f, 2, 1) == "e"
-        normal = [F.when(perceiving, F.lit(float(n))).otherwise(F.lit(float(m))) for n, m in zip(normals["N"], normals["F"], strict=True)]
-        tangent = _cross(normal, p)
-        tilted = _cross([normal[0] + 1e-3, normal[1] - 1e-3, normal[2] + 2e-3], p)
-        flat = _size(tangent) < 1e-6
-        along = _over([F.when(flat, t).otherwise(x) for x, t in zip(tangent, tilted, strict=True)], F.when(flat, _size(tilted)).otherwise(_size(tangent)))
-        turned = rotated(along, p, F.when(extra, roll).otherwise(-roll))
-        total = [a + x * weight * sign for a, x in zip(total, turned, strict=True)]
-    size = _size(total)
-    axis = _cross(_over(total, size), p)
-    moved = rotated(p, _over(axis, _size(axis)), F.least(size * scale, F.lit(math.radians(max_degrees))))
-    stays = stack.isNull() | (size < 1e-6)
-    return F.struct(*(F.when(stays, a).otherwise(b).alias(n) for n, a, b in zip("xyz", p, moved, strict=True)))
+    @F.pandas_udf("x double, y double, z double")
+    def move(x: pd.Series, y: pd.Series, z: pd.Series, types: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(offsets(np.stack([x, y, z], 1), types.tolist(), normals, weights, roll, scale, max_degrees, sign), columns=["x", "y", "z"])
+
+    return move(point["x"], point["y"], point["z"], mbti)

@@ -32,14 +32,14 @@ def entity_list(entities: DataFrame, ratings: DataFrame, *, search: str | None =
 def typing_summary(entities: DataFrame, judgments: DataFrame, types: DataFrame) -> DataFrame:
     """Judgments by entity, system and type; entities without any have one row of nulls and zero."""
     joined = entities.join(judgments, "entity_id", "left").join(types, "type_id", "left")
-    return joined.groupBy("entity_id", "entity_name", "system", "type_code").agg(F.count("judgment_id").alias("total_judgments"), F.round(F.avg("confidence"), 6).alias("average_confidence"), F.max("updated_at").alias("last_typed"))
+    return joined.groupBy("entity_id", "entity_name", "system", "type_code").agg(F.count("judgment_id").alias("total_judgments"), F.avg("confidence").alias("average_confidence"), F.max("updated_at").alias("last_typed"))
 
 
 def rater_summary(users: DataFrame, judgments: DataFrame) -> DataFrame:
     """Active users with what they judged."""
     joined = users.where("is_active").join(judgments, "rater_id", "left")
     return joined.groupBy("rater_id", "username").agg(
-        F.count("judgment_id").alias("total_judgments"), F.round(F.avg("confidence"), 6).alias("average_confidence"), F.countDistinct("entity_id").alias("entities_typed"),
+        F.count("judgment_id").alias("total_judgments"), F.avg("confidence").alias("average_confidence"), F.countDistinct("entity_id").alias("entities_typed"),
         F.countDistinct("session_id").alias("sessions_participated"), F.min("created_at").alias("first_judgment"), F.max("created_at").alias("last_judgment"),
     )
 

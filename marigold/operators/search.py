@@ -54,23 +54,34 @@ def infer_label(df: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec
     return votes.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("query_id", label_col, "weight")
 
 
-def hash_embedding_buckets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dimensions: int = 64) -> DataFrame:
-    """(id, bucket, weight): the non-zero components of the SHA-256 hash embedding, L2-normalised."""
-    counted = df.select(id_col, F.explode(text.tokens(F.col(text_col))).alias("t")).groupBy(id_col, hashing.sha_bucket(F.col("t"), dimensions).alias("bucket")).agg(F.count("*").alias("n"))
-    return counted.select(id_col, "bucket", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(id_col)))).alias("weight"))
-
+def hash_embedding_buckets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dimensions: int = 64, kind: str = "sha256") -> DataFrame:
+    """(id, bucket, weight): the non-zero components of the L2-normalised hash embedding.
 
-def hash_embedding(texts: Column, *, dimensions: int = 64, kind: str = "sha256") -> Column:
-    """The dense hash embedding of a text as an expression: "sha256" over white-space tokens, "fnv1a" over [a-z0-9]+. The two spaces never mix."""
+    kind: "sha256" over white-space tokens, or "fnv1a" over [a-z0-9]+; the two spaces never mix."""
     if kind == "sha256":
-        buckets = F.transform(text.tokens(texts), lambda t: hashing.sha_bucket(t, dimensions))
+        words, bucket = text.tokens(F.col(text_col)), hashing.sha_bucket(F.col("t"), dimensions)
     elif kind == "fnv1a":
-        buckets = F.transform(text.ascii_words(texts), lambda t: (hashing.fnv1a(t) % dimensions).cast("int"))
+        words, bucket = text.ascii_words(F.col(text_col)), (hashing.fnv1a(F.col("t")) % dimensions).cast("int")
     else:
         raise ValueError("kind is 'sha256' or 'fnv1a'")
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    norm = vectors.norm(counts)
-    return F.transform(counts, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    counted = df.select(id_col, F.explode(words).alias("t")).groupBy(id_col, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return counted.select(id_col, "bucket", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(id_col)))).alias("weight"))
+
+
+def hash_embeddings(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dimensions: int = 64, kind: str = "sha256") -> DataFrame:
+    """(id, vector): dense hash embeddings; a text without tokens has the zero vector."""
+    parts = hash_embedding_buckets(df, id_col=id_col, text_col=text_col, dimensions=dimensions, kind=kind)
+    held = parts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_m"))
+    component = lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))
+    return df.select(id_col).join(held, id_col, "left").select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), component).alias("vector"))
+
+
+def text_neighbours(df: DataFrame, query_id: int, k: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score): the k texts closest to one text of the table by FNV-1a hash embedding; the query's few buckets are broadcast."""
+    parts = hash_embedding_buckets(df, id_col=id_col, text_col=text_col, kind="fnv1a")
+    q = hash_embedding_buckets(df.where(F.col(id_col) == query_id), id_col=id_col, text_col=text_col, kind="fnv1a").select("bucket", F.col("weight").alias("q"))
+    scored = parts.where(F.col(id_col) != query_id).join(F.broadcast(q), "bucket", "left").groupBy(id_col).agg(F.round(F.coalesce(F.sum(F.col("weight") * F.col("q")), F.lit(0.0)), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
 def embed_text(texts: str, *, dimensions: int = 64) -> list[float]:
