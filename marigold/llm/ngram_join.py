@@ -36,7 +36,7 @@ from marigold.llm.common import buffers, gram_hashes, mix, slices, word_hashes,
 from marigold.operators.graph import connected_components
 from marigold.plans.lineage import dropped, written
 
-BLOCK, COLUMNS = 1024, 4096
+BLOCK, COLUMNS = 512, 4096
 #: Counters of the frequency sketch: about one for 16 shingles, within these bounds.
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 24
 
@@ -239,7 +239,7 @@ def linked_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90, i
     candidates = written(classes.join(counts, "component").select("fp", "h", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("block")), "candidates")
     expanded = slim.select("h", "text").join(candidates, "h").select("fp", "component", "blocks", "block", "text").mapInArrow(partial(_expanded, shingle=shingle), "fp binary, component long, blocks long, block long, shingles binary")
     # a class meets every block of its component; components of one block share tasks
-    tasks = max(1, candidates.where("blocks = 1").count() // (4 * BLOCK))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), candidates.where("blocks = 1").count() // BLOCK)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     met = expanded.select("*", other.alias("other")).select("fp", "component", "blocks", "block", "shingles", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
     met = met.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", "b1", "b2")))
