@@ -111,9 +111,10 @@ def dedup_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep
     filtered = bloom.twice_seen(slim.select("text"), partial(_hashes, min_chars=min_chars, within=within), lines)
     twice = docs.sparkSession.sparkContext.broadcast(filtered if min_docs > 1 or within else bloom.TwiceSeen(np.full_like(filtered.bits, 255)))
     hashed = slim.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    suspects = written(hashed.mapInArrow(partial(_suspects, twice=twice, min_chars=min_chars), "key binary, doc_id long, h long, lines array<int>"), name="suspects")
+    suspects = written(hashed.mapInArrow(partial(_suspects, twice=twice, min_chars=min_chars), "key binary, doc_id long, h long, lines array<int>"), "suspects")
     place = F.struct("doc_id", "h", F.element_at("lines", 1).alias("line"))
     repeated = suspects.groupBy("key").agg(F.count("*").alias("n"), *([F.min(place).alias("first")] if keep == "first" else [])).where(F.col("n") >= min_docs)
+    repeated = written(repeated, "repeated")  # a table, so that a join with a hot key can be split
     gone = suspects.join(repeated, "key")
     if keep == "first":
         first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
