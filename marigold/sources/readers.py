@@ -60,7 +60,7 @@ def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None
 
 def documents(spark: SparkSession, root: str, pattern: str = "*.{md,txt}") -> DataFrame:
     """(path, text): whole files under a folder, of any depth."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def as_view(df: DataFrame, name: str) -> int:
