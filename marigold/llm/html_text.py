@@ -315,14 +315,15 @@ def _into(node: Node, out: Lines, visible: bool, pre: bool) -> None:
     numbering = None
     if node.tag == "ol":
         numbering = _number(node.attrs.get("start", ""), 1, 10**9)
+    closed = node.tag == "details" and "open" not in node.attrs
     for child in node.children:
         if isinstance(child, str):
-            if visible:
+            if visible and not closed:
                 out.add(child, pre)
             continue
         tag = child.tag
         has, sees = shown(child, visible)
-        if not has or (node.tag == "details" and "open" not in node.attrs and tag != "summary"):
+        if not has or (closed and tag != "summary"):
             continue
         inner_pre = pre or tag in ("pre", "listing", "xmp", "textarea") or ("style" in child.attrs and bool(_PRE.search(child.attrs["style"])))
         if tag == "br":

@@ -123,7 +123,9 @@ def dedup_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep
     # the text's hash tells apart documents that share an id
     keyed = docs.withColumn("_mg_key", F.xxhash64(F.coalesce(text, F.lit(""))))
     joined = keyed.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_mg_id")) & (F.col("_mg_key") == F.col("_mg_h")), "left")
-    joined = joined.select(*(F.col(f"`{c}`") for c in docs.columns), "_mg_lines")
-    fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields]
+    names = [f"c{i}" for i in range(len(docs.columns))]  # plain names: the Arrow step takes no dots
+    joined = joined.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), "_mg_lines")
+    fields = [T.StructField(n, T.StringType() if f.name == text_col else f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)]
     schema = T.StructType([*fields, T.StructField(RESULT, T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))])
-    return joined.mapInArrow(partial(_kept, text_at=docs.columns.index(text_col)), schema)
+    out = joined.mapInArrow(partial(_kept, text_at=docs.columns.index(text_col)), schema)
+    return out.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)), RESULT)
