@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from marigold.llm import chunks, pretokens
 from marigold.llm.chunks import spread, squeezed, unpacked
-from marigold.llm.common import _CODES, buffers, span_hashes
+from marigold.llm.common import _CODES, buffers, release, span_hashes
 
 
 
@@ -88,6 +88,8 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                 some = order[edges[b] : edges[b + 1]]
                 content = pretokens.gather(words.data, words.starts[some], words.lengths[some])
                 rows.append((int(b), chunk, chunks.checksum(words.hashes[some]), squeezed(words.lengths[some].astype(np.int32).tobytes()), squeezed(content.tobytes())))
+            del words
+            release()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["bucket", "chunk", "checksum", "lengths", "words"])
 
@@ -115,6 +117,7 @@ _IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.b
 
 def _assembled(blocks: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """The ids of each document of a chunk, by position."""
+    release()
     if not blocks.num_rows:
         return _IDS.empty_table()
     table = unpacked(blocks["block"][0].as_buffer())
@@ -171,6 +174,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], ranks: Broadcast, at: int) -> It
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     content, starts = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths
     for whole in batches:
+        release()
         for first in range(0, whole.num_rows, 512):
             batch = whole.slice(first, 512)
             texts = []

@@ -6,12 +6,15 @@ object is made per word. All arithmetic wraps modulo 2**64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: [\x20\x09-\x0D], the white space of the line and word contracts.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that a vectorised step handles at once; a longer document is a slice of its own.
@@ -44,6 +47,13 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         first = last
 
 
+def release() -> None:
+    """Gives memory that earlier chunks no longer need back to the system; allocators would keep it for the worker's lifetime."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, which spreads every bit over all 64."""
     x = x ^ (x >> np.uint64(30))

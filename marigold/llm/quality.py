@@ -25,15 +25,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marigold.llm import sketch
 from marigold.llm.common import buffers, gram_hashes, mix, slices, within_rows, word_hashes, word_spans
 from marigold.plans.lineage import written
 
-BUCKETS, PARTS, PRIOR = 1 << 20, 32, 4.0
+BUCKETS, PRIOR = 1 << 20, 4.0
 MAX_LABELS, WEIGHT_GRAMS, SHRINK, TAIL, BEGINNING = 100_000, 100.0, 50, -2.0, 4
 
 
@@ -50,30 +50,17 @@ def features(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
     return [((g & mask).astype(np.int64), n) for g, n in ((mix(words), np.diff(rows)), (gram_hashes(words, 2, 2)[firsts], pairs), (mix(heads + np.uint64(12345)), counted))]
 
 
-def _counts(batches: Iterator[pa.RecordBatch], good: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Raw and target counts of an input partition, as compressed parts of the table of buckets."""
-    raw, target, ids = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), good.value
+def _counts(batches: Iterator[pa.RecordBatch], good: Broadcast) -> np.ndarray:
+    """Raw and target counts of an input partition."""
+    counts, ids = np.zeros((2, BUCKETS), np.int64), good.value
     for batch in batches:
         for piece in slices(batch):
             keys = piece.column("doc_id").fill_null(-1).to_numpy()
             known = np.isin(keys, ids) & np.asarray(piece.column("doc_id").is_valid())
             for g, n in features(piece):
-                raw += np.bincount(g, minlength=BUCKETS)
-                target += np.bincount(g[np.repeat(known, n)], minlength=BUCKETS)
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    parts = [(i, squeeze(np.stack([r, t]).tobytes())) for i, (r, t) in enumerate(zip(np.split(raw, PARTS), np.split(target, PARTS), strict=True)) if r.any()]
-    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["part", "counts"])
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[int, np.ndarray] = {}
-    spread = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            more = np.frombuffer(spread(counts.as_buffer()), np.int64)
-            totals[part] = totals[part] + more if part in totals else more
-    for part, total in totals.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())], ["part", "counts"])
+                counts[0] += np.bincount(g, minlength=BUCKETS)
+                counts[1] += np.bincount(g[np.repeat(known, n)], minlength=BUCKETS)
+    return counts
 
 
 class Ratio:
@@ -140,11 +127,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, seed: int = 1, id_col: str =
     good = spark.sparkContext.broadcast(np.array(sorted(r["doc_id"] for r in sample if r["good"]), np.int64))  # at most MAX_LABELS ids
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    sums = slim.select("doc_id", "text").mapInArrow(partial(_counts, good=good), "part int, counts binary").repartition(PARTS, "part").mapInArrow(_summed, "part int, counts binary")
-    raw, target = np.zeros((PARTS, BUCKETS // PARTS), np.int64), np.zeros((PARTS, BUCKETS // PARTS), np.int64)
-    for r in sums.toLocalIterator():  # PARTS rows, BUCKETS counts of each kind in all
-        raw[r["part"]], target[r["part"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["counts"]), np.int64).reshape(2, -1)
-    ratio = spark.sparkContext.broadcast(Ratio(raw.reshape(-1), target.reshape(-1)))
+    raw, target = sketch.summed(slim.select("doc_id", "text"), partial(_counts, good=good), 2 * BUCKETS).reshape(2, -1)
+    ratio = spark.sparkContext.broadcast(Ratio(raw, target))
     weighed = written(slim.mapInArrow(partial(_weighed, ratio=ratio, seed=seed), "doc_id long, h long, weight double, key double"), name="weights")
     n = weighed.count()
     k = min(n, math.ceil(share * n))

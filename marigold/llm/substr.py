@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marigold.llm import bloom, chunks
-from marigold.llm.common import buffers, constants, gram_hashes, mix, slices, within_rows, word_hashes, word_spans
+from marigold.llm import bloom, chunks, sketch
+from marigold.llm.common import buffers, constants, gram_hashes, mix, release, slices, within_rows, word_hashes, word_spans
 from marigold.llm.pretokens import gather
 
 BLOCK, GROUP, SKETCH = 7, 1 << 19, 1 << 16
@@ -104,30 +104,24 @@ def _prefixes(paths: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], window: int, twice: Broadcast) -> Iterator[pa.RecordBatch]:
-    levels = max(1, -(-window // BLOCK) - 1)
-    counts = np.zeros((levels, SKETCH), np.int64)
+def levels_of(window: int) -> int:
+    return max(1, -(-window // BLOCK) - 1)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], window: int, twice: Broadcast) -> np.ndarray:
+    """How many suspected suffixes have a prefix of one block, two blocks and so on, by hash of the prefix."""
+    counts = np.zeros((levels_of(window), SKETCH), np.int64)
     for text in _pieces(batches, window):
         grams, _ = text.anchors()
         for level, h in enumerate(_prefixes(text.paths(text.firsts[twice.value(grams)]))):
             counts[level] += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=SKETCH)
-    rows = [(i, chunks.squeezed(c.tobytes())) for i, c in enumerate(counts) if c.any()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["level", "counts"])
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for level, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            totals[level] = totals.get(level, 0) + np.frombuffer(chunks.spread(counts.as_buffer()), np.int64)
-    for level, total in totals.items():
-        yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([chunks.squeezed(total.tobytes())], pa.binary())], ["level", "counts"])
+    return counts
 
 
 class Suffixes:
     """The distinct suspected suffixes of a chunk, by the group of their prefix."""
 
-    def __init__(self, table: pa.Table, window: int, twice: bloom.TwiceSeen, sketch: np.ndarray, groups: int):
+    def __init__(self, table: pa.Table, window: int, twice: bloom.TwiceSeen, counts: np.ndarray, groups: int):
         data, offsets = buffers(table["text"])
         self.text = Text(data, offsets, window)
         grams, _ = self.text.anchors()
@@ -141,7 +135,7 @@ class Suffixes:
         prefixes = _prefixes(self.paths)
         chosen, open_ = prefixes[-1].copy(), np.ones(len(first), bool)
         for level, h in enumerate(prefixes[:-1]):
-            fits = open_ & (sketch[level][(h >> np.uint64(48)).astype(np.int64)] <= GROUP)
+            fits = open_ & (counts[level][(h >> np.uint64(48)).astype(np.int64)] <= GROUP)
             chosen[fits] = h[fits]
             open_ &= ~fits
         group = (chosen % np.uint64(groups)).astype(np.int64)
@@ -149,16 +143,18 @@ class Suffixes:
         self.edges = np.searchsorted(group[self.order], np.arange(groups + 1))
 
 
-def _sent(batches: Iterator[pa.RecordBatch], window: int, twice: Broadcast, sketch: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
+def _sent(batches: Iterator[pa.RecordBatch], window: int, twice: Broadcast, counts: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
     """A chunk's suffixes, one row per group: paths, and which occur several times in the chunk."""
     for batch in batches:
         for chunk, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            s = Suffixes(chunks.unpacked(block.as_buffer()), window, twice.value, sketch, groups)
+            s = Suffixes(chunks.unpacked(block.as_buffer()), window, twice.value, counts, groups)
             rows = []
             for g in np.flatnonzero(np.diff(s.edges)):
                 some = s.order[s.edges[g] : s.edges[g + 1]]
                 content = s.paths[0][some].tobytes() + b"".join(p[some].astype(np.uint32).tobytes() for p in s.paths[1:])
                 rows.append((int(g), chunk, chunks.checksum(s.hashes[some]), len(some), content, np.packbits(s.times[some] > 1).tobytes()))
+            del s
+            release()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["group", "chunk", "checksum", "n", "paths", "several"])
 
@@ -199,11 +195,12 @@ def _tree(table: pa.Table, blocks: int) -> pa.Table:
     return pa.Table.from_arrays([table["group"], table["chunk"], table["checksum"], table["n"], pa.array(bits, pa.binary())], names=["group", "chunk", "checksum", "n", "flags"])
 
 
-def _removed(blocks: pa.Table, answers: pa.Table, window: int, twice: Broadcast, sketch: np.ndarray, groups: int, separator: str) -> pa.Table:
+def _removed(blocks: pa.Table, answers: pa.Table, window: int, twice: Broadcast, counts: np.ndarray, groups: int, separator: str) -> pa.Table:
+    release()
     if not blocks.num_rows:
         raise RuntimeError("an answer without its chunk: the input changed between two scans")
     table = chunks.unpacked(blocks["block"][0].as_buffer())
-    s = Suffixes(table, window, twice.value, sketch, groups)
+    s = Suffixes(table, window, twice.value, counts, groups)
     flags, missing = np.zeros(len(s.hashes), bool), set(np.flatnonzero(np.diff(s.edges)).tolist())
     for g, check, n, bits in zip(*(answers[c] for c in ("group", "checksum", "n", "flags")), strict=True):
         g, n = g.as_py(), n.as_py()
@@ -259,15 +256,11 @@ def dedup_substrings(docs: DataFrame, *, window: int = 35, separator: str = " ",
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     twice = spark.sparkContext.broadcast(bloom.twice_seen(texts, partial(_anchor_hashes, window=window), size / 6 * 2.2 / (window - gram_size(window) + 2)))
     blocks = -(-window // BLOCK)
-    sketch = np.zeros((max(1, blocks - 1), SKETCH), np.int64)
-    levels = len(sketch)
-    sums = texts.mapInArrow(partial(_sketched, window=window, twice=twice), "level int, counts binary").repartition(levels, "level").mapInArrow(_added, "level int, counts binary")
-    for r in sums.toLocalIterator():  # one row of SKETCH counts per level
-        sketch[r["level"]] = np.frombuffer(chunks.spread(r["counts"]), np.int64)
+    counts = sketch.summed(texts, partial(_sketched, window=window, twice=twice), levels_of(window) * SKETCH).reshape(-1, SKETCH)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(partitions, int(-(-sketch[0].sum() // GROUP)))
+    groups = max(partitions, int(-(-counts[0].sum() // GROUP)))
     n = max(partitions, -(-size // chunks.CHUNK_BYTES))
-    shared = {"window": window, "twice": twice, "sketch": sketch, "groups": groups}
+    shared = {"window": window, "twice": twice, "counts": counts, "groups": groups}
     packed = slim.mapInArrow(chunks.packed, chunks.SCHEMA).repartition(n, "chunk")  # one exchange, used twice
     sent = packed.mapInArrow(partial(_sent, **shared), "group int, chunk long, checksum long, n int, paths binary, several binary")
     flags = sent.groupBy("group").applyInArrow(lambda table: _tree(table, blocks), "group int, chunk long, checksum long, n int, flags binary")
