@@ -2,6 +2,9 @@
 
 A chunk's number is that of its input partition and its place in it. Chunks are what operators shuffle and join when they need the
 texts of many documents at hand and answers about them from elsewhere: an exchange of chunks is written once and read twice.
+
+Input should be a table or any plan that gives a partition's rows in the same order when it runs again; answers carry a checksum of
+what was asked, so that a plan that does not is an error and never a wrong result.
 """
 
 from __future__ import annotations

@@ -31,7 +31,8 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", F.round("weight", 4).alias("score"), "kept")
+    """The documents drawn, with their log importance weight."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("kept").select("doc_id", F.round("weight", 4).alias("score"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
