@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marigold.llm import bloom, sketch
-from marigold.llm.common import buffers, gram_hashes, mix, slices, word_hashes, word_spans
+from marigold.llm.common import buffers, gram_hashes, mix, release, slices, word_hashes, word_spans
 from marigold.operators.graph import connected_components
 from marigold.plans.lineage import dropped, written
 
@@ -59,6 +59,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], shingle: int, counters: int)
     counts = np.zeros(counters, np.uint32)
     for batch in batches:
         for piece in slices(batch):
+            release()
             at, n = np.unique(np.concatenate(shingle_sets(piece, shingle)) & np.uint64(counters - 1), return_counts=True)
             counts[at.astype(np.int64)] += n.astype(np.uint32)
     return counts
@@ -75,6 +76,7 @@ def prefix_of(s: np.ndarray, frequencies: np.ndarray, percent: int) -> np.ndarra
 def _prefix_hashes(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, frequencies: Broadcast) -> Iterator[np.ndarray]:
     for batch in batches:
         for piece in slices(batch):
+            release()
             for s in shingle_sets(piece, shingle):
                 yield prefix_of(s, frequencies.value, percent)
 
@@ -90,6 +92,7 @@ def _described(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, fr
     """Per document: size and digest of the set, number of the group with this prefix and size, and suspected prefix shingles."""
     for batch in batches:
         for piece in slices(batch):
+            release()
             sets = shingle_sets(piece, shingle)
             prefixes = [prefix_of(s, frequencies.value, percent) for s in sets]
             edges = np.cumsum([0, *map(len, prefixes)])
