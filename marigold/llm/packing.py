@@ -260,19 +260,18 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     width = WINDOW // BINS
     tokens = written(tokenized(docs, tokenizer, id_col=id_col, text_col=text_col), name="tokens")
     sizes = tokens.select("part", "row", F.expr(f"doc_tokens div {WINDOW}").alias("windows"), (F.col("doc_tokens") % WINDOW).alias("rest")).withColumn("bin", F.ceil(F.col("rest") / width).cast("int"))
-    # whole windows are bin 0 here; a prefix count over input partitions numbers windows and the remainders of each bin
+    # a prefix count over input partitions numbers the remainders of each bin, and the whole windows of documents by bin
     counts = sizes.groupBy("part", "bin").agg(F.count("*").alias("n"), F.sum("windows").alias("w"))
-    counts = written(counts, name="bins")
-    histogram, windows = np.zeros(BINS, np.int64), 0
+    counts = written(counts, "bins")
+    histogram, windows = np.zeros(BINS + 1, np.int64), np.zeros(BINS + 1, np.int64)
     for r in counts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect():  # at most BINS + 1 rows
-        windows += r["w"]
-        if r["bin"]:
-            histogram[r["bin"] - 1] = r["n"]
+        histogram[r["bin"]], windows[r["bin"]] = r["n"], r["w"]
+    histogram = histogram[1:]
     slots = Slots(*plan(histogram)) if histogram.any() else Slots(np.zeros((BINS, 0), np.int64), np.zeros(0, np.int64))
     before = lambda *by: Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.withColumn("first", F.coalesce(F.sum("n").over(before("bin")), F.lit(0))).select("part", "bin", "first")
+    firsts = counts.select("part", "bin", *(F.coalesce(F.sum(c).over(before("bin")), F.lit(0)).alias(f) for c, f in (("n", "first"), ("w", "first_window"))))
     within = Window.partitionBy("part", "bin").orderBy("row")
-    rests = sizes.where("rest > 0").withColumn("local", F.row_number().over(within) - 1).join(firsts, ["part", "bin"])
+    rests = sizes.where("rest > 0").withColumn("local", F.row_number().over(within) - 1).join(firsts.drop("first_window"), ["part", "bin"])
     rests = rests.select("part", "row", (F.col("windows") * WINDOW).alias("start"), F.col("rest").alias("length"), "bin", (F.col("first") + F.col("local")).alias("number"))
     placed = written(rests.mapInArrow(partial(_placed, slots=slots), "part int, row long, start long, length long, sequence_id long, slot long"), name="placed")
     residual = placed.where("sequence_id < 0")
@@ -284,11 +283,10 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     parts = ["part", "row", "start", "length", "sequence_id", "slot"]
     laid = laid.withColumn("sequence_id", F.lit(slots.total) + F.col("group") * room + F.col("sequence")).select(*parts)
     base = slots.total + groups * room
-    whole_before = counts.groupBy("part").agg(F.sum("w").alias("w")).where("w > 0")
-    whole_before = whole_before.withColumn("first", F.coalesce(F.sum("w").over(before(F.lit(0))), F.lit(0))).select("part", "first")
-    running = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    whole = sizes.where("windows > 0").withColumn("local", F.coalesce(F.sum("windows").over(running), F.lit(0))).join(whole_before, "part")
-    whole = whole.select("part", "row", F.posexplode(F.sequence(F.lit(0), (F.col("windows") - 1).cast("int"))).alias("i", "_i"), (F.lit(base) + F.col("first") + F.col("local")).alias("s"))
+    running = Window.partitionBy("part", "bin").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    whole = sizes.where("windows > 0").withColumn("local", F.coalesce(F.sum("windows").over(running), F.lit(0))).join(firsts, ["part", "bin"])
+    bin_base = F.get(F.array(*(F.lit(int(x)) for x in base + np.cumsum(windows) - windows)), F.col("bin"))
+    whole = whole.select("part", "row", F.posexplode(F.sequence(F.lit(0), (F.col("windows") - 1).cast("int"))).alias("i", "_i"), (bin_base + F.col("first_window") + F.col("local")).alias("s"))
     whole = whole.select("part", "row", (F.col("i") * F.lit(WINDOW).cast("long")).alias("start"), F.lit(WINDOW).cast("long").alias("length"), (F.col("s") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("slot"))
     placed_all = placed.where("sequence_id >= 0").unionByName(laid)
     in_sequence = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
