@@ -25,6 +25,19 @@ FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USIN
 LEFT JOIN (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.i) AS t FROM words LEFT JOIN gone USING (doc_id, i) WHERE gone.doc_id IS NULL GROUP BY words.doc_id) k USING (doc_id)
 """
 
+OP7 = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 2, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END))) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS class FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y, a.class AS cx, b.class AS cy FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM n UNION SELECT reach.node, links.y FROM reach JOIN links ON links.x = reach.seen),
+component AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+partners AS (SELECT x, count(DISTINCT cy) AS n_links FROM links WHERE cx <> cy GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN component ON node = d.doc_id LEFT JOIN partners ON x = d.doc_id
+"""
+
 OP8 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS c FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -57,4 +70,4 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN nam
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lines": OP3, "op5_licenses": op5(), "op6_substrings": OP6, "op8_topk": OP8}
+    return {"op3_lines": OP3, "op5_licenses": op5(), "op6_substrings": OP6, "op7_ngrams": OP7, "op8_topk": OP8}
