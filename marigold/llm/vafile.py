@@ -7,7 +7,7 @@ Then the block results are merged, k rows per query and block.
 
 Queries and candidates meet in blocks of bounded size, (query block, candidate block) by task, so memory does not grow with the
 table. Vectors that are null or hold null or non-finite components take no part, as queries or candidates. Vectors of unequal
-lengths count as padded by zeros. Scores are exact while |component| * 256 < 2**20; larger components are clipped to that.
+lengths count as padded by zeros. Scores are exact for up to 512 components of which |component| * 256 < 2**22; larger ones are clipped to that.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS, QUERY_BLOCK, CANDIDATE_BLOCK = 6, 4096, 4096
-_LIMIT = 1 << 20
+_LIMIT = 1 << 22
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
