@@ -4,6 +4,7 @@ A tokenizer and a tree builder with implied start and end tags make a tree; visi
 rendering keeps block spacing, list markers with nesting, preformatted text and aligned table cells.
 
 Defined results: null or empty pages give an empty text; unclosed tags end with their parent; unmatched end tags are ignored;
+what a table, row group or row may not hold comes before the table, a form there stays empty and a table there ends the one before;
 elements nested deeper than 256 become siblings at that depth; comments, declarations and processing instructions vanish.
 """
 
@@ -27,6 +28,10 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table fie
 BLOCKS = SPACED | frozenset("html body address article aside center details dialog dd div dt figcaption footer form header hgroup legend li main nav optgroup option search section summary caption thead tbody tfoot tr".split())
 CLOSES_P = (SPACED | frozenset("address article aside center details dialog div dd dt figcaption footer form header hgroup li main nav search section summary".split())) - {"table"} | {"table"}
 PART_OF_TABLE = frozenset("thead tbody tfoot".split())
+HOLDS_NO_TEXT = PART_OF_TABLE | frozenset("table tr colgroup".split())
+IN_TABLE = PART_OF_TABLE | frozenset("caption colgroup col tr td th script style template".split())
+#: A part of a table named by the key goes into the nearest open element named by a value.
+HOLDERS = {"tr": PART_OF_TABLE | {"table"}} | dict.fromkeys(("td", "th"), PART_OF_TABLE | {"table", "tr"}) | dict.fromkeys((*PART_OF_TABLE, "caption", "colgroup"), frozenset({"table"})) | {"col": frozenset({"table", "colgroup"})}
 #: An element named by the key ends an open element named by a value, unless one of the barriers lies between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}), "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})} | {x: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}) for x in PART_OF_TABLE} | {f"h{i}": ({f"h{j}" for j in range(1, 7)}, {"div", "section", "article", "td", "th", "li", "body"}) for i in range(1, 7)}
 
@@ -95,8 +100,18 @@ class Builder:
         if cut is not None:
             del self.open[cut:]
 
+    def _insert(self, child: Node | str) -> None:
+        """Adds to the innermost open element; what a table's parts may not hold goes before the table (foster parenting)."""
+        if self.open[-1].tag in HOLDS_NO_TEXT and (isinstance(child, str) or child.tag not in IN_TABLE | {"form"}):
+            i = max((i for i, x in enumerate(self.open) if x.tag == "table"), default=0)
+            if i:
+                home = self.open[i - 1].children
+                home.insert(len(home) - 1, child)  # the open table is its parent's last child
+                return
+        self.open[-1].children.append(child)
+
     def _push(self, node: Node) -> None:
-        self.open[-1].children.append(node)
+        self._insert(node)
         if len(self.open) < MAX_DEPTH:
             self.open.append(node)
 
@@ -112,6 +127,11 @@ class Builder:
             self._close({"p"}, {"td", "th", "table", "button", "caption"})
         if name in ENDS:
             self._close(*ENDS[name])
+        if name in HOLDERS:
+            i = max((i for i, x in enumerate(self.open) if x.tag in HOLDERS[name]), default=len(self.open))
+            del self.open[i + 1 :]
+        elif name == "table" and self.open[-1].tag in HOLDS_NO_TEXT:
+            self.end("table")
         top = self.open[-1].tag
         if name in ("td", "th"):
             if top == "table":
@@ -121,14 +141,14 @@ class Builder:
         elif name == "tr" and top == "table":
             self._push(Node("tbody"))
         node = Node(name, _attributes(attributes) if attributes.strip(" /") else None)
-        if name in VOID:
-            self.open[-1].children.append(node)
+        if name in VOID or (name == "form" and top in HOLDS_NO_TEXT):  # a form among a table's parts stays empty
+            self._insert(node)
         else:
             self._push(node)
 
     def end(self, name: str) -> None:
         if name == "br":
-            self.open[-1].children.append(Node("br"))
+            self._insert(Node("br"))
             return
         if name in ("html", "body", *VOID):
             return
@@ -144,14 +164,8 @@ class Builder:
             self.open.pop() if self.open[-1].tag == "p" else None
 
     def text(self, value: str) -> None:
-        top = self.open[-1].tag
-        if top in ("table", "tr", "colgroup") or top in PART_OF_TABLE:  # foster parenting: text that no cell holds
-            if value.strip():
-                i = max((i for i, x in enumerate(self.open) if x.tag == "table"), default=len(self.open))
-                home = self.open[i - 1].children
-                home.insert(len(home) - 1 if home and i < len(self.open) else len(home), value)
-            return
-        self.open[-1].children.append(value)
+        if value.strip() or self.open[-1].tag not in HOLDS_NO_TEXT:
+            self._insert(value)
 
 
 def parse(html: str) -> Node:
@@ -253,9 +267,10 @@ def _number(value: str, default: int, most: int = 1000) -> int:
 
 
 def _table(node: Node, visible: bool, pre: bool) -> list[str]:
-    caption, rows, groups = [], [], []
+    caption, rows, groups, left = [], [], [], []
     for child in node.children:
         if isinstance(child, str):
+            left.append((child, visible))
             continue
         has, sees = shown(child, visible)
         if not has:
@@ -266,12 +281,19 @@ def _table(node: Node, visible: bool, pre: bool) -> list[str]:
             groups.append((1, child, sees))
         elif child.tag in PART_OF_TABLE:
             place = {"thead": 0, "tbody": 1, "tfoot": 2}[child.tag]
-            groups += [(place, x, s) for x in child.children if not isinstance(x, str) and x.tag == "tr" for h, s in [shown(x, sees)] if h]
+            for x in child.children:
+                if isinstance(x, str) or x.tag != "tr":
+                    left.append((x, sees))
+                elif (below := shown(x, sees))[0]:
+                    groups.append((place, x, below[1]))
+        else:
+            left.append((child, visible))
     covered: dict[tuple[int, int], bool] = {}
     for r, (_, row, sees) in enumerate(sorted(groups, key=lambda g: g[0])):
         cells, column = [], 0
         for cell in row.children:
             if isinstance(cell, str) or cell.tag not in ("td", "th"):
+                left.append((cell, sees))
                 continue
             has, s = shown(cell, sees)
             if not has:
@@ -300,6 +322,10 @@ def _table(node: Node, visible: bool, pre: bool) -> list[str]:
     for c in range(max(widths, default=-1) + 1):
         starts[c] = at
         at += widths[c] + 2 if widths.get(c) else 0
+    for child, sees in left:  # what no cell holds
+        holder = Node("div")
+        holder.children.append(child)
+        caption += rendered(holder, sees, pre)
     out = list(caption)
     for cells in rows:
         for i in range(max((len(lines) for _, _, lines in cells), default=0)):

@@ -389,6 +389,25 @@ def test_html(page, text):
     assert html_text.html_to_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<table><form><tr><td>x</td></tr></form></table>", "x"),
+        ("<table><b>x</b><tr><td>y</table>", "x\n\ny"),
+        ("<table><div>x</div><tr><td>y</table>z", "x\n\ny\n\nz"),
+        ("<table><tr><td>a</td><b>x</b></tr><tr><td>c</table>", "x\n\na\nc"),
+        ("<table><tr><b>x<td>a<td>c</table>", "x\n\na  c"),
+        ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a  b"),
+        ("<table><tr><table><tr><td>x</table></table>", "x"),
+        ("<table><tbody><p>x<br>y</p><tr><td>a</table>", "x\ny\n\na"),
+        ("<table><tr><td>a<table><tr><td>in</table><tr><td>b</table>", "a\n\nin\nb"),
+        ("<table><script>no</script><style>no</style><input type=submit value=Go><caption>c</caption><tr><td>a</table>", "Go\n\nc\na"),
+    ],
+)
+def test_html_text_beside_cells(page, text):
+    assert html_text.html_to_text(page) == text
+
+
 def test_html_table_of_pages(spark):
     df = spark.createDataFrame([(1, "<p>a</p>", 5), (2, None, 6), (None, "b" * 100_000, 7)], "page_id long, html string, text int")
     assert [(r.page_id, r.n_lines) for r in html_text.extract_text(df).orderBy("page_id").collect()] == [(None, 1), (1, 1), (2, 0)]
