@@ -4,22 +4,21 @@ A tokenizer and a tree builder with implied start and end tags make a tree; visi
 rendering keeps block spacing, list markers with nesting, preformatted text and aligned table cells.
 
 Defined results: null or empty pages give an empty text; unclosed tags end with their parent; unmatched end tags are ignored;
-what a table, row group or row may not hold comes before the table, a form there stays empty and a table there ends the one before;
-elements nested deeper than 256 become siblings at that depth; comments, declarations and processing instructions vanish.
+elements nest without limit; what a table, row group or row may not hold comes before the table, a form there stays empty and a table there ends the one before; comments, declarations and processing instructions vanish.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 256
-
 # Fixed values of the HTML standard: groups of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -83,27 +82,36 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 
 
 class Builder:
-    """The stack of open elements; implied tags are put in as elements come."""
+    """The stack of open elements, and each name's places in it; implied tags are put in as elements come."""
 
     def __init__(self):
         self.root = Node("html")
         self.open = [self.root]
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+
+    def _nearest(self, names: set[str] | frozenset[str]) -> int:
+        """The place of the innermost open element of `names`; 0, the root's, if there is none."""
+        return max((p[-1] for x in names if (p := self.places.get(x))), default=0)
+
+    def _cut(self, place: int) -> None:
+        """Ends the open elements from a place on."""
+        for node in self.open[place:]:
+            self.places[node.tag].pop()
+        del self.open[place:]
 
     def _close(self, names: set[str] | frozenset[str], barriers: set[str] | frozenset[str]) -> None:
         """Ends the outermost open element of `names` above the nearest barrier."""
-        cut = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in names:
-                cut = i
-            elif self.open[i].tag in barriers:
-                break
-        if cut is not None:
-            del self.open[cut:]
+        if not any(self.places.get(x) for x in names):
+            return
+        barrier = self._nearest(barriers)
+        above = [p[i] for x in names if (p := self.places.get(x)) and (i := bisect_right(p, barrier)) < len(p)]
+        if above:
+            self._cut(min(above))
 
     def _insert(self, child: Node | str) -> None:
         """Adds to the innermost open element; what a table's parts may not hold goes before the table (foster parenting)."""
         if self.open[-1].tag in HOLDS_NO_TEXT and (isinstance(child, str) or child.tag not in IN_TABLE | {"form"}):
-            i = max((i for i, x in enumerate(self.open) if x.tag == "table"), default=0)
+            i = self._nearest({"table"})
             if i:
                 home = self.open[i - 1].children
                 home.insert(len(home) - 1, child)  # the open table is its parent's last child
@@ -112,8 +120,8 @@ class Builder:
 
     def _push(self, node: Node) -> None:
         self._insert(node)
-        if len(self.open) < MAX_DEPTH:
-            self.open.append(node)
+        self.places[node.tag].append(len(self.open))
+        self.open.append(node)
 
     def start(self, name: str, attributes: str) -> None:
         if name in ("html", "body"):
@@ -121,15 +129,16 @@ class Builder:
             if name == "body":
                 self._close({"head"}, frozenset())
             return
-        if name in BLOCKS and any(x.tag == "head" for x in self.open):
+        if name in BLOCKS and self.places["head"]:
             self._close({"head"}, frozenset())
         if name in CLOSES_P:
             self._close({"p"}, {"td", "th", "table", "button", "caption"})
         if name in ENDS:
             self._close(*ENDS[name])
         if name in HOLDERS:
-            i = max((i for i, x in enumerate(self.open) if x.tag in HOLDERS[name]), default=len(self.open))
-            del self.open[i + 1 :]
+            i = self._nearest(HOLDERS[name])
+            if i:
+                self._cut(i + 1)
         elif name == "table" and self.open[-1].tag in HOLDS_NO_TEXT:
             self.end("table")
         top = self.open[-1].tag
@@ -153,15 +162,12 @@ class Builder:
         if name in ("html", "body", *VOID):
             return
         barriers = {"table", "td", "th", "caption"} if name not in PART_OF_TABLE | {"table", "tr", "td", "th", "caption"} else {"table"}
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == name:
-                del self.open[i:]
-                return
-            if self.open[i].tag in barriers:
-                break
-        if name == "p":
+        i = self._nearest({name})
+        if i and i >= self._nearest(barriers):
+            self._cut(i)
+        elif name == "p":
             self.start("p", "")
-            self.open.pop() if self.open[-1].tag == "p" else None
+            self._cut(len(self.open) - 1)
 
     def text(self, value: str) -> None:
         if value.strip() or self.open[-1].tag not in HOLDS_NO_TEXT:
@@ -266,7 +272,23 @@ def _number(value: str, default: int, most: int = 1000) -> int:
     return min(most, int(digits)) if re.fullmatch(r"-?[0-9]{1,9}", digits) else default
 
 
-def _table(node: Node, visible: bool, pre: bool) -> list[str]:
+#: Rendering keeps its own stack: a task yields the tasks whose result it needs.
+Task = Generator["Task", list[str], list[str]]
+
+
+def _run(task: Task) -> list[str]:
+    stack, result = [task], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(result))
+            result = None
+        except StopIteration as done:
+            stack.pop()
+            result = done.value
+    return result
+
+
+def _table(node: Node, visible: bool, pre: bool) -> Task:
     caption, rows, groups, left = [], [], [], []
     for child in node.children:
         if isinstance(child, str):
@@ -276,7 +298,7 @@ def _table(node: Node, visible: bool, pre: bool) -> list[str]:
         if not has:
             continue
         if child.tag == "caption":
-            caption += rendered(child, sees, pre)
+            caption += yield _rendered(child, sees, pre)
         elif child.tag == "tr":
             groups.append((1, child, sees))
         elif child.tag in PART_OF_TABLE:
@@ -288,7 +310,7 @@ def _table(node: Node, visible: bool, pre: bool) -> list[str]:
                     groups.append((place, x, below[1]))
         else:
             left.append((child, visible))
-    covered: dict[tuple[int, int], bool] = {}
+    covered: dict[int, int] = {}  # the row before which a column is taken
     for r, (_, row, sees) in enumerate(sorted(groups, key=lambda g: g[0])):
         cells, column = [], 0
         for cell in row.children:
@@ -298,13 +320,13 @@ def _table(node: Node, visible: bool, pre: bool) -> list[str]:
             has, s = shown(cell, sees)
             if not has:
                 continue
-            while (r, column) in covered:
+            while covered.get(column, 0) > r:
                 column += 1
-            across, down = max(1, _number(cell.attrs.get("colspan", ""), 1)), max(1, _number(cell.attrs.get("rowspan", ""), 1, 200))
-            for y in range(r + 1, r + down):
+            across, down = max(1, _number(cell.attrs.get("colspan", ""), 1)), max(1, _number(cell.attrs.get("rowspan", ""), 1, 65534))  # the standard's bound
+            if down > 1:
                 for x in range(column, column + across):
-                    covered[y, x] = True
-            cells.append((column, across, rendered(cell, s, pre)))
+                    covered[x] = max(covered.get(x, 0), r + down)
+            cells.append((column, across, (yield _rendered(cell, s, pre))))
             column += across
         rows.append(cells)
     widths: dict[int, int] = {}
@@ -325,7 +347,7 @@ def _table(node: Node, visible: bool, pre: bool) -> list[str]:
     for child, sees in left:  # what no cell holds
         holder = Node("div")
         holder.children.append(child)
-        caption += rendered(holder, sees, pre)
+        caption += yield _rendered(holder, sees, pre)
     out = list(caption)
     for cells in rows:
         for i in range(max((len(lines) for _, _, lines in cells), default=0)):
@@ -337,7 +359,7 @@ def _table(node: Node, visible: bool, pre: bool) -> list[str]:
     return out
 
 
-def _into(node: Node, out: Lines, visible: bool, pre: bool) -> None:
+def _into(node: Node, out: Lines, visible: bool, pre: bool) -> Task:
     numbering = None
     if node.tag == "ol":
         numbering = _number(node.attrs.get("start", ""), 1, 10**9)
@@ -366,37 +388,41 @@ def _into(node: Node, out: Lines, visible: bool, pre: bool) -> None:
             blank = tag in SPACED
             if blank:
                 out.edge(True)
-            _into(child, out, sees, True)
+            yield _into(child, out, sees, True)
             if blank:
                 out.edge(True)
         elif tag == "table":
-            out.block(_table(child, sees, inner_pre), True)
+            out.block((yield _table(child, sees, inner_pre)), True)
         elif tag == "li":
             if numbering is not None:
                 numbering = _number(child.attrs.get("value", ""), numbering, 10**9)
                 marker, numbering = f"{numbering}. ", numbering + 1
             else:
                 marker = "- "
-            lines = rendered(child, sees, inner_pre)
+            lines = yield _rendered(child, sees, inner_pre)
             out.block([(marker if not i else " " * len(marker)) + x if x else "" for i, x in enumerate(lines)], False)
         elif tag in ("dd", "blockquote"):
-            lines = rendered(child, sees, inner_pre)
+            lines = yield _rendered(child, sees, inner_pre)
             out.block(["  " + x if x else "" for x in lines], tag == "blockquote")
         elif tag in BLOCKS:
             blank = tag in SPACED and not (tag in ("ul", "ol") and node.tag == "li")
             out.edge(blank)
-            _into(child, out, sees, inner_pre)
+            yield _into(child, out, sees, inner_pre)
             out.edge(blank)
         else:
-            _into(child, out, sees, inner_pre)
+            yield _into(child, out, sees, inner_pre)
 
 
-def rendered(node: Node, visible: bool = True, pre: bool = False) -> list[str]:
+def _rendered(node: Node, visible: bool, pre: bool) -> Task:
     out = Lines()
-    _into(node, out, visible, pre)
+    yield _into(node, out, visible, pre)
     return out.result()
 
 
+def rendered(node: Node, visible: bool = True, pre: bool = False) -> list[str]:
+    return _run(_rendered(node, visible, pre))
+
+
 def html_to_text(html: str | None) -> str:
     """The visible text of a page."""
     if not html:

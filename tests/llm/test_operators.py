@@ -408,6 +408,27 @@ def test_html_text_beside_cells(page, text):
     assert html_text.html_to_text(page) == text
 
 
+@pytest.mark.parametrize("deep", ["<font>" * 300, "<div>" * 300, "<span><a>" * 5000])
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<script>no</script><style>no</style>x", "x"),
+        ("a<b style='display:none'>no<b>no</b>no</b>c<p hidden>no</p>", "ac"),
+        ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "- a\n- b\n\nc  d"),
+        ("<div hidden>no<div>no</div>no</div>x", "x"),
+    ],
+)
+def test_html_depth_has_no_limit(deep, page, text):
+    assert html_text.html_to_text(deep + page) == text
+
+
+def test_html_depth_of_blocks_and_long_spans():
+    assert html_text.html_to_text("<blockquote>" * 2000 + "x") == "  " * 2000 + "x"
+    assert html_text.html_to_text("<table><tr><td>" * 1000 + "x") == "x"
+    rows = html_text.html_to_text("<table><tr><td rowspan=300>a<td>b" + "<tr><td>c" * 299 + "<tr><td>d</table>").split("\n")
+    assert rows == ["a  b"] + ["   c"] * 299 + ["d"]
+
+
 def test_html_table_of_pages(spark):
     df = spark.createDataFrame([(1, "<p>a</p>", 5), (2, None, 6), (None, "b" * 100_000, 7)], "page_id long, html string, text int")
     assert [(r.page_id, r.n_lines) for r in html_text.extract_text(df).orderBy("page_id").collect()] == [(None, 1), (1, 1), (2, 0)]
