@@ -29,11 +29,15 @@ def kmeans_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.cluster_profile(clustered, "label", "vec_id").select("cluster", "size", F.to_json("axes").alias("axes"), "samples")
 
 
+def scanned_k(n: int) -> list[int]:
+    """The numbers of clusters that the silhouette scan of n vectors tries."""
+    return list(range(50, min(200, n // 2) + 1, 25)) or [2]
+
+
 @query()
 def kmeans_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    n = vectors.count()
-    return ml.silhouette_scan(vectors, list(range(50, min(200, n // 2) + 1, 50)) or [2])
+    return ml.silhouette_scan(vectors, scanned_k(vectors.count()))
 
 
 @query()

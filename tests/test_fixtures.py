@@ -8,8 +8,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from marigold import registry
 from marigold.functions import geometry, hashing, text, vectors
 from marigold.operators import graph, ml, relational, search, stats, store
+from marigold.plans import learning
 from marigold.sources import readers, sinks
 from marigold.streaming import messages
 
@@ -152,6 +154,13 @@ def test_learning(spark, sf):
     assert ml.decimate(v, 10).count() == 10 and ml.reduce_near_duplicates(v, 0.1).count() <= v.count()
 
 
+def test_silhouette_scan_tries_every_25th_k(spark, sf):
+    rows = registry.queries()["kmeans_silhouette"](spark, sf).collect()
+    assert [r.k for r in rows] == [50, 75, 100, 125, 150, 175, 200]
+    assert [r.k for r in rows if r.best] == [max(rows, key=lambda r: r.silhouette).k]
+    assert [learning.scanned_k(n) for n in (3, 100, 199, 300)] == [[2], [50], [50, 75], [50, 75, 100, 125, 150]]
+
+
 def test_pager(spark):
     pages = spark.createDataFrame([("q", i, n) for i, n in enumerate((5, 0, 0, 0, 2))], "q string, page int, new int")
     assert stats.no_progress_stop(pages, keys=["q"], order="page", new_col="new", limit=3).count() == 4
