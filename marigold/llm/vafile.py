@@ -7,7 +7,10 @@ Then the block results are merged, k rows per query and block.
 
 Queries and candidates meet in blocks of bounded size, (query block, candidate block) by task, so memory does not grow with the
 table. Vectors that are null or hold null or non-finite components take no part, as queries or candidates. Vectors of unequal
-lengths count as padded by zeros. Scores are exact for up to 512 components of which |component| * 256 < 2**22; larger ones are clipped to that.
+lengths count as padded by zeros.
+
+Scores are exact. Where all sums of a block stay below 2**53, doubles hold them. Other blocks take doubles with their error as bounds,
+and Python integers for the vectors that are left. A returned score beyond 64 bits, which the result cannot hold, is an error.
 """
 
 from __future__ import annotations
@@ -20,17 +23,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS, QUERY_BLOCK, CANDIDATE_BLOCK = 6, 4096, 4096
-_LIMIT = 1 << 22
+_EXACT = 1 << 53
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Rows of integers, padded by zeros."""
+    """Rows of components rounded down to multiples of 1/256, padded by zeros."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(arr, pa.ChunkedArray):
         arr = pa.concat_arrays(arr.chunks)
     out = np.zeros((len(arr), width))
     lengths = np.asarray(arr.value_lengths())
     flat = np.asarray(arr.flatten())
+    small = np.abs(flat) < _EXACT >> 8  # larger doubles are such multiples already
+    flat = np.where(small, np.floor(np.where(small, flat, 0.0) * 256) / 256, flat)
     row = np.repeat(np.arange(len(arr)), lengths)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
     return out
@@ -48,6 +53,41 @@ def cells(x: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return codes, bounds
 
 
+def wide_topk(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """block_topk for multiples of 1/256 of any size, with scores as Python integers of components times 256."""
+    distinct, number = np.unique(x, axis=0, return_inverse=True)
+    number = number.reshape(-1)
+
+    def scaled(a: np.ndarray) -> np.ndarray:
+        return np.ldexp(a, -np.frexp(np.abs(a).max(initial=1.0))[1])  # within 1, so that no product overflows
+
+    def whole(row: np.ndarray) -> list[int]:
+        return [(n << 8) // d for n, d in map(float.as_integer_ratio, row.tolist())]
+
+    near_q, near_x = scaled(q), scaled(distinct)
+    slack, least = (x.shape[1] + 8) * 2.0**-52, (x.shape[1] + 8) * 2.0**-1070  # of rounding and of underflow
+    exact: dict[int, list[int]] = {}
+    rows, columns, scores = [], [], []
+    for a in range(0, len(q), 256):
+        some = near_q[a : a + 256]
+        middle, error = some @ near_x.T, (np.abs(some) @ np.abs(near_x).T) * slack + least
+        for i in range(len(some)):
+            others = np.flatnonzero(query_ids[a + i] != ids)
+            upper, lower = (middle[i] + error[i])[number[others]], (middle[i] - error[i])[number[others]]
+            if len(others) > k:
+                others = others[upper >= np.partition(lower, -k)[-k]]
+            mine, score = whole(q[a + i]), {}
+            for n in np.unique(number[others]).tolist():
+                if n not in exact:
+                    exact[n] = whole(distinct[n])
+                score[n] = sum(map(int.__mul__, mine, exact[n]))
+            best = sorted((-score[n], v, c) for n, v, c in zip(number[others].tolist(), ids[others].tolist(), others.tolist(), strict=True))[:k]
+            rows += [a + i] * len(best)
+            columns += [c for _, _, c in best]
+            scores += [-s for s, _, _ in best]
+    return np.array(rows, np.int64), np.array(columns, np.int64), scores
+
+
 def block_topk(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, candidate number, score): exactly each query's k best of the block, ties to the smaller id."""
     codes, bounds = cells(x)
@@ -87,8 +127,13 @@ def _pair(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
         width = 1
     q, x = _matrix(queries["v"], width), _matrix(candidates["v"], width)
     qi, ci = np.asarray(queries["id"]), np.asarray(candidates["id"])
-    n, m, s = block_topk(qi, q, ci, x, k)
-    return pa.Table.from_arrays([pa.array(qi[n], pa.int64()), pa.array(ci[m], pa.int64()), pa.array(s.astype(np.int64), pa.int64())], schema=schema)
+    most = [int(np.ceil(np.abs(a).max(initial=0.0))) << 8 for a in (q, x)]
+    if width * most[0] * most[1] < _EXACT:
+        n, m, s = block_topk(qi, q * 256, ci, x * 256, k)
+        s = s.astype(np.int64)
+    else:
+        n, m, s = wide_topk(qi, q, ci, x, k)
+    return pa.Table.from_arrays([pa.array(qi[n], pa.int64()), pa.array(ci[m], pa.int64()), pa.array(s, pa.int64())], schema=schema)
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, *, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -98,9 +143,9 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, *, k: int, id_col: str =
 
     def usable(df: DataFrame) -> DataFrame:
         v = F.col(vector_col)
-        scaled = F.transform(v, lambda x: F.greatest(F.least(F.floor(x.cast("double") * 256), F.lit(_LIMIT)), F.lit(-_LIMIT)).cast("double"))
+        doubles = F.transform(v, lambda x: x.cast("double"))
         fine = v.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-        return df.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), scaled.alias("v"))
+        return df.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), doubles.alias("v"))
 
     c, q = usable(vectors), usable(queries)
     blocks = {n: max(1, -(-df.count() // size)) for n, df, size in (("c", vectors, CANDIDATE_BLOCK), ("q", queries, QUERY_BLOCK))}

@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -16,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marigold.llm import bloom, bpe, html_text, licenses, lines, ngram_join, ogg, packing, pretokens, quality, substr, vafile
+from marigold.llm import bloom, bpe, html_text, licenses, lines, ngram_join, ogg, oracles, packing, pretokens, quality, queries, substr, vafile
 from marigold.llm.common import buffers
 from tests.llm import texts as T
 
@@ -309,6 +310,28 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert vafile.exact_topk(few, few, k=5).count() == 6 and vafile.exact_topk(df.where("vec_id < 0"), df, k=5).count() == 0
 
 
+def test_topk_of_large_components_equals_sql(spark, tmp_path):
+    rnd = np.random.default_rng(4)
+    data = [(i, [float(x) for x in rnd.normal(size=8) * 10.0 ** rnd.integers(0, 6)]) for i in range(200)]
+    data += [(200, [20000.0] * 8), (201, [20000.5] * 8), (202, [20000.5] * 8), (203, [5e6, -5e6, 1 / 256, 0.3, 0.0, 0.0, 0.0, 0.0]), (204, [5e6, -5e6, 2 / 256, 0.3, 0.0, 0.0, 0.0, 0.0])]
+    spark.createDataFrame(data, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = queries.op8_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(oracles.OP8).fetchall())
+
+
+@pytest.mark.parametrize("power", [0, 40, 900])
+def test_wide_topk_is_exact(power):
+    rnd = np.random.default_rng(5)
+    x = np.ldexp(np.floor(rnd.normal(size=(60, 5)) * 2.0**44) / 256, power)
+    x[30:40], x[40:50] = x[0], x[1] + np.ldexp(1.0, power - 8)
+    n, m, s = vafile.wide_topk(np.arange(60), x, np.arange(60), x, 4)
+    whole = [[int(v * 256) if power < 900 else int(v) * 256 for v in row] for row in x.tolist()]
+    want = [(i, j, -a) for i in range(60) for a, j in sorted((-sum(u * v for u, v in zip(whole[i], whole[j], strict=True)), j) for j in range(60) if j != i)[:4]]
+    assert list(zip(n.tolist(), m.tolist(), s, strict=True)) == want
+
+
 # 9. Packing
 
 
