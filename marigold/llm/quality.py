@@ -1,6 +1,6 @@
 """A quality classifier by importance resampling.
 
-Two generative models over hashed n-grams: the target model from labelled good documents (a bounded sample of labels, MAX_LABELS
+Two generative models over n-grams, counted one by one at every corpus size: the target model from labelled good documents (a bounded sample of labels, MAX_LABELS
 rows with the smallest hash of their id), the raw model from every document of the corpus. A gram's log ratio is
 log((target count + s) / (expected count + s)), the expected count being the raw count scaled to the target's size, so that rare
 grams say little. A document's log importance weight has two parts: WEIGHT_GRAMS times its mean log ratio over word unigrams and
@@ -8,6 +8,9 @@ bigrams, less the target's own mean, so that length alone does not decide; and t
 the target all but lacks (log ratio under TAIL), so that a few bad words count in a long text. Beginnings of words stand for their
 inflected forms.
 
+Chunks of whole documents send their distinct grams, as 64-bit hashes with their counts, to groups by ranges of the hash; a group
+sums the counts over all chunks and answers each chunk, where weights are put together. Groups hold a bounded number of rows.
+
 Documents are then sampled without replacement by Gumbel top-k: weight plus Gumbel noise, the k largest stay. The noise comes from
 a hash of seed, id and text, so a rerun draws the same. k is the share of good among the sampled labels times the number of
 documents. The k-th largest is found by narrowing a histogram, never by a global sort.
@@ -29,16 +32,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marigold.llm import sketch
-from marigold.llm.common import buffers, gram_hashes, mix, slices, within_rows, word_hashes, word_spans
-from marigold.plans.lineage import written
+from marigold.llm import chunks
+from marigold.llm.common import buffers, gram_hashes, mix, release, slices, within_rows, word_hashes, word_spans
+from marigold.plans.lineage import dropped, written
 
-BUCKETS, PRIOR = 1 << 20, 4.0
+PRIOR = 4.0
+#: Grams of the corpus's text, repeats included, to a group: about how many rows a group holds at most.
+GROUP = 1 << 21
 MAX_LABELS, WEIGHT_GRAMS, SHRINK, TAIL, BEGINNING = 100_000, 100.0, 50, -2.0, 4
 
 
-def features(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Unigrams, bigrams and word beginnings: (bucket of each, how many each row has)."""
+def features(batch: pa.RecordBatch | pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unigrams, bigrams and word beginnings: (64-bit hash of each, how many each row has)."""
     data, offsets = buffers(batch.column("text"))
     starts, ends, rows = word_spans(data, offsets)
     words = word_hashes(data, starts, ends)
@@ -46,54 +51,129 @@ def features(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
     long = ends - starts > BEGINNING + 1
     heads = word_hashes(data, starts[long], starts[long] + BEGINNING, lower=True)
     counted = np.diff(np.concatenate([[0], np.cumsum(long)])[rows])
-    mask = np.uint64(BUCKETS - 1)
-    return [((g & mask).astype(np.int64), n) for g, n in ((mix(words), np.diff(rows)), (gram_hashes(words, 2, 2)[firsts], pairs), (mix(heads + np.uint64(12345)), counted))]
+    return [(mix(words), np.diff(rows)), (gram_hashes(words, 2, 2)[firsts], pairs), (mix(heads + np.uint64(12345)), counted)]
+
+
+def _known(table: pa.RecordBatch | pa.Table, ids: np.ndarray) -> np.ndarray:
+    """Which rows are labelled good."""
+    return np.isin(table.column("doc_id").fill_null(-1).to_numpy(), ids) & np.asarray(table.column("doc_id").is_valid())
 
 
-def _counts(batches: Iterator[pa.RecordBatch], good: Broadcast) -> np.ndarray:
-    """Raw and target counts of an input partition."""
-    counts, ids = np.zeros((2, BUCKETS), np.int64), good.value
+def _sizes(batches: Iterator[pa.RecordBatch], good: Broadcast) -> Iterator[pa.RecordBatch]:
+    """How many grams an input partition has, and how many in good documents."""
+    raw = target = 0
     for batch in batches:
         for piece in slices(batch):
-            keys = piece.column("doc_id").fill_null(-1).to_numpy()
-            known = np.isin(keys, ids) & np.asarray(piece.column("doc_id").is_valid())
-            for g, n in features(piece):
-                counts[0] += np.bincount(g, minlength=BUCKETS)
-                counts[1] += np.bincount(g[np.repeat(known, n)], minlength=BUCKETS)
-    return counts
-
-
-class Ratio:
-    """Log ratio of each bucket, and the target's mean."""
-
-    def __init__(self, raw: np.ndarray, target: np.ndarray):
-        size = target.sum()
-        expected = raw * (size / max(1, raw.sum()))
-        self.logs = np.log((target + PRIOR) / (expected + PRIOR)).astype(np.float32) if size else np.zeros(len(raw), np.float32)
-        self.mean = float((self.logs * target).sum() / size) if size else 0.0
-
-    def weights(self, piece: pa.RecordBatch) -> np.ndarray:
-        n = piece.num_rows
-        total, count, tail = np.zeros(n), np.zeros(n), np.zeros(n)
-        for i, (g, sizes) in enumerate(features(piece)):
-            row, logs = np.repeat(np.arange(n), sizes), self.logs[g].astype(np.float64)
-            if i < 2:
-                total += np.bincount(row, logs, n)
-                count += sizes
-            if i != 1:
-                tail += np.bincount(row, np.where(logs < TAIL, logs, 0.0), n)
-        return WEIGHT_GRAMS * (total - self.mean * count) / (count + SHRINK) + tail
-
-
-def _weighed(batches: Iterator[pa.RecordBatch], ratio: Broadcast, seed: int) -> Iterator[pa.RecordBatch]:
+            known = _known(piece, good.value)
+            for _, n in features(piece):
+                raw, target = raw + int(n.sum()), target + int(n[known].sum())
+    yield pa.RecordBatch.from_arrays([pa.array([raw], pa.int64()), pa.array([target], pa.int64())], ["raw", "target"])
+
+
+class Grams:
+    """A chunk's distinct grams in order of their hash, and the edges of each group's range."""
+
+    def __init__(self, table: pa.Table, groups: int):
+        found = features(table)
+        self.sizes = [n for _, n in found]
+        self.hashes, numbers = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+        self.numbers = np.split(numbers, np.cumsum([len(g) for g, _ in found])[:-1])
+        group = ((self.hashes >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+        self.edges = np.searchsorted(group, np.arange(groups + 1, dtype=np.uint64))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit integers with their bytes by significance, which compresses well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _sent(batches: Iterator[pa.RecordBatch], good: Broadcast, groups: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's distinct grams, one row per group: differences of the hashes, counts in all and in good documents."""
     for batch in batches:
-        for piece in slices(batch):
-            w = ratio.value.weights(piece)
-            ids = piece.column("doc_id").fill_null(-1).to_numpy().astype(np.uint64)
-            h = mix(mix(np.asarray(piece.column("h")).astype(np.uint64) + np.uint64(seed)) + ids)
-            u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-            w = np.round(w, 6)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("h"), pa.array(w), pa.array(w - np.log(-np.log(u)))], ["doc_id", "h", "weight", "key"])
+        for chunk, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            table = chunks.unpacked(block.as_buffer())
+            grams, known = Grams(table, groups), _known(table, good.value)
+            raw, target = np.zeros(len(grams.hashes), np.int64), np.zeros(len(grams.hashes), np.int64)
+            for numbers, n in zip(grams.numbers, grams.sizes, strict=True):
+                raw += np.bincount(numbers, minlength=len(raw))
+                target += np.bincount(numbers[np.repeat(known, n)], minlength=len(raw))
+            rows = []
+            for g in np.flatnonzero(np.diff(grams.edges)).tolist():
+                some = slice(grams.edges[g], grams.edges[g + 1])
+                h = grams.hashes[some]
+                content = _planes(np.diff(h, prepend=np.uint64(0))) + raw[some].astype(np.uint32).tobytes() + target[some].astype(np.uint32).tobytes()
+                rows.append((g, chunk, chunks.checksum(h), len(h), chunks.squeezed(content)))
+            del grams
+            release()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["group", "chunk", "checksum", "n", "grams"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """A group's answer to each chunk: its grams' counts over all chunks."""
+    sizes = np.asarray(table["n"]).astype(np.int64)
+    hashes, raw, target = [], [], []
+    for n, content in zip(sizes.tolist(), table["grams"], strict=True):
+        content = chunks.spread(content.as_buffer())
+        planes = np.frombuffer(content, np.uint8, 8 * n).reshape(8, n)
+        hashes.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64))
+        raw.append(np.frombuffer(content, np.uint32, n, 8 * n))
+        target.append(np.frombuffer(content, np.uint32, n, 12 * n))
+    distinct, numbers = np.unique(np.concatenate(hashes), return_inverse=True)
+    totals = [np.zeros(len(distinct), np.int64) for _ in range(2)]
+    for total, counts in zip(totals, (raw, target), strict=True):
+        np.add.at(total, numbers, np.concatenate(counts).astype(np.int64))
+    answers = [chunks.squeezed(_planes(totals[0][x]) + _planes(totals[1][x])) for x in np.split(numbers, np.cumsum(sizes)[:-1])]
+    release()
+    return pa.Table.from_arrays([table["group"], table["chunk"], table["checksum"], table["n"], pa.array(answers, pa.binary())], names=["group", "chunk", "checksum", "n", "counts"])
+
+
+_PARTS = "doc_id long, h long, total double, grams long, tail double, target decimal(38,0)"
+_UNIT = 1e9
+
+
+def _parts(blocks: pa.Table, answers: pa.Table, good: Broadcast, groups: int, size: int, scale: float) -> pa.Table:
+    """Per document: sum of the log ratios of words and bigrams, their number, sum of strongly negative ratios, and its share in the
+    target's sum of log ratios in units of 1 / _UNIT, whole so that sums do not depend on their order."""
+    release()
+    if not blocks.num_rows:
+        raise RuntimeError("an answer without its chunk: the input changed between two scans")
+    table = chunks.unpacked(blocks["block"][0].as_buffer())
+    grams, known = Grams(table, groups), _known(table, good.value)
+    logs, missing = np.zeros(len(grams.hashes)), set(np.flatnonzero(np.diff(grams.edges)).tolist())
+    for g, check, n, content in zip(*(answers[c] for c in ("group", "checksum", "n", "counts")), strict=True):
+        g, n = g.as_py(), n.as_py()
+        some = slice(grams.edges[g], grams.edges[g + 1])
+        if g not in missing or n != some.stop - some.start or check.as_py() != chunks.checksum(grams.hashes[some]):
+            raise RuntimeError("the answer to a chunk does not fit its grams: the input changed between two scans")
+        missing.discard(g)
+        raw, target = np.ascontiguousarray(np.frombuffer(chunks.spread(content.as_buffer()), np.uint8).reshape(2, 8, n).transpose(0, 2, 1)).view(np.int64).reshape(2, n)
+        if size:
+            logs[some] = np.log((target + PRIOR) / (raw * scale + PRIOR))
+    if missing:
+        raise RuntimeError("a chunk has grams without an answer: the input changed between two scans")
+    n = table.num_rows
+    total, count, tail, whole = np.zeros(n), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    for i, (numbers, sizes) in enumerate(zip(grams.numbers, grams.sizes, strict=True)):
+        row, some = np.repeat(np.arange(n), sizes), logs[numbers]
+        whole += np.bincount(row, some, n)
+        if i < 2:
+            total += np.bincount(row, some, n)
+            count += sizes
+        if i != 1:
+            tail += np.bincount(row, np.where(some < TAIL, some, 0.0), n)
+    target = pa.array(np.round(np.where(known, whole, 0.0) * _UNIT).astype(np.int64)).cast(pa.decimal128(38, 0))
+    return pa.Table.from_arrays([table["doc_id"], table["h"], pa.array(total), pa.array(count), pa.array(tail), target], names=["doc_id", "h", "total", "grams", "tail", "target"])
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], mean: float, seed: int) -> Iterator[pa.RecordBatch]:
+    for piece in batches:
+        total, count, tail = (np.asarray(piece.column(c)) for c in ("total", "grams", "tail"))
+        ids = piece.column("doc_id").fill_null(-1).to_numpy().astype(np.uint64)
+        h = mix(mix(np.asarray(piece.column("h")).astype(np.uint64) + np.uint64(seed)) + ids)
+        u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+        w = np.round(WEIGHT_GRAMS * (total - mean * count) / (count + SHRINK) + tail, 6)
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("h"), pa.array(w), pa.array(w - np.log(-np.log(u)))], ["doc_id", "h", "weight", "key"])
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
@@ -127,9 +207,17 @@ def classify(docs: DataFrame, labels: DataFrame, *, seed: int = 1, id_col: str =
     good = spark.sparkContext.broadcast(np.array(sorted(r["doc_id"] for r in sample if r["good"]), np.int64))  # at most MAX_LABELS ids
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    raw, target = sketch.summed(slim.select("doc_id", "text"), partial(_counts, good=good), 2 * BUCKETS).reshape(2, -1)
-    ratio = spark.sparkContext.broadcast(Ratio(raw, target))
-    weighed = written(slim.mapInArrow(partial(_weighed, ratio=ratio, seed=seed), "doc_id long, h long, weight double, key double"), name="weights")
+    sized = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    raw, size = (int(x or 0) for x in slim.select("doc_id", "text").mapInArrow(partial(_sizes, good=good), "raw long, target long").agg(F.sum("raw"), F.sum("target")).first())
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(partitions, -(-raw // GROUP))
+    packed = slim.mapInArrow(chunks.packed, chunks.SCHEMA).repartition(max(partitions, -(-sized // chunks.CHUNK_BYTES)), "chunk")  # one exchange, used twice
+    sent = packed.mapInArrow(partial(_sent, good=good, groups=groups), "group int, chunk long, checksum long, n int, grams binary")
+    counts = sent.groupBy("group").applyInArrow(_summed, "group int, chunk long, checksum long, n int, counts binary")
+    parts = written(packed.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(partial(_parts, good=good, groups=groups, size=size, scale=size / max(1, raw)), _PARTS), name="ratios")
+    mean = float(parts.agg(F.sum("target")).first()[0] or 0) / _UNIT / size if size else 0.0
+    weighed = written(parts.mapInArrow(partial(_weighed, mean=mean, seed=seed), "doc_id long, h long, weight double, key double"), name="weights")
+    dropped(parts)
     n = weighed.count()
     k = min(n, math.ceil(share * n))
     if not n or k == n:

@@ -189,6 +189,32 @@ def test_quality_edges(docs, rows, empty, spark):
     assert quality.keep_drawn(docs, labels).columns == docs.columns
 
 
+def test_quality_counts_every_gram_by_itself(spark, monkeypatch):
+    rnd = random.Random(6)  # over two million distinct bigrams: a rare bad word keeps its own counter
+    data = [(i, " ".join([f"w{rnd.randrange(3000)}" for _ in range(1000)] + ["vile"] * (i % 50 == 0))) for i in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    labels = df.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 50 == 0).cast("int").alias("toxic"))
+    monkeypatch.setattr(quality, "GROUP", 1 << 18)
+    got = quality.classify(df, labels).collect()
+    raw, good = Counter(), Counter()
+    for i, text in data:
+        words = text.split()
+        grams = [("w", w) for w in words] + [("b", *b) for b in zip(words, words[1:], strict=False)] + [("h", w[:4]) for w in words if len(w) > 5]
+        raw.update(grams)
+        if i % 50:
+            good.update(grams)
+    size, total = sum(good.values()), sum(raw.values())
+    log = {g: np.log((good[g] + quality.PRIOR) / (n * size / total + quality.PRIOR)) for g, n in raw.items()}
+    mean = sum(log[g] * n for g, n in good.items()) / size
+    weights = {r.doc_id: r.weight for r in got}
+    for i, text in data[::25]:
+        words = text.split()
+        grams = [("w", w) for w in words] + [("b", *b) for b in zip(words, words[1:], strict=False)]
+        tails = [log[g] for g in [("w", w) for w in words] + [("h", w[:4]) for w in words if len(w) > 5]]
+        want = quality.WEIGHT_GRAMS * (sum(log[g] for g in grams) - mean * len(grams)) / (len(grams) + quality.SHRINK) + sum(x for x in tails if x < quality.TAIL)
+        assert weights[i] == pytest.approx(want, abs=1e-5)
+
+
 def test_kth_largest(spark):
     rnd = random.Random(5)
     values = [rnd.choice([1.5, 2.5, rnd.gauss(0, 1e6), rnd.random()]) for _ in range(9000)]
