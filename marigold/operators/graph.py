@@ -18,15 +18,19 @@ def degrees(edges: DataFrame, src: str = "from_pid", dst: str = "to_pid") -> Dat
 def connected_components(edges: DataFrame, src: str = "from_pid", dst: str = "to_pid", max_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node that is reachable, for every node of an edge. Edges with a null end take no part.
 
-    Each round takes the least label of a node's neighbours and then the label of that label, so that rounds grow with the
-    logarithm of the diameter in most graphs. Every round's labels are a written table; a hot node's edges meet a table with one
-    row per node, a join that adaptive execution can split."""
+    Each round finds the least label of a node's neighbours, gives it to the node and to the node that is its label so far, so that
+    whole trees are hooked at once, and then takes the label of that label. Rounds grow with the logarithm of the diameter in most
+    graphs. Every round's labels are a written table; a hot node's edges meet a table with one row per node, a join that adaptive
+    execution can split."""
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     both = written(pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     for _ in range(max_rounds):
         told = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        lower = labels.join(told, "node").select("node", F.least("component", "m").alias("c"), F.col("component").alias("before"))
+        least = F.least("component", "m").alias("c")
+        own, tree = F.struct("node", least, F.col("component").alias("before")), F.struct(F.col("component").alias("node"), least, F.lit(None).cast(labels.schema["node"].dataType).alias("before"))
+        offered = labels.join(told, "node").select(F.explode(F.array(own, tree)).alias("o")).select("o.*")
+        lower = offered.groupBy("node").agg(F.min("c").alias("c"), F.min("before").alias("before"))
         onward = labels.select(F.col("node").alias("c"), F.col("component").alias("further"))
         step = written(lower.join(onward, "c", "left").select("node", F.coalesce("further", "c").alias("component"), "before"), "labels")
         settled = step.where(F.col("component") != F.col("before")).isEmpty()
