@@ -6,13 +6,15 @@ one; without words, none. Two sets link when 100 * intersection >= percent * uni
 1. Documents with equal sets are one class. Shingles are ordered globally, rare ones first, by a sketch of their document
    frequencies (any order gives the same result; this one keeps common passages out of prefixes).
 2. Linked sets share a shingle in their prefixes of size - ceil(percent * size / 100) + 1 shingles. Classes with identical prefixes
-   and sizes collapse into one group. Only prefix shingles that a twice-seen Bloom filter suspects are shuffled. Each shingle ties
-   the groups whose sizes pass the length filter to their smallest one, a star instead of all pairs, and connected stars make
-   candidate components: no link crosses them.
-3. Components expand to their classes and these to their whole sets. Components of up to BLOCK classes are verified in one task,
-   many to a task; larger ones in tasks of two blocks each, every pair of blocks once. Inside, pairs pass the length filter, then
-   exact intersections come from products of 0/1 matrices over a few thousand shingles at a time. No pair leaves a task: what does
-   is each class's number of links and its smallest linked class.
+   and sizes collapse into one group. Only prefix shingles that a twice-seen Bloom filter suspects are shuffled. The groups of a
+   shingle that at most LIST groups hold meet as pairs; group pairs pass a length filter, a positional filter at their first common
+   prefix shingle, and a count filter: with c common prefix shingles, at most c and the longer rest behind a prefix can be common.
+   A shingle of more groups emits no pairs: it ties the groups of one size class to their smallest one, a star.
+3. Group pairs and stars only say which groups must meet: their connected components are dealt to tasks, up to BLOCK classes of a
+   component in one task, larger components in tasks of two blocks each, every pair of blocks once. There groups expand to their
+   classes and whole sets. Group pairs pass the same filters on their whole prefixes, also those that only a star brought together;
+   members of the pairs that are left are verified, exact intersections coming from products of 0/1 matrices over a few thousand
+   shingles at a time. No pair leaves a task: what does is each class's number of links and its smallest linked class.
 4. Connected components of those give the result.
 
 Defined results: documents without words link with nothing; null ids count as documents, and component_id is null only if every
@@ -28,7 +30,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marigold.llm import bloom, sketch
@@ -37,6 +39,10 @@ from marigold.operators.graph import connected_components
 from marigold.plans.lineage import dropped, written
 
 BLOCK, COLUMNS = 512, 4096
+#: Groups of a prefix shingle that meet as pairs; at most LIST / 2 pairs come from each place in a prefix.
+LIST = 32
+#: Pairs that a vectorised step handles at once.
+PAIRS = 1 << 19
 #: Counters of the frequency sketch: about one for 16 shingles, within these bounds.
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 24
 
@@ -65,12 +71,15 @@ def _frequencies(batches: Iterator[pa.RecordBatch], shingle: int, counters: int)
     return counts
 
 
+def ordered(s: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
+    """A set in the global order: by frequency, then hash."""
+    return s[np.lexsort((s, frequencies[(s & np.uint64(len(frequencies) - 1)).astype(np.int64)]))]
+
+
 def prefix_of(s: np.ndarray, frequencies: np.ndarray, percent: int) -> np.ndarray:
-    """The set's first size - ceil(percent * size / 100) + 1 shingles in the global order: by frequency, then hash."""
+    """The set's first size - ceil(percent * size / 100) + 1 shingles in the global order."""
     n = len(s)
-    if not n:
-        return s
-    return s[np.lexsort((s, frequencies[(s & np.uint64(len(frequencies) - 1)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]]
+    return ordered(s, frequencies)[: n - -(-percent * n // 100) + 1] if n else s
 
 
 def _prefix_hashes(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, frequencies: Broadcast) -> Iterator[np.ndarray]:
@@ -89,7 +98,8 @@ def _digest(*parts: np.ndarray) -> bytes:
 
 
 def _described(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, frequencies: Broadcast, twice: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Per document: size and digest of the set, number of the group with this prefix and size, and suspected prefix shingles."""
+    """Per document: size and digest of the set, number of the group with this prefix and size, and the suspected prefix shingles,
+    each with its place in the prefix."""
     for batch in batches:
         for piece in slices(batch):
             release()
@@ -98,10 +108,10 @@ def _described(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, fr
             edges = np.cumsum([0, *map(len, prefixes)])
             hit = twice.value(np.concatenate(prefixes))
             groups = [int.from_bytes(_digest(np.array([len(s)]), p)[:8], "little", signed=True) if len(s) else None for s, p in zip(sets, prefixes, strict=True)]
-            tokens = [p[hit[a:b]].tobytes() for p, a, b in zip(prefixes, edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            prefix = [p[hit[a:b]].tobytes() + np.flatnonzero(hit[a:b]).astype(np.uint32).tobytes() for p, a, b in zip(prefixes, edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), piece.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(groups, pa.int64()), pa.array(tokens, pa.binary())],
-                ["doc_id", "h", "n", "fp", "g", "tokens"],
+                [piece.column("doc_id"), piece.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(groups, pa.int64()), pa.array(prefix, pa.binary())],
+                ["doc_id", "h", "n", "fp", "g", "prefix"],
             )
 
 
@@ -110,23 +120,84 @@ def size_class(n: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(n) / (np.log(100 / percent) * (1 + 1e-9) + 1e-9)).astype(np.int64)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Each suspected prefix shingle of a group, under the group's size class and the next one: sizes that can link meet in one."""
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each suspected prefix shingle of a group: (token, g, n, at, hot), from rows (g, n, hot, prefix)."""
     for batch in batches:
-        content = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+        content = [x.as_buffer() for x in batch.column("prefix")]
         if not content:
             continue
-        each = [len(x) for x in content]
-        groups, classes = np.repeat(np.asarray(batch.column(0)), each), np.repeat(size_class(np.asarray(batch.column(1)), percent), each)
-        shingles = np.concatenate(content)
+        each = [len(x) // 12 for x in content]
+        tokens = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(content, each, strict=True)])
+        places = np.concatenate([np.frombuffer(x, np.uint32, k, 8 * k) for x, k in zip(content, each, strict=True)])
+        groups, sizes, hot = (np.repeat(np.asarray(batch.column(c)), each) for c in ("g", "n", "hot"))
+        yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(groups, pa.int64()), pa.array(sizes, pa.int32()), pa.array(places, pa.int32()), pa.array(hot, pa.int32())], ["token", "g", "n", "at", "hot"])
+
+
+def _classed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (token, g, n) under a key of the shingle and the group's size class, and of the next class: sizes that can link meet in one."""
+    for batch in batches:
+        token, classes = np.asarray(batch.column("token")).view(np.uint64), size_class(np.asarray(batch.column("n")), percent)
         for step in (0, 1):
-            key = mix(shingles + (classes + step).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(groups, pa.int64())], ["token", "g"])
+            key = mix(token + (classes + step).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("g")], ["token", "g"])
+
+
+def least_common(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest intersection with which sets of these sizes link."""
+    return -(-percent * (na + nb) // (100 + percent))
+
 
+def rest_of(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles stand behind the prefix of a set of this size."""
+    return -(-percent * n // 100) - 1
 
-def _expanded(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """The whole sets of candidate classes; of equal texts that meet in a partition, one."""
+
+def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Group pairs of each shingle's list that pass the length filter: (a, b, need, room). need: how many common prefix shingles the
+    pair must have; room: what the positional filter leaves if this shingle is the pair's first, at least 0 for a candidate.
+    Shingles of long lists are not met here, so they count as common as often as both groups hold any."""
+    for batch in batches:
+        lists = batch.column(0)
+        lengths, flat = np.asarray(lists.value_lengths()), lists.flatten()
+        g, n, at, hot = (np.asarray(flat.field(c)).astype(np.int64) for c in ("g", "n", "at", "hot"))
+        firsts = np.cumsum(lengths) - lengths
+        for k in np.unique(lengths).tolist():
+            i, j = np.triu_indices(k, 1)
+            chosen = firsts[lengths == k]
+            step = max(1, PAIRS // max(1, len(i)))
+            for c in range(0, len(chosen), step):
+                x, y = (chosen[c : c + step, None] + i).reshape(-1), (chosen[c : c + step, None] + j).reshape(-1)
+                fits = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+                x, y = x[fits], y[fits]
+                need, free = least_common(n[x], n[y], percent), np.minimum(hot[x], hot[y])
+                room = np.minimum(n[x] - at[x], n[y] - at[y]) + free - need
+                least = np.maximum(1, need - free - np.maximum(rest_of(n[x], percent), rest_of(n[y], percent)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(g[x], g[y])), pa.array(np.maximum(g[x], g[y])), pa.array(least, pa.int32()), pa.array(room, pa.int32())], ["a", "b", "need", "room"])
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Hashes of a column, each twice, so that the twice-seen filter holds them all."""
+    for batch in batches:
+        yield np.repeat(mix(np.asarray(batch.column(0)).view(np.uint64)), 2)
+
+
+def _wanted(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Texts (h, text) whose hash may be a candidate's; of equal ones that meet in a task, one."""
+    seen: set[int] = set()
+    for batch in batches:
+        h = np.asarray(batch.column(0))
+        keep = []
+        for i in np.flatnonzero(held.value(mix(h.view(np.uint64)))).tolist():
+            if (x := int(h[i])) not in seen:
+                seen.add(x)
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
+def _expanded(batches: Iterator[pa.RecordBatch], shingle: int, frequencies: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The whole sets of candidate classes, in the global order; of equal texts that meet in a partition, one."""
     seen: set[bytes] = set()
+    names = ["fp", "component", "blocks", "block"]
     for batch in batches:
         keep = []
         for i, fp in enumerate(batch.column(0).to_pylist()):
@@ -134,37 +205,68 @@ def _expanded(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
                 seen.add(fp)
                 keep.append(i)
         for piece in slices(batch.take(pa.array(keep, pa.int64()))):
-            sets = shingle_sets(piece, shingle)
-            yield pa.RecordBatch.from_arrays([piece.column(c) for c in ("fp", "component", "blocks", "block")] + [pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "component", "blocks", "block", "shingles"])
+            sets = [ordered(s, frequencies.value).tobytes() for s in shingle_sets(piece, shingle)]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
 
-def links_between(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int) -> np.ndarray:
-    """Pairs (i, j) of set numbers that link: all pairs within `left`, or, with `right`, all pairs across."""
-    members = left if right is None else np.concatenate([left, right])
-    sizes = np.array([len(sets[i]) for i in members], np.int64)
-    hashes, columns = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
-    rows = np.repeat(np.arange(len(members)), sizes)
+def products(sets: list[np.ndarray], m: int, square: bool) -> np.ndarray:
+    """Intersection sizes of the first m sets with each other (square), or with the others."""
+    sizes = [len(s) for s in sets]
+    hashes, columns = np.unique(np.concatenate(sets), return_inverse=True)
+    rows = np.repeat(np.arange(len(sets)), sizes)
     shared = np.bincount(columns, minlength=len(hashes)) > 1
     number = np.cumsum(shared) - 1
     keep = shared[columns]
     rows, columns = rows[keep], number[columns[keep]]
     order = np.argsort(columns, kind="stable")
     rows, columns = rows[order], columns[order]
-    m = len(left)
-    common = np.zeros((m, m if right is None else len(right)), np.float32)
+    common = np.zeros((m, m if square else len(sets) - m), np.float32)
     total = int(shared.sum())
     for c in range(0, total, COLUMNS):
         a, b = np.searchsorted(columns, [c, c + COLUMNS])
-        x = np.zeros((len(members), min(COLUMNS, total - c)), np.float32)
+        x = np.zeros((len(sets), min(COLUMNS, total - c)), np.float32)
         x[rows[a:b], columns[a:b] - c] = 1
-        common += x[:m] @ (x if right is None else x[m:]).T
-    si, sj = sizes[:m, None], (sizes if right is None else sizes[m:])[None, :]
-    common = common.astype(np.int64)
-    fine = (100 * np.minimum(si, sj) >= percent * np.maximum(si, sj)) & (100 * common >= percent * (si + sj - common))  # length filter, then the exact test
-    if right is None:
-        fine &= np.arange(m)[:, None] < np.arange(m)[None, :]
+        common += x[:m] @ (x if square else x[m:]).T
+    return common.astype(np.int64)
+
+
+def links_between(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int) -> np.ndarray:
+    """Pairs (i, j) of set numbers that link: all pairs within `left`, or, with `right`, all pairs across. Sets are in the global order.
+
+    Sets of one prefix and size are a group; group pairs pass the length and count filters, and their members are verified."""
+    square = right is None
+    members = left if square else np.concatenate([left, right])
+    m = len(left)
+    groups: dict[tuple[int, bytes], int] = {}
+    prefixes, of = [], np.empty(len(members), np.int64)
+    for k, i in enumerate(members.tolist()):
+        if k == m:
+            groups = {}  # the right side has groups of its own
+        n = len(sets[i])
+        prefix = sets[i][: n - int(rest_of(np.int64(n), percent))]
+        of[k] = groups.setdefault((n, prefix.tobytes()), len(prefixes))
+        if of[k] == len(prefixes):
+            prefixes.append(prefix)
+    sizes = np.array([len(sets[i]) for i in members], np.int64)
+    size_of = np.empty(len(prefixes), np.int64)
+    size_of[of] = sizes
+    edge = len(prefixes) if square else int(of[:m].max()) + 1
+    si, sj = size_of[:edge, None], (size_of if square else size_of[edge:])[None, :]
+    fits = 100 * np.minimum(si, sj) >= percent * np.maximum(si, sj)
+    fits &= products(prefixes, edge, square) >= least_common(si, sj, percent) - np.maximum(rest_of(si, percent), rest_of(sj, percent))
+    own, other = of[:m], of if square else of[m:] - edge
+    some = np.flatnonzero(fits.any(1)[own])
+    others = some if square else np.flatnonzero(fits.any(0)[other])
+    if not len(some) or not len(others):
+        return np.zeros((0, 2), np.int64)
+    a, b = left[some], (left if square else right)[others]
+    common = products([sets[i] for i in (a if square else np.concatenate([a, b])).tolist()], len(a), square)
+    ni, nj = np.array([len(sets[i]) for i in a], np.int64)[:, None], np.array([len(sets[i]) for i in b], np.int64)[None, :]
+    fine = fits[own[some][:, None], other[others][None, :]] & (100 * common >= percent * (ni + nj - common))
+    if square:
+        fine &= np.arange(len(a))[:, None] < np.arange(len(a))[None, :]
     i, j = np.nonzero(fine)
-    return np.stack([left[i], (left if right is None else right)[j]], 1)
+    return np.stack([a[i], b[j]], 1)
 
 
 def _verified(table: pa.Table, percent: int) -> pa.Table:
@@ -211,9 +313,28 @@ def _verifier(percent: int) -> Callable[[pa.Table], pa.Table]:
     return lambda table: _verified(table, percent)
 
 
+def candidate_pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): group pairs that pass the filters, and stars of the groups that share a shingle of a long list. groups: (g, n, prefix)."""
+    schema = "token long, g long, n int, at int, hot int"
+    postings = groups.select("g", "n", F.lit(0).alias("hot"), "prefix").mapInArrow(_postings, schema)
+    long = written(postings.groupBy("token").agg(F.count("*").alias("groups")).where(F.col("groups") > LIST).select("token"), "long")
+    far = written(postings.join(long, "token", "left_semi").select("token", "g", "n"), "far")
+    hot = far.groupBy("g").agg(F.count("*").cast("int").alias("hot"))
+    near = groups.join(hot, "g", "left").select("g", "n", F.coalesce("hot", F.lit(0)).alias("hot"), "prefix").mapInArrow(_postings, schema)
+    near = written(near.join(long, "token", "left_anti"), "near")  # a table, so that the join with a hot key can be split
+    lists = near.groupBy("token").agg(F.collect_list(F.struct("g", "n", "at", "hot")).alias("groups")).where(F.size("groups") > 1)  # at most LIST groups each
+    met = lists.select("groups").mapInArrow(partial(_pairs, percent=percent), "a long, b long, need int, room int")
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.max("need").alias("need"), F.max("room").alias("room")).where("common >= need AND room >= 0")
+    ties = written(far.mapInArrow(partial(_classed, percent=percent), "token long, g long"), "ties")
+    stars = written(ties.groupBy("token").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").select("token", "least"), "stars")
+    tied = ties.join(stars, "token").where("g <> least").select(F.col("least").alias("a"), F.col("g").alias("b")).distinct()
+    return pairs.select("a", "b").unionByName(tied)
+
+
 def linked_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (doc_id, h, n_shingles, component_id, n_links). component_id is the smallest id reachable by links;
-    n_links counts the different sets that the document's set links with; h is the hash of the text."""
+    """One row per document: (doc_id, h, n_shingles, component_id, n_links, root). component_id is the smallest id reachable by links;
+    n_links counts the different sets that the document's set links with; h is the hash of the text; root tells components apart, also
+    where ids repeat, and is null without words."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -225,22 +346,21 @@ def linked_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90, i
     frequencies = share(np.minimum(counts, 65535).astype(np.uint16))
     common = {"shingle": shingle, "percent": percent, "frequencies": frequencies}
     twice = share(bloom.twice_seen(texts, partial(_prefix_hashes, **common), size / 6 * (1.02 - percent / 100)))
-    sets = written(slim.mapInArrow(partial(_described, **common, twice=twice), "doc_id long, h long, n long, fp binary, g long, tokens binary"), "sets")
+    sets = written(slim.mapInArrow(partial(_described, **common, twice=twice), "doc_id long, h long, n long, fp binary, g long, prefix binary"), "sets")
     held = sets.where("n > 0")
-    groups = held.groupBy("g").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    postings = written(groups.select("g", "n", "tokens").mapInArrow(partial(_postings, percent=percent), "token long, g long"), "postings")
-    stars = written(postings.groupBy("token").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").select("token", "least"), "stars")
-    edges = postings.join(stars, "token").where("g <> least").select("g", "least").distinct()
-    candidate = connected_components(edges, "g", "least")
-    classes = held.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("h").alias("h"), F.min("g").alias("g"))
-    classes = classes.join(candidate.withColumnRenamed("node", "g"), "g", "left").select("fp", "first_id", "h", F.coalesce("component", "g").alias("component"))
-    classes = written(classes, "classes")
-    counts = written(classes.groupBy("component").agg(F.count("*").alias("m")).where("m > 1"), "counts")
-    dropped(postings)
-    dropped(stars)
+    classes = written(held.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("h").alias("h"), F.min("g").alias("g")), "classes")
+    groups = written(held.groupBy("g").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).where("length(prefix) > 0"), "groups")
+    components = connected_components(candidate_pairs(groups, percent), "a", "b")
+    dropped(groups)
+    placed = classes.join(components.withColumnRenamed("node", "g"), "g", "left").select("fp", "h", F.coalesce("component", "g").alias("component"))
+    placed = written(placed, "placed")
+    counts = written(placed.groupBy("component").agg(F.count("*").alias("m")).where("m > 1"), "counts")
     blocks = F.ceil(F.col("m") / BLOCK).cast("long")
-    candidates = written(classes.join(counts, "component").select("fp", "h", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("block")), "candidates")
-    expanded = slim.select("h", "text").join(candidates, "h").select("fp", "component", "blocks", "block", "text").mapInArrow(partial(_expanded, shingle=shingle), "fp binary, component long, blocks long, block long, shingles binary")
+    candidates = written(placed.join(counts, "component").select("fp", "h", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("block")), "candidates")
+    dropped(placed)
+    wanted = share(bloom.twice_seen(candidates.select("h"), _mixed, candidates.count()))
+    texts = slim.select("h", "text").mapInArrow(partial(_wanted, held=wanted), "h long, text string")
+    expanded = texts.join(candidates, "h").select("fp", "component", "blocks", "block", "text").mapInArrow(partial(_expanded, shingle=shingle, frequencies=frequencies), "fp binary, component long, blocks long, block long, shingles binary")
     # a class meets every block of its component; components of one block share tasks
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), candidates.where("blocks = 1").count() // BLOCK)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -255,18 +375,31 @@ def linked_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90, i
     named = classes.join(written(links, "roots"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = written(named, "named")
     least = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    result = written(named.join(least, "root").select("fp", "component_id", "n_links"), "result")
+    result = written(named.join(least, "root").select("fp", "root", "component_id", "n_links"), "result")
     joined = sets.select("doc_id", "h", "n", "fp").join(result, "fp", "left")
-    return joined.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return joined.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root")
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that of the smallest id (of equal rows with that id, one); all columns stay.
-
-    Documents without words stay, and so does a component whose ids are all null."""
-    linked = linked_components(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col)
-    gone = linked.where("n_shingles > 0 AND component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_mg_id"), F.col("h").alias("_mg_h")).distinct()
+    """docs with one document of each component, that of the smallest id; all columns stay. Of rows with that id, the one with the
+    smallest text hash stays, and of rows with equal texts the first in the order of all their columns as JSON.
+
+    All rows without words stay, repeated ones too, and so do all rows of a component whose ids are all null."""
+    linked = linked_components(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col).where("n_shingles > 0 AND component_id IS NOT NULL")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    own = linked.where(first).groupBy("root").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least_id"), F.min("h").alias("least")).where("rows > 1")
+    several = written(own, "several")  # components whose smallest id comes more than once
+    same_id = linked.where(first).join(several, "root").where("h <> least").select("doc_id", "h")
+    key = [F.col("doc_id").alias("_mg_id"), F.col("h").alias("_mg_h")]
+    gone = linked.where(~first).select("doc_id", "h").unionByName(same_id).select(*key).distinct()
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     keyed = docs.withColumn("_mg_key", F.xxhash64(text))
-    left = keyed.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_mg_id")) & (F.col("_mg_key") == F.col("_mg_h")), "left_anti")
-    return left.dropDuplicates([id_col, "_mg_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    match = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_mg_id")) & (F.col("_mg_key") == F.col("_mg_h"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    left = keyed.join(gone, match, "left_anti")
+    if several.isEmpty():
+        return left.select(*columns)
+    twins = several.select(F.col("least_id").alias("_mg_id"), F.col("least").alias("_mg_h"))
+    order = Window.partitionBy(F.col(f"`{id_col}`").cast("long"), "_mg_key").orderBy(F.to_json(F.struct(*columns)))
+    one = keyed.join(twins, match, "left_semi").withColumn("_mg_rank", F.row_number().over(order)).where("_mg_rank = 1")
+    return left.join(twins, match, "left_anti").select(*columns).unionAll(one.select(*columns))

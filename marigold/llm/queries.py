@@ -45,7 +45,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked_components(table(spark, sf_dir, "documents"), shingle=3, percent=90).drop("h")
+    return ngram_join.linked_components(table(spark, sf_dir, "documents"), shingle=3, percent=90).drop("h", "root")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,31 +289,57 @@ def test_suffix_tree_leaves():
 # 7. N-gram join
 
 
-@pytest.mark.parametrize("shingle,percent,block", [(3, 90, 512), (5, 80, 3), (2, 60, 2)])
-def test_ngram_join_against_brute_force(docs, rows, monkeypatch, shingle, percent, block):
+@pytest.mark.parametrize("shingle,percent,block,longest", [(3, 90, 512, 32), (5, 80, 3, 2), (2, 60, 2, 4), (3, 90, 512, 1)])
+def test_ngram_join_against_brute_force(docs, rows, monkeypatch, shingle, percent, block, longest):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "LIST", longest)
     roots = T.components([r.text for r in rows], shingle, percent)
     least = {}
     for r, c in zip(rows, roots, strict=True):
         if r.doc_id is not None:
             least[c] = min(least.get(c, r.doc_id), r.doc_id)
-    want = Counter((r.doc_id, len(T.shingles(r.text, shingle)), least.get(c) if T.shingles(r.text, shingle) else r.doc_id) for r, c in zip(rows, roots, strict=True))
+    sets = [frozenset(T.shingles(r.text, shingle)) for r in rows]
+    links = {s: sum(100 * len(s & t) >= percent * len(s | t) for t in set(sets) if t and t != s) if s else 0 for s in set(sets)}
+    want = Counter((r.doc_id, len(s), least.get(c) if s else r.doc_id, links[s]) for r, c, s in zip(rows, roots, sets, strict=True))
     got = ngram_join.linked_components(docs, shingle=shingle, percent=percent).collect()
-    assert want == Counter((g.doc_id, g.n_shingles, g.component_id) for g in got)
-    assert all((g.n_links == 0) or g.n_shingles for g in got)
+    assert want == Counter((g.doc_id, g.n_shingles, g.component_id, g.n_links) for g in got)
+    whole = defaultdict(set)
+    for g in got:
+        whole[g.root].add(g.component_id)
+    assert all(len(ids) == 1 for root, ids in whole.items() if root is not None)
 
 
-def test_keep_one(docs, rows, empty):
-    roots = T.components([r.text for r in rows], 5, 80)
-    kept = ngram_join.keep_one(docs)
-    assert kept.columns == docs.columns
-    have = {(r.doc_id, r.text) for r in kept.collect()}
+def test_links_between_blocks():
+    rnd = random.Random(5)
+    for percent in (50, 80, 90):
+        sets = [np.array(sorted({rnd.randrange(30 if i % 2 else 60) for _ in range(rnd.randint(1, 40))}), np.uint64) for i in range(40)]
+        sets += [np.append(sets[0], np.uint64(100 + i)) for i in range(5)]
+        want = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
+        every, half = np.arange(len(sets)), len(sets) // 2
+        got = ngram_join.links_between(sets, every, None, percent).tolist()
+        assert len(got) == len(want) and {(max(p), min(p)) for p in got} == want
+        got = ngram_join.links_between(sets, every[:half], every[half:], percent).tolist()
+        assert sorted(map(sorted, got)) == sorted([j, i] for i, j in want if j < half <= i)
+
+
+def test_keep_one(spark, docs, rows, empty):
+    """As multisets: rows without words all stay, and one row of each component, which ties do not leave to chance."""
+    roots, want = T.components([r.text for r in rows], 5, 80), Counter()
     groups = defaultdict(list)
     for r, c in zip(rows, roots, strict=True):
-        groups[c].append((r.doc_id, r.text))
+        groups[c if T.words(r.text) else -1].append(r)
+    want.update((r.doc_id, r.text) for r in groups.pop(-1))
     for g in groups.values():
-        assert len(have & set(g)) == 1
+        ids = [r.doc_id for r in g if r.doc_id is not None]
+        want.update([(r.doc_id, r.text) for r in g] if not ids else [next((r.doc_id, r.text) for r in g if r.doc_id == min(ids))])
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
     assert ngram_join.keep_one(empty).count() == 0
+    same = spark.createDataFrame([(1, "a b c", "z"), (1, "a b c", "y"), (1, "A B c", "x"), (2, "", "w"), (2, "", "w"), (2, " ", "v"), (None, "p q", "u"), (None, "p q", "u"), (1, "k", "t")], "doc_id long, text string, `a.b` string")
+    least = min(("a b c", "A B c"), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])
+    want = Counter([(1, least, "y" if least == "a b c" else "x"), (2, "", "w"), (2, "", "w"), (2, " ", "v"), (None, "p q", "u"), (None, "p q", "u"), (1, "k", "t")])
+    assert Counter(tuple(r) for r in ngram_join.keep_one(same).collect()) == want
 
 
 # 8. Top-k
