@@ -1,19 +1,24 @@
 """A quality classifier by importance resampling.
 
-Two generative models over n-grams, counted one by one at every corpus size: the target model from labelled good documents (a bounded sample of labels, MAX_LABELS
-rows with the smallest hash of their id), the raw model from every document of the corpus. A gram's log ratio is
-log((target count + s) / (expected count + s)), the expected count being the raw count scaled to the target's size, so that rare
-grams say little. A document's log importance weight has two parts: WEIGHT_GRAMS times its mean log ratio over word unigrams and
-bigrams, less the target's own mean, so that length alone does not decide; and the whole sum over words and word beginnings that
-the target all but lacks (log ratio under TAIL), so that a few bad words count in a long text. Beginnings of words stand for their
-inflected forms.
-
-Chunks of whole documents send their distinct grams, as 64-bit hashes with their counts, to groups by ranges of the hash; a group
-sums the counts over all chunks and answers each chunk, where weights are put together. Groups hold a bounded number of rows.
-
-Documents are then sampled without replacement by Gumbel top-k: weight plus Gumbel noise, the k largest stay. The noise comes from
-a hash of seed, id and text, so a rerun draws the same. k is the share of good among the sampled labels times the number of
-documents. The k-th largest is found by narrowing a histogram, never by a global sort.
+Two generative models over hashed n-grams: the target model from labelled good documents (a bounded sample of labels, MAX_LABELS rows
+with the smallest hash of their id), the raw model from every document of the corpus. Grams are counted by BUCKETS hash buckets for
+each gram of the corpus, rounded to powers of two, so the models grow with the corpus and hardly any two grams share a count at any
+size. A gram's log ratio is log((target count + s) / (expected count + s)), the expected count being the raw count scaled to the
+target's size, so that rare grams say little. A document's own grams are taken out of both models before it is weighed: labelled
+documents have no advantage over others.
+
+A document's log importance weight is the log ratio of the two models over its text, tempered so that length alone does not decide:
+words and bigrams count as WEIGHT_GRAMS of them with the document's mean log ratio (less the target's own mean), however many they
+are. Words and word beginnings that the target all but lacks (log ratio under TAIL) count in full, so that a few bad words decide in a
+long text. Beginnings of words stand for their inflected forms.
+
+Chunks of whole documents send their distinct grams with their counts to groups by ranges of the hash; a group sums the counts over
+all chunks and answers each chunk, where weights are put together. A group holds its rows compressed, and one count for each bucket.
+
+Documents are then sampled without replacement by Gumbel top-k: weight / temperature plus Gumbel noise, the k largest stay. At
+temperature 1 the draw follows the weights, and noise decides among documents whose weights differ by a few units; a higher one lets
+more noise in. The noise comes from a hash of seed, id and text, so a rerun draws the same. k is the share of good among the sampled
+labels times the number of documents. The k-th largest is found by narrowing a histogram, never by a global sort.
 
 Defined results: null and empty texts have weight 0 as a mean and stay in the draw; a document's label is its first by (quality,
 toxic); without labels every document stays; ties at the k-th place go to the smaller id, then the smaller text hash, and equal
@@ -22,6 +27,7 @@ rows are kept or dropped together, so that ties of equal rows may exceed k.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from functools import partial
@@ -37,9 +43,11 @@ from marigold.llm.common import buffers, gram_hashes, mix, release, slices, with
 from marigold.plans.lineage import dropped, written
 
 PRIOR = 4.0
-#: Grams of the corpus's text, repeats included, to a group: about how many rows a group holds at most.
-GROUP = 1 << 21
+#: Grams of the corpus's text, repeats included, to a group; hash buckets to a gram; text of a chunk.
+GROUP, BUCKETS, CHUNK_BYTES = 1 << 24, 64, 16 << 20
 MAX_LABELS, WEIGHT_GRAMS, SHRINK, TAIL, BEGINNING = 100_000, 100.0, 50, -2.0, 4
+#: Counts that a group merges at a time.
+MERGED = 1 << 21
 
 
 def features(batch: pa.RecordBatch | pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -64,44 +72,68 @@ def _sizes(batches: Iterator[pa.RecordBatch], good: Broadcast) -> Iterator[pa.Re
     raw = target = 0
     for batch in batches:
         for piece in slices(batch):
-            known = _known(piece, good.value)
-            for _, n in features(piece):
-                raw, target = raw + int(n.sum()), target + int(n[known].sum())
+            starts, ends, rows = word_spans(*buffers(piece.column("text")))
+            words = np.diff(rows)
+            n = words + np.maximum(words - 1, 0) + np.diff(np.concatenate([[0], np.cumsum(ends - starts > BEGINNING + 1)])[rows])
+            raw, target = raw + int(n.sum()), target + int(n[_known(piece, good.value)].sum())
     yield pa.RecordBatch.from_arrays([pa.array([raw], pa.int64()), pa.array([target], pa.int64())], ["raw", "target"])
 
 
-class Grams:
-    """A chunk's distinct grams in order of their hash, and the edges of each group's range."""
+def bits_for(grams: int) -> int:
+    """Bits of the hash that number BUCKETS buckets to a gram."""
+    return min(48, max(16, (BUCKETS * grams).bit_length()))
 
-    def __init__(self, table: pa.Table, groups: int):
-        found = features(table)
-        self.sizes = [n for _, n in found]
-        self.hashes, numbers = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
-        self.numbers = np.split(numbers, np.cumsum([len(g) for g, _ in found])[:-1])
-        group = ((self.hashes >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-        self.edges = np.searchsorted(group, np.arange(groups + 1, dtype=np.uint64))
+
+class Grams:
+    """A chunk's distinct grams in order of their hash, the edges of each group's range, and the grams of each slice of documents."""
+
+    def __init__(self, table: pa.Table, groups: int, bits: int):
+        self.pieces = [piece for batch in table.to_batches() for piece in slices(batch)]
+        found, distinct = [], []
+        for piece in self.pieces:
+            some = [(g >> np.uint64(64 - bits), n) for g, n in features(piece)]
+            u, numbers = np.unique(np.concatenate([g for g, _ in some]), return_inverse=True)
+            distinct.append(u)
+            found.append((numbers.astype(np.int32), [len(g) for g, _ in some], [n for _, n in some]))
+        self.hashes = np.unique(np.concatenate(distinct)) if distinct else np.zeros(0, np.uint64)
+        self.slices = []
+        for u, (numbers, sizes, counts) in zip(distinct, found, strict=True):
+            numbers = np.searchsorted(self.hashes, u).astype(np.int32)[numbers]
+            self.slices.append((np.split(numbers, np.cumsum(sizes)[:-1]), counts))
+        self.bases = -(-(np.arange(groups + 1, dtype=object) << bits) // groups)
+        self.edges = np.searchsorted(self.hashes, self.bases[:-1].astype(np.uint64)).tolist() + [len(self.hashes)]
+
+    def asked(self) -> list[int]:
+        return [g for g, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)) if b > a]
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """64-bit integers with their bytes by significance, which compresses well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Integers with their bytes by significance, which compresses well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
 
+def _whole(content: bytes, kind: type, n: int, at: int = 0) -> np.ndarray:
+    """What _planes made."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(content, np.uint8, size * n, at).reshape(size, n).T).view(kind).reshape(-1)
 
-def _sent(batches: Iterator[pa.RecordBatch], good: Broadcast, groups: int) -> Iterator[pa.RecordBatch]:
+
+def _sent(batches: Iterator[pa.RecordBatch], good: Broadcast, groups: int, bits: int) -> Iterator[pa.RecordBatch]:
     """A chunk's distinct grams, one row per group: differences of the hashes, counts in all and in good documents."""
     for batch in batches:
         for chunk, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            table = chunks.unpacked(block.as_buffer())
-            grams, known = Grams(table, groups), _known(table, good.value)
-            raw, target = np.zeros(len(grams.hashes), np.int64), np.zeros(len(grams.hashes), np.int64)
-            for numbers, n in zip(grams.numbers, grams.sizes, strict=True):
-                raw += np.bincount(numbers, minlength=len(raw))
-                target += np.bincount(numbers[np.repeat(known, n)], minlength=len(raw))
+            grams = Grams(chunks.unpacked(block.as_buffer()), groups, bits)
+            raw, target = np.zeros(len(grams.hashes), np.uint32), np.zeros(len(grams.hashes), np.uint32)
+            for piece, (families, sizes) in zip(grams.pieces, grams.slices, strict=True):
+                known = _known(piece, good.value)
+                for numbers, n in zip(families, sizes, strict=True):
+                    raw += np.bincount(numbers, minlength=len(raw)).astype(np.uint32)
+                    target += np.bincount(numbers[np.repeat(known, n)], minlength=len(raw)).astype(np.uint32)
             rows = []
-            for g in np.flatnonzero(np.diff(grams.edges)).tolist():
+            for g in grams.asked():
                 some = slice(grams.edges[g], grams.edges[g + 1])
                 h = grams.hashes[some]
-                content = _planes(np.diff(h, prepend=np.uint64(0))) + raw[some].astype(np.uint32).tobytes() + target[some].astype(np.uint32).tobytes()
+                content = _planes(np.diff(h, prepend=np.uint64(grams.bases[g]))) + _planes(raw[some]) + _planes(target[some])
                 rows.append((g, chunk, chunks.checksum(h), len(h), chunks.squeezed(content)))
             del grams
             release()
@@ -109,21 +141,26 @@ def _sent(batches: Iterator[pa.RecordBatch], good: Broadcast, groups: int) -> It
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["group", "chunk", "checksum", "n", "grams"])
 
 
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """Counts (hash, raw, target) summed by hash."""
+    h, numbers = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return [(h, *(np.bincount(numbers, np.concatenate([p[i] for p in parts]), len(h)).astype(np.int64) for i in (1, 2)))]  # exact below 2**53
+
+
 def _summed(table: pa.Table) -> pa.Table:
-    """A group's answer to each chunk: its grams' counts over all chunks."""
-    sizes = np.asarray(table["n"]).astype(np.int64)
-    hashes, raw, target = [], [], []
-    for n, content in zip(sizes.tolist(), table["grams"], strict=True):
+    """A group's answer to each chunk: its grams' counts over all chunks. Hashes count from the group's base."""
+    release()
+    rows, held, n_held = list(zip(table["n"].to_pylist(), table["grams"], strict=True)), [], 0
+    for n, content in rows:
         content = chunks.spread(content.as_buffer())
-        planes = np.frombuffer(content, np.uint8, 8 * n).reshape(8, n)
-        hashes.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64))
-        raw.append(np.frombuffer(content, np.uint32, n, 8 * n))
-        target.append(np.frombuffer(content, np.uint32, n, 12 * n))
-    distinct, numbers = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals = [np.zeros(len(distinct), np.int64) for _ in range(2)]
-    for total, counts in zip(totals, (raw, target), strict=True):
-        np.add.at(total, numbers, np.concatenate(counts).astype(np.int64))
-    answers = [chunks.squeezed(_planes(totals[0][x]) + _planes(totals[1][x])) for x in np.split(numbers, np.cumsum(sizes)[:-1])]
+        held.append((np.cumsum(_whole(content, np.uint64, n), dtype=np.uint64), _whole(content, np.uint32, n, 8 * n), _whole(content, np.uint32, n, 12 * n)))
+        n_held += n
+        if n_held > MERGED:
+            held, n_held = _merged(held), 0
+    (distinct, raw, target), answers = _merged(held)[0], []
+    for n, content in rows:
+        at = np.searchsorted(distinct, np.cumsum(_whole(chunks.spread(content.as_buffer()), np.uint64, n), dtype=np.uint64))
+        answers.append(chunks.squeezed(_planes(raw[at]) + _planes(target[at])))
     release()
     return pa.Table.from_arrays([table["group"], table["chunk"], table["checksum"], table["n"], pa.array(answers, pa.binary())], names=["group", "chunk", "checksum", "n", "counts"])
 
@@ -132,48 +169,58 @@ _PARTS = "doc_id long, h long, total double, grams long, tail double, target dec
 _UNIT = 1e9
 
 
-def _parts(blocks: pa.Table, answers: pa.Table, good: Broadcast, groups: int, size: int, scale: float) -> pa.Table:
+def _parts(blocks: pa.Table, answers: pa.Table, good: Broadcast, groups: int, bits: int, size: int, scale: float) -> pa.Table:
     """Per document: sum of the log ratios of words and bigrams, their number, sum of strongly negative ratios, and its share in the
     target's sum of log ratios in units of 1 / _UNIT, whole so that sums do not depend on their order."""
     release()
     if not blocks.num_rows:
         raise RuntimeError("an answer without its chunk: the input changed between two scans")
-    table = chunks.unpacked(blocks["block"][0].as_buffer())
-    grams, known = Grams(table, groups), _known(table, good.value)
-    logs, missing = np.zeros(len(grams.hashes)), set(np.flatnonzero(np.diff(grams.edges)).tolist())
+    grams = Grams(chunks.unpacked(blocks["block"][0].as_buffer()), groups, bits)
+    raw, target, missing = np.zeros(len(grams.hashes), np.int64), np.zeros(len(grams.hashes), np.int64), set(grams.asked())
     for g, check, n, content in zip(*(answers[c] for c in ("group", "checksum", "n", "counts")), strict=True):
         g, n = g.as_py(), n.as_py()
         some = slice(grams.edges[g], grams.edges[g + 1])
         if g not in missing or n != some.stop - some.start or check.as_py() != chunks.checksum(grams.hashes[some]):
             raise RuntimeError("the answer to a chunk does not fit its grams: the input changed between two scans")
         missing.discard(g)
-        raw, target = np.ascontiguousarray(np.frombuffer(chunks.spread(content.as_buffer()), np.uint8).reshape(2, 8, n).transpose(0, 2, 1)).view(np.int64).reshape(2, n)
-        if size:
-            logs[some] = np.log((target + PRIOR) / (raw * scale + PRIOR))
+        content = chunks.spread(content.as_buffer())
+        raw[some], target[some] = _whole(content, np.int64, n), _whole(content, np.int64, n, 8 * n)
     if missing:
         raise RuntimeError("a chunk has grams without an answer: the input changed between two scans")
-    n = table.num_rows
-    total, count, tail, whole = np.zeros(n), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-    for i, (numbers, sizes) in enumerate(zip(grams.numbers, grams.sizes, strict=True)):
-        row, some = np.repeat(np.arange(n), sizes), logs[numbers]
-        whole += np.bincount(row, some, n)
-        if i < 2:
-            total += np.bincount(row, some, n)
-            count += sizes
-        if i != 1:
-            tail += np.bincount(row, np.where(some < TAIL, some, 0.0), n)
-    target = pa.array(np.round(np.where(known, whole, 0.0) * _UNIT).astype(np.int64)).cast(pa.decimal128(38, 0))
-    return pa.Table.from_arrays([table["doc_id"], table["h"], pa.array(total), pa.array(count), pa.array(tail), target], names=["doc_id", "h", "total", "grams", "tail", "target"])
-
-
-def _weighed(batches: Iterator[pa.RecordBatch], mean: float, seed: int) -> Iterator[pa.RecordBatch]:
+    out = []
+    for piece, (families, counts) in zip(grams.pieces, grams.slices, strict=True):
+        n = piece.num_rows
+        total, count, tail, whole = np.zeros(n), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        known, numbers = _known(piece, good.value), np.concatenate(families)
+        row = np.concatenate([np.repeat(np.arange(n), sizes) for sizes in counts])
+        _, place, own = np.unique(row * len(raw) + numbers, return_inverse=True, return_counts=True)
+        own = own[place]
+        logs = np.log((target[numbers] - own * known[row] + PRIOR) / ((raw[numbers] - own) * scale + PRIOR)) if size else np.zeros(len(numbers))
+        for i, (a, b) in enumerate(itertools.pairwise(np.cumsum([0, *map(len, families)]).tolist())):
+            at, some = row[a:b], logs[a:b]
+            whole += np.bincount(at, some, n)
+            if i < 2:
+                total += np.bincount(at, some, n)
+                count += counts[i]
+            if i != 1:
+                tail += np.bincount(at, np.where(some < TAIL, some, 0.0), n)
+        share = pa.array(np.round(np.where(known, whole, 0.0) * _UNIT).astype(np.int64)).cast(pa.decimal128(38, 0))
+        out.append(pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("h"), pa.array(total), pa.array(count), pa.array(tail), share], names=["doc_id", "h", "total", "grams", "tail", "target"]))
+    return pa.Table.from_batches(out)
+
+
+def gumbel(ids: np.ndarray, hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Standard Gumbel noise of documents by id and text hash."""
+    h = mix(mix(hashes.astype(np.uint64) + np.uint64(seed)) + ids.astype(np.uint64))
+    return -np.log(-np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)))
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], mean: float, seed: int, temperature: float) -> Iterator[pa.RecordBatch]:
     for piece in batches:
         total, count, tail = (np.asarray(piece.column(c)) for c in ("total", "grams", "tail"))
-        ids = piece.column("doc_id").fill_null(-1).to_numpy().astype(np.uint64)
-        h = mix(mix(np.asarray(piece.column("h")).astype(np.uint64) + np.uint64(seed)) + ids)
-        u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
         w = np.round(WEIGHT_GRAMS * (total - mean * count) / (count + SHRINK) + tail, 6)
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("h"), pa.array(w), pa.array(w - np.log(-np.log(u)))], ["doc_id", "h", "weight", "key"])
+        noise = gumbel(piece.column("doc_id").fill_null(-1).to_numpy(), np.asarray(piece.column("h")), seed)
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("h"), pa.array(w), pa.array(w / temperature + noise)], ["doc_id", "h", "weight", "key"])
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
@@ -198,7 +245,7 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, seed: int = 1, temperature: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, weight, key, kept): log importance weight, perturbed key and whether the document is drawn. h is the text's hash."""
     spark = docs.sparkSession
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("quality", F.coalesce("toxic", F.lit(0)).alias("toxic"))).alias("l"))
@@ -210,13 +257,13 @@ def classify(docs: DataFrame, labels: DataFrame, *, seed: int = 1, id_col: str =
     sized = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     raw, size = (int(x or 0) for x in slim.select("doc_id", "text").mapInArrow(partial(_sizes, good=good), "raw long, target long").agg(F.sum("raw"), F.sum("target")).first())
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(partitions, -(-raw // GROUP))
-    packed = slim.mapInArrow(chunks.packed, chunks.SCHEMA).repartition(max(partitions, -(-sized // chunks.CHUNK_BYTES)), "chunk")  # one exchange, used twice
-    sent = packed.mapInArrow(partial(_sent, good=good, groups=groups), "group int, chunk long, checksum long, n int, grams binary")
+    groups, bits = max(partitions, -(-raw // GROUP)), bits_for(raw)
+    packed = slim.mapInArrow(partial(chunks.packed, limit=CHUNK_BYTES), chunks.SCHEMA).repartition(max(partitions, -(-sized // CHUNK_BYTES)), "chunk")  # one exchange, used twice
+    sent = packed.mapInArrow(partial(_sent, good=good, groups=groups, bits=bits), "group int, chunk long, checksum long, n int, grams binary")
     counts = sent.groupBy("group").applyInArrow(_summed, "group int, chunk long, checksum long, n int, counts binary")
-    parts = written(packed.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(partial(_parts, good=good, groups=groups, size=size, scale=size / max(1, raw)), _PARTS), name="ratios")
+    parts = written(packed.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(partial(_parts, good=good, groups=groups, bits=bits, size=size, scale=size / max(1, raw)), _PARTS), name="ratios")
     mean = float(parts.agg(F.sum("target")).first()[0] or 0) / _UNIT / size if size else 0.0
-    weighed = written(parts.mapInArrow(partial(_weighed, mean=mean, seed=seed), "doc_id long, h long, weight double, key double"), name="weights")
+    weighed = written(parts.mapInArrow(partial(_weighed, mean=mean, seed=seed, temperature=temperature), "doc_id long, h long, weight double, key double"), name="weights")
     dropped(parts)
     n = weighed.count()
     k = min(n, math.ceil(share * n))

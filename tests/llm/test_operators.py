@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -195,7 +196,11 @@ def test_quality_counts_every_gram_by_itself(spark, monkeypatch):
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
     labels = df.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 50 == 0).cast("int").alias("toxic"))
     monkeypatch.setattr(quality, "GROUP", 1 << 18)
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 1 << 20)
+    near = {r.doc_id: r.weight for r in quality.classify(df, labels).collect()}  # some grams share a bucket
+    monkeypatch.setattr(quality, "BUCKETS", 1 << 20)
     got = quality.classify(df, labels).collect()
+    assert 0 < max(abs(near[r.doc_id] - r.weight) for r in got) < 0.2
     raw, good = Counter(), Counter()
     for i, text in data:
         words = text.split()
@@ -204,17 +209,54 @@ def test_quality_counts_every_gram_by_itself(spark, monkeypatch):
         if i % 50:
             good.update(grams)
     size, total = sum(good.values()), sum(raw.values())
-    log = {g: np.log((good[g] + quality.PRIOR) / (n * size / total + quality.PRIOR)) for g, n in raw.items()}
-    mean = sum(log[g] * n for g, n in good.items()) / size
+
+    def ratios(i: int, text: str) -> tuple[list, dict]:
+        """A document's grams by family, and their log ratios in models without it."""
+        words = text.split()
+        families = [[("w", w) for w in words], [("b", *b) for b in zip(words, words[1:], strict=False)], [("h", w[:4]) for w in words if len(w) > 5]]
+        own = Counter(g for f in families for g in f)
+        return families, {g: np.log((good[g] - n * bool(i % 50) + quality.PRIOR) / ((raw[g] - n) * size / total + quality.PRIOR)) for g, n in own.items()}
+
+    mean = sum(sum(log[g] for f in families for g in f) for families, log in (ratios(i, t) for i, t in data if i % 50)) / size
     weights = {r.doc_id: r.weight for r in got}
     for i, text in data[::25]:
-        words = text.split()
-        grams = [("w", w) for w in words] + [("b", *b) for b in zip(words, words[1:], strict=False)]
-        tails = [log[g] for g in [("w", w) for w in words] + [("h", w[:4]) for w in words if len(w) > 5]]
-        want = quality.WEIGHT_GRAMS * (sum(log[g] for g in grams) - mean * len(grams)) / (len(grams) + quality.SHRINK) + sum(x for x in tails if x < quality.TAIL)
+        (one, two, heads), log = ratios(i, text)
+        n = len(one) + len(two)
+        want = quality.WEIGHT_GRAMS * (sum(log[g] for g in one + two) - mean * n) / (n + quality.SHRINK) + sum(log[g] for g in one + heads if log[g] < quality.TAIL)
         assert weights[i] == pytest.approx(want, abs=1e-5)
 
 
+def test_quality_noise(spark):
+    """Keys are weight / temperature plus standard Gumbel noise of seed, id and text; a high temperature leaves the draw to the noise."""
+    df = spark.createDataFrame([(i, ("good words here " if i % 2 else "bad junk there ") * 40 + f"row{i}") for i in range(2000)], "doc_id long, text string")
+    labels = df.where("doc_id < 500").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+
+    def mixed(x: int) -> int:
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor % 2**64
+        return x ^ x >> 31
+
+    for seed, temperature in ((1, 1.0), (9, 1e6)):
+        got, noise = quality.classify(df, labels, seed=seed, temperature=temperature).collect(), []
+        for r in got:
+            u = ((mixed((mixed((r.h + seed) % 2**64) + r.doc_id) % 2**64) >> 11) + 0.5) / 2**53
+            noise.append(-math.log(-math.log(u)))
+            assert r.key == pytest.approx(r.weight / temperature + noise[-1], abs=1e-9)
+        assert abs(np.mean(noise) - 0.5772) < 0.1 and abs(np.var(noise) - math.pi**2 / 6) < 0.2
+        share = sum(r.doc_id % 2 for r in got if r.kept) / 1000
+        assert sum(r.kept for r in got) == 1000 and (share > 0.99 if temperature == 1 else 0.4 < share < 0.6)
+
+
+def test_quality_on_held_out_labels(spark):
+    """The operator itself, with half of the labels held out: good ones stay; bad ones, unlike in the models' counts, do not."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    kept = {r.doc_id for r in quality.keep_drawn(docs, labels.where("pmod(xxhash64(doc_id), 2) = 0")).select("doc_id").collect()}
+    held_out = labels.where("pmod(xxhash64(doc_id), 2) = 1").collect()
+    share = lambda rows: sum(r.doc_id in kept for r in rows) / len(rows)
+    assert share([r for r in held_out if r.quality == 1 and not r.toxic]) > 0.93
+    assert share([r for r in held_out if r.quality == 0]) < 0.06
+
+
 def test_kth_largest(spark):
     rnd = random.Random(5)
     values = [rnd.choice([1.5, 2.5, rnd.gauss(0, 1e6), rnd.random()]) for _ in range(9000)]
@@ -374,14 +416,37 @@ def test_topk_of_large_components_equals_sql(spark, tmp_path):
 
 
 @pytest.mark.parametrize("power", [0, 40, 900])
-def test_wide_topk_is_exact(power):
+def test_exact_scores_and_bounds(power):
     rnd = np.random.default_rng(5)
     x = np.ldexp(np.floor(rnd.normal(size=(60, 5)) * 2.0**44) / 256, power)
     x[30:40], x[40:50] = x[0], x[1] + np.ldexp(1.0, power - 8)
-    n, m, s = vafile.wide_topk(np.arange(60), x, np.arange(60), x, 4)
-    whole = [[int(v * 256) if power < 900 else int(v) * 256 for v in row] for row in x.tolist()]
-    want = [(i, j, -a) for i in range(60) for a, j in sorted((-sum(u * v for u, v in zip(whole[i], whole[j], strict=True)), j) for j in range(60) if j != i)[:4]]
-    assert list(zip(n.tolist(), m.tolist(), s, strict=True)) == want
+    q = np.roll(x, 7, axis=0)
+    whole = lambda a: [[(n << 8) // d for n, d in map(float.as_integer_ratio, row)] for row in a.tolist()]
+    want = [sum(u * v for u, v in zip(a, b, strict=True)) for a, b in zip(whole(q), whole(x), strict=True)]
+    assert vafile.exact_scores(q, x) == want
+    small = np.ldexp(x, -power - 60)
+    middle, error = vafile.bounds(np.roll(small, 7, axis=0), *vafile.cells(small))
+    exact = np.roll(small, 7, axis=0) @ small.T
+    assert (np.abs(middle - exact) <= error).all() and (error > 0).all()
+
+
+def test_topk_ids(spark):
+    """Repeated ids, repeated rows, one vector that a third of all rows share, and a dotted column name."""
+    rnd = random.Random(8)
+    data = [(i // 2, [float(rnd.randrange(-3, 4)) for _ in range(4)]) for i in range(120)] + [(200 + i % 25, [3.0] * 4) for i in range(60)] + [(7, [3.0] * 4)] * 9
+    df = spark.createDataFrame(data, "id long, `v.x` array<double>")
+    queries_, want = {(i, tuple(v)) for i, v in data if i % 7 == 0}, Counter()
+    for i, v in queries_:
+        best = sorted((-int(65536 * np.dot(v, w)), j) for j, w in data if j != i)[:5]
+        want.update((i, n + 1, j, -s) for n, (s, j) in enumerate(best))
+    got = vafile.exact_topk(df, df.where("id % 7 = 0"), k=5, id_col="id", vector_col="v.x")
+    assert Counter(map(tuple, got.collect())) == want
+
+
+def test_topk_score_beyond_a_long(spark):
+    df = spark.createDataFrame([(0, [2.0**60]), (1, [2.0**60]), (2, [-(2.0**60)])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        vafile.exact_topk(df, df.where("vec_id = 0"), k=1).collect()
 
 
 # 9. Packing

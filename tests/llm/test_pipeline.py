@@ -46,7 +46,9 @@ def test_quality(spark, sf, stages):
     grams = {}
     for r in before:
         batch = pa.RecordBatch.from_arrays([pa.array([r.text], pa.string())], ["text"])
-        grams[r.doc_id] = [g.tolist() for g, _ in quality.features(batch)]
+        grams[r.doc_id] = [g for g, _ in quality.features(batch)]
+    shift = np.uint64(64 - quality.bits_for(sum(len(g) for families in grams.values() for g in families)))
+    grams = {i: [(g >> shift).tolist() for g in families] for i, families in grams.items()}
     raw, target = Counter(), Counter()
     for i, families in grams.items():
         for g in families:
@@ -54,12 +56,13 @@ def test_quality(spark, sf, stages):
             if i in good:
                 target.update(g)
     size, total = sum(target.values()), sum(raw.values())
-    ratio = {g: math.log((target[g] + quality.PRIOR) / (n * size / total + quality.PRIOR)) for g, n in raw.items()}
-    mean = sum(ratio[g] * n for g, n in target.items()) / size
+    own = {i: Counter(g for f in families for g in f) for i, families in grams.items()}
+    ratio = {i: {g: math.log((target[g] - n * (i in good) + quality.PRIOR) / ((raw[g] - n) * size / total + quality.PRIOR)) for g, n in c.items()} for i, c in own.items()}
+    mean = sum(ratio[i][g] * n for i, c in own.items() if i in good for g, n in c.items()) / size
     weights = {r.doc_id: r.weight for r in quality.classify(stages["quality"][0], spark.read.parquet(f"{sf}/labels.parquet")).collect()}
     for i, (one, two, heads) in grams.items():
         n = len(one) + len(two)
-        w = quality.WEIGHT_GRAMS * (sum(ratio[g] for g in one + two) - mean * n) / (n + quality.SHRINK) + sum(ratio[g] for g in one + heads if ratio[g] < quality.TAIL)
+        w = quality.WEIGHT_GRAMS * (sum(ratio[i][g] for g in one + two) - mean * n) / (n + quality.SHRINK) + sum(ratio[i][g] for g in one + heads if ratio[i][g] < quality.TAIL)
         assert weights[i] == pytest.approx(w, abs=0.01)
 
 
