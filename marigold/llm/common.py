@@ -18,7 +18,7 @@ _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: [\x20\x09-\x0D], the white space of the line and word contracts.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that a vectorised step handles at once; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
