@@ -1,20 +1,27 @@
 """Exact top-k by inner product over a vector-approximation file.
 
-Each component becomes one of 2**BITS cells of equal width between the smallest and largest component of its block; a block's
-approximations give each (query, vector) pair an upper and a lower bound. Vectors whose upper bound is below the k-th largest
-lower bound go; the others are read exactly in order of falling upper bound until the k-th exact score exceeds every bound left.
-Then the block results are merged, k rows per query and block.
-
-Queries and candidates meet in blocks of bounded size, (query block, candidate block) by task, so memory does not grow with the
-table. Vectors that are null or hold null or non-finite components take no part, as queries or candidates. Vectors of unequal
-lengths count as padded by zeros.
-
-Scores are exact. Where all sums of a block stay below 2**53, doubles hold them. Other blocks take doubles with their error as bounds,
-and Python integers for the vectors that are left. A returned score beyond 64 bits, which the result cannot hold, is an error.
+Equal vectors are one class, with as many of its smallest ids as results can name. Classes are dealt to blocks, and each block becomes
+one row of the approximation file, a written table: a component is one of 2**8 cells of equal width between the smallest and largest
+component of its dimension in the block, one byte each.
+
+1. Scan: only approximations meet the query blocks. The middle of a vector's cells gives a score, half the cells' width its largest
+   error: a lower and an upper bound. A vector stays a candidate of a query while its upper bound reaches the k-th largest lower
+   bound, first of the block, then of all blocks.
+2. Read: exact vectors are fetched in order of their bounds, in two waves. The k candidates of largest upper bound come first. Their
+   k-th exact score makes certain that only candidates whose upper bound reaches it can still matter; these are the second wave.
+
+Query blocks and candidate blocks meet pair by pair, so memory does not grow with the table. Vectors that are null or hold null or
+non-finite components take no part, as queries or candidates, and neither do null ids. Vectors of unequal lengths count as padded by
+zeros. Candidates of the query's own id take no part; repeated ids are rows of their own. Equal query rows are one query; query rows
+of one id and different vectors are queries of their own, whose results carry the same query_id.
+
+Scores are exact: in doubles while all sums stay below 2**53, in Python integers beyond. Bounds take the rounding of doubles into
+account. A returned score beyond 64 bits, which the result cannot hold, is an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -22,137 +29,154 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS, QUERY_BLOCK, CANDIDATE_BLOCK = 6, 4096, 4096
-_EXACT = 1 << 53
+from marigold.plans.lineage import written
+
+QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
+_CELLS, _EXACT, _ROUND = 256, 1 << 53, 2.0**-52
+_MOST = 10**38 - 1
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Rows of components rounded down to multiples of 1/256, padded by zeros."""
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int | None = None, scale: int = 0) -> np.ndarray:
+    """Rows of components, padded by zeros, times 2**scale."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(arr, pa.ChunkedArray):
         arr = pa.concat_arrays(arr.chunks)
-    out = np.zeros((len(arr), width))
     lengths = np.asarray(arr.value_lengths())
-    flat = np.asarray(arr.flatten())
-    small = np.abs(flat) < _EXACT >> 8  # larger doubles are such multiples already
-    flat = np.where(small, np.floor(np.where(small, flat, 0.0) * 256) / 256, flat)
+    out = np.zeros((len(arr), int(lengths.max(initial=1)) if width is None else width))
     row = np.repeat(np.arange(len(arr)), lengths)
-    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = np.ldexp(np.asarray(arr.flatten()), scale)
     return out
 
 
-def cells(x: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """The approximation of each component (uint8), and the bounds of each dimension's cells, (2**bits + 1, d)."""
-    low, high = x.min(0), x.max(0)
-    steps = np.linspace(0, 1, (1 << bits) + 1)[:, None]
-    bounds = np.floor(low + steps * (high - low))
-    bounds[-1] = high
-    codes = np.empty(x.shape, np.uint8)
-    for d in range(x.shape[1]):
-        codes[:, d] = np.clip(np.searchsorted(bounds[:, d], x[:, d], "right") - 1, 0, (1 << bits) - 1)
-    return codes, bounds
-
-
-def wide_topk(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """block_topk for multiples of 1/256 of any size, with scores as Python integers of components times 256."""
-    distinct, number = np.unique(x, axis=0, return_inverse=True)
-    number = number.reshape(-1)
-
-    def scaled(a: np.ndarray) -> np.ndarray:
-        return np.ldexp(a, -np.frexp(np.abs(a).max(initial=1.0))[1])  # within 1, so that no product overflows
+def cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cell of each component (uint8), and the lowest bound and the cells' width of each dimension."""
+    low = x.min(0)
+    width = (x.max(0) - low) / _CELLS
+    codes = np.divide(x - low, width, out=np.zeros_like(x), where=width > 0)
+    return np.clip(np.floor(codes), 0, _CELLS - 1).astype(np.uint8), low, width
+
+
+def bounds(q: np.ndarray, codes: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(score of the cells' middles, largest error): (queries, vectors) and (queries, 1)."""
+    middle = q @ (low + (codes + 0.5) * width).T
+    size = np.abs(q)
+    most = np.maximum(np.abs(low), np.abs(low + _CELLS * width))
+    error = size @ (0.5 * width) + (size @ most) * ((q.shape[1] + 16) * 4 * _ROUND) + 2.0**-1000
+    return middle, error[:, None]
+
+
+def _approximated(table: pa.Table, scale: int) -> pa.Table:
+    """A block of classes as one row of the approximation file."""
+    x = _matrix(table["v"], scale=scale)
+    codes, low, width = cells(x)
+    columns = [np.asarray(table["cid"]).astype(np.int64), np.asarray(table["least"]).astype(np.int64), np.asarray(table["several"]).astype(bool), codes, low, width]
+    return pa.Table.from_arrays([table["cb"][:1], *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=["cb", "cids", "least", "several", "codes", "low", "width"])
+
+
+_FILE = "cb long, cids binary, least binary, several binary, codes binary, low binary, width binary"
+_SCANNED = pa.schema([("qk", pa.int64()), ("query_id", pa.int64()), ("cid", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64()), ("leading", pa.bool_())])
+
+
+def _scanned(queries: pa.Table, block: pa.Table, k: int, scale: int) -> pa.Table:
+    """Candidates of each query in a block: those whose upper bound reaches the block's k-th largest lower bound."""
+    if not queries.num_rows or not block.num_rows:
+        return _SCANNED.empty_table()
+    read = lambda name, kind: np.frombuffer(block[name][0].as_buffer(), kind)
+    cids, least, several, low, width = (read(n, t) for n, t in (("cids", np.int64), ("least", np.int64), ("several", bool), ("low", np.float64), ("width", np.float64)))
+    codes = read("codes", np.uint8).reshape(len(cids), len(low))
+    keys, ids = np.asarray(queries["qk"]), np.asarray(queries["id"])
+    q = _matrix(queries["v"], max(len(low), *queries["v"].combine_chunks().value_lengths().to_pylist()), scale)[:, : len(low)]
+    out = []
+    for a in range(0, len(q), 64):
+        middle, error = bounds(q[a : a + 64], codes, low, width)
+        middle[(ids[a : a + 64, None] == least) & ~several] = -np.inf  # classes of the query's own id alone
+        kth = np.partition(middle, -k, axis=1)[:, -k] if len(cids) > k else np.full(len(middle), -np.inf)
+        row, column = np.nonzero((middle + 2 * error >= kth[:, None]) & (middle > -np.inf))
+        m, e = middle[row, column], error[row, 0]
+        out.append((keys[a + row], ids[a + row], cids[column], m - e, m + e, m >= kth[row]))
+    return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_SCANNED)
+
+
+def exact_scores(q: np.ndarray, x: np.ndarray) -> list[int]:
+    """Inner products of paired rows of multiples of 1/256, in units of 1/65536, as integers."""
+    if q.shape[1] * float(np.ceil(np.abs(q).max(initial=0.0))) * float(np.ceil(np.abs(x).max(initial=0.0))) * 65536 < _EXACT:
+        return np.einsum("ij,ij->i", q * 256, x * 256).astype(np.int64).tolist()
 
     def whole(row: np.ndarray) -> list[int]:
         return [(n << 8) // d for n, d in map(float.as_integer_ratio, row.tolist())]
 
-    near_q, near_x = scaled(q), scaled(distinct)
-    slack, least = (x.shape[1] + 8) * 2.0**-52, (x.shape[1] + 8) * 2.0**-1070  # of rounding and of underflow
-    exact: dict[int, list[int]] = {}
-    rows, columns, scores = [], [], []
-    for a in range(0, len(q), 256):
-        some = near_q[a : a + 256]
-        middle, error = some @ near_x.T, (np.abs(some) @ np.abs(near_x).T) * slack + least
-        for i in range(len(some)):
-            others = np.flatnonzero(query_ids[a + i] != ids)
-            upper, lower = (middle[i] + error[i])[number[others]], (middle[i] - error[i])[number[others]]
-            if len(others) > k:
-                others = others[upper >= np.partition(lower, -k)[-k]]
-            mine, score = whole(q[a + i]), {}
-            for n in np.unique(number[others]).tolist():
-                if n not in exact:
-                    exact[n] = whole(distinct[n])
-                score[n] = sum(map(int.__mul__, mine, exact[n]))
-            best = sorted((-score[n], v, c) for n, v, c in zip(number[others].tolist(), ids[others].tolist(), others.tolist(), strict=True))[:k]
-            rows += [a + i] * len(best)
-            columns += [c for _, _, c in best]
-            scores += [-s for s, _, _ in best]
-    return np.array(rows, np.int64), np.array(columns, np.int64), scores
-
-
-def block_topk(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, candidate number, score): exactly each query's k best of the block, ties to the smaller id."""
-    codes, bounds = cells(x)
-    dims = np.arange(x.shape[1])
-    low, high = bounds[codes, dims], bounds[codes + 1, dims]
-    positive, negative = np.maximum(q, 0), np.minimum(q, 0)
-    found = []
-    for a in range(0, len(q), 256):  # bounds of 256 queries at a time
-        upper = positive[a : a + 256] @ high.T + negative[a : a + 256] @ low.T
-        lower = positive[a : a + 256] @ low.T + negative[a : a + 256] @ high.T
-        own = query_ids[a : a + 256, None] == ids[None, :]
-        upper[own] = lower[own] = -np.inf
-        kth = np.partition(lower, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(upper), -np.inf)
-        for i in range(len(upper)):
-            left = np.flatnonzero((upper[i] >= kth[i]) & (upper[i] > -np.inf))
-            left = left[np.argsort(-upper[i, left], kind="stable")]
-            best_n, best_s = np.zeros(0, np.int64), np.zeros(0)
-            for b in range(0, len(left), 4 * k):
-                if len(best_s) >= k and best_s[k - 1] > upper[i, left[b]]:
-                    break
-                some = left[b : b + 4 * k]
-                best_n, best_s = np.concatenate([best_n, some]), np.concatenate([best_s, x[some] @ q[a + i]])
-                order = np.lexsort((ids[best_n], -best_s))[:k]
-                best_n, best_s = best_n[order], best_s[order]
-            found.append((np.full(len(best_n), a + i), best_n, best_s))
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
-
-
-def _pair(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    if not queries.num_rows or not candidates.num_rows:
-        return schema.empty_table()
-    width = max(max(t["v"].combine_chunks().value_lengths().to_pylist(), default=0) for t in (queries, candidates))
-    if not width:
-        width = 1
-    q, x = _matrix(queries["v"], width), _matrix(candidates["v"], width)
-    qi, ci = np.asarray(queries["id"]), np.asarray(candidates["id"])
-    most = [int(np.ceil(np.abs(a).max(initial=0.0))) << 8 for a in (q, x)]
-    if width * most[0] * most[1] < _EXACT:
-        n, m, s = block_topk(qi, q * 256, ci, x * 256, k)
-        s = s.astype(np.int64)
-    else:
-        n, m, s = wide_topk(qi, q, ci, x, k)
-    return pa.Table.from_arrays([pa.array(qi[n], pa.int64()), pa.array(ci[m], pa.int64()), pa.array(s, pa.int64())], schema=schema)
+    return [sum(map(int.__mul__, whole(a), whole(b))) for a, b in zip(q, x, strict=True)]
+
+
+def _read(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.RecordBatch]:
+    """(qk, query_id, vec_id, score, near): exact scores of candidates, one row for each of their ids but the query's own. near: the
+    score as a double in the units of the bounds, a little lowered."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, 1024):
+            batch = whole.slice(first, 1024)
+            width = max(1, *(max(batch.column(c).value_lengths().to_pylist()) for c in ("q", "v")))
+            scores = exact_scores(_matrix(batch.column("q"), width), _matrix(batch.column("v"), width))
+            rows = []
+            for qk, own, ids, score in zip(*(batch.column(c).to_pylist() for c in ("qk", "query_id", "ids")), scores, strict=True):
+                top = score.bit_length() - 60  # 60 bits of the score, times a power of two
+                near = np.ldexp(float(score >> top if top > 0 else score), max(top, 0) - 16 + scale)
+                near -= abs(near) * 2.0**-50
+                rows += [(qk, own, i, max(-_MOST, min(_MOST, score)), near) for i in ids if i != own]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.decimal128(38, 0), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["qk", "query_id", "vec_id", "score", "near"])
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, *, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` its k best rows of `vectors` but rows of its own id.
 
-    Both have the columns id_col and vector_col; ids that are null take no part. Repeated ids are rows of their own."""
+    Both have the columns id_col and vector_col. The score is the inner product of the components times 256, rounded down."""
 
     def usable(df: DataFrame) -> DataFrame:
-        v = F.col(vector_col)
-        doubles = F.transform(v, lambda x: x.cast("double"))
-        fine = v.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-        return df.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), doubles.alias("v"))
-
-    c, q = usable(vectors), usable(queries)
-    blocks = {n: max(1, -(-df.count() // size)) for n, df, size in (("c", vectors, CANDIDATE_BLOCK), ("q", queries, QUERY_BLOCK))}
-    spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(blocks[n]))
-    left = q.withColumn("qb", spread("q")).select("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks["c"] - 1).cast("long"))).alias("cb"), "id", "v")
-    right = c.withColumn("cb", spread("c")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks["q"] - 1).cast("long"))).alias("qb"), "cb", "id", "v")
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(partial(_pair, k=k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+        v, i = F.col(f"`{vector_col}`"), F.col(f"`{id_col}`")
+        fine = v.isNotNull() & i.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+        floored = F.transform(v, lambda x: F.when(F.abs(x.cast("double")) < float(_EXACT >> 8), F.floor(x.cast("double") * 256) / F.lit(256.0)).otherwise(x.cast("double")))  # larger doubles are multiples of 1/256
+        return df.where(F.coalesce(fine, F.lit(False))).select(i.cast("long").alias("id"), floored.alias("v"))
+
+    def exponent(df: DataFrame) -> int:
+        """Of the power of two that scales all components to at most 1."""
+        most = df.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0] or 0.0
+        return int(np.frexp(most)[1])
+
+    own = Window.partitionBy("v", "id").orderBy("id")
+    few = usable(vectors).withColumn("r", F.row_number().over(own)).where(F.col("r") <= k)
+    few = few.withColumn("d", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("d") <= k + 1)
+    classes = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("cid", F.monotonically_increasing_id())  # at most k * (k + 1) ids each
+    classes = written(classes, "classes")
+    q = written(usable(queries).distinct().withColumn("qk", F.monotonically_increasing_id()), "queries")
+    blocks = {n: max(1, -(-df.count() // size)) for n, df, size in (("c", classes, CANDIDATE_BLOCK), ("q", q, QUERY_BLOCK))}
+    scales = {"c": -exponent(classes), "q": -exponent(q)}
+    whole = sum(scales.values())
+    dealt = classes.select(F.pmod(F.xxhash64("cid"), F.lit(blocks["c"])).alias("cb"), "cid", F.element_at("ids", 1).alias("least"), (F.element_at("ids", 1) != F.element_at("ids", -1)).alias("several"), "v")
+    file = written(dealt.groupBy("cb").applyInArrow(lambda table: _approximated(table, scales["c"]), _FILE), "approximations")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[n] - 1).cast("long")))
+    left = q.select(F.pmod(F.xxhash64("qk"), F.lit(blocks["q"])).alias("qb"), every("c").alias("cb"), "qk", "id", "v")
+    right = file.select(every("q").alias("qb"), "*")
+    scanned = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(partial(_scanned, k=k, scale=scales["q"]), "qk long, query_id long, cid long, lower double, upper double, leading boolean")
+    scanned = written(scanned, "scanned")
+
+    def kth(df: DataFrame, column: str) -> DataFrame:
+        """(qk, kth): the k-th largest value of each query."""
+        best = Window.partitionBy("qk").orderBy(F.desc(column))
+        return df.select("qk", column).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).where(F.col("r") == k).select("qk", F.col(column).alias("kth"))
+
+    def read(some: DataFrame) -> DataFrame:
+        met = some.select("qk", "query_id", "cid").join(classes.select("cid", "ids", "v"), "cid").join(q.select("qk", F.col("v").alias("q")), "qk")
+        return met.select("qk", "query_id", "ids", "q", "v").mapInArrow(partial(_read, scale=whole), "qk long, query_id long, vec_id long, score decimal(38,0), near double")
+
+    reach = F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))
+    left = scanned.join(kth(scanned.where("leading"), "lower"), "qk", "left").where(reach).drop("kth")
+    order = Window.partitionBy("qk").orderBy(F.desc("upper"), "cid")
+    first = written(left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("qk", "query_id", "cid"), "first")
+    one = written(read(first), "scores")
+    other = left.join(first.select("qk", "cid"), ["qk", "cid"], "left_anti").join(kth(one, "near"), "qk", "left").where(reach)
+    best = Window.partitionBy("qk").orderBy(F.desc("score"), "vec_id")
+    ranked = one.unionByName(read(other)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    fits = F.abs("score") < F.lit(str(1 << 63)).cast("decimal(38,0)")
+    score = F.when(fits, F.col("score").cast("long")).otherwise(F.raise_error(F.lit("a score does not fit 64 bits")).cast("long"))
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
