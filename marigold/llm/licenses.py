@@ -109,9 +109,10 @@ def _phrase_starts(words: list[bytes], phrases: list[tuple[bytes, str]]) -> list
     """(first word's number, label) of every place of every phrase."""
     joined, found = b" " + b" ".join(words) + b" ", []
     for phrase, label in phrases:
-        at = joined.find(phrase)
+        at, number, before = joined.find(phrase), 0, 0
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            number, before = number + joined.count(b" ", before, at), at  # words up to here, counted on from the last place
+            found.append((number, label))
             at = joined.find(phrase, at + 1)
     return found
 
@@ -123,14 +124,14 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, list[bytes]],
         rows = []
         for text in _texts(batch, 1):
             words = words_of(text)
-            places, best = _phrase_starts(words, phrases), {}
+            places, best, spans = _phrase_starts(words, phrases), {}, []
             for start, block in zip(range(0, max(1, len(words)), stride), blocks_of(words, stride), strict=False):
                 for t, score in index.matches(block).items():
-                    best[t] = max(best.get(t, (0.0, 0)), (score, -start))
+                    best[t] = max(best.get(t, 0.0), score)
+                    spans.append({"label": index.labels[t], "first_word": start, "containment": score})
             starts, kept = [s for s, _ in places], {label for _, label in places}
             labels = kept | {index.labels[t] for t in best}
-            spans = [{"label": index.labels[t], "first_word": -start, "containment": score} for t, (score, start) in sorted(best.items())]
-            rows.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(kept)), ",".join(sorted(labels)), 1.0 if places else max((s for s, _ in best.values()), default=0.0), spans))
+            rows.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(kept)), ",".join(sorted(labels)), 1.0 if places else max(best.values(), default=0.0), sorted(spans, key=lambda x: (x["label"], x["first_word"]))))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
         span = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("containment", pa.float64())]))
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), span]
@@ -139,12 +140,12 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, list[bytes]],
 
 def scan_licenses(docs: DataFrame, *, templates: dict[str, str] | None = None, base: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: word count, base phrases and templates found, best score (1 with a base phrase, else the highest
-    containment of a matched template, else 0), and the best block of each matched template (its first word and containment)."""
+    containment of a matched template, else 0), and every block that a template matches (label, first word, containment)."""
     made = {k: words_of(v.encode()) for k, v in (TEMPLATES if templates is None else templates).items()}
     if len(made) > MAX_TEMPLATES or any(not w or len(w) > MAX_TEMPLATE_WORDS or re.search("[,]", k) for k, w in made.items()):
         raise ValueError(f"at most {MAX_TEMPLATES} templates of 1 to {MAX_TEMPLATE_WORDS} words, with no comma in a label")
     stride = MAX_TEMPLATE_WORDS
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     vocabulary = sorted({w for s in made.values() for w in s})
     counted = texts.select("text").mapInArrow(partial(_block_frequencies, vocabulary=vocabulary, stride=stride), "word int, blocks long").groupBy("word").agg(F.sum("blocks").alias("blocks"))
     blocks = {r["word"]: r["blocks"] for r in counted.collect()}  # as many rows as the templates have words
