@@ -34,7 +34,7 @@ HOLDERS = {"tr": PART_OF_TABLE | {"table"}} | dict.fromkeys(("td", "th"), PART_O
 #: An element named by the key ends an open element named by a value, unless one of the barriers lies between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}), "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})} | {x: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}) for x in PART_OF_TABLE} | {f"h{i}": ({f"h{j}" for j in range(1, 7)}, {"div", "section", "article", "td", "th", "li", "body"}) for i in range(1, 7)}
 
-_TAG = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME_END, _TAG_MARK, _COMMENT_END = re.compile(r"[\s/>]"), re.compile(r"[>\"']"), re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)", re.I)
@@ -56,29 +56,81 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
+class _Tags:
+    """Finds a page's tags one after the other, in time linear in the page however many stay open."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.name_start, self.name_end = 0, -1
+        self.dead: set[int] = set()  # marks outside quotes from which no tag ends
+
+    def _end_of_name(self, at: int) -> int:
+        if not self.name_start <= at < self.name_end:
+            m = _NAME_END.search(self.html, at)
+            self.name_start, self.name_end = at, m.start() if m else len(self.html)
+        return self.name_end
+
+    def _end_of_tag(self, at: int) -> int:
+        """The place of the > that ends a tag, outside quotes; -1 if there is none."""
+        met = []
+        while True:
+            m = _TAG_MARK.search(self.html, at) if at <= self.last else None
+            mark = m.start() if m else -1
+            if m and m[0] == ">":
+                return mark
+            close = self.html.find(m[0], mark + 1) if m and mark not in self.dead else -1
+            met.append(mark)
+            if close < 0:
+                self.dead.update(met)
+                return -1
+            at = close + 1
+
+    def tag(self, at: int) -> tuple[int, str, str] | None:
+        """Of the markup that begins at a <: where it ends, its name (empty for comments and declarations) and its attributes."""
+        html = self.html
+        if html.startswith("<!--", at):
+            if html.startswith(("<!-->", "<!--->"), at):
+                return html.index(">", at) + 1, "", ""
+            m = _COMMENT_END.search(html, at + 4)
+            return m.end() if m else len(html), "", ""
+        if html.startswith(("<!", "<?"), at):
+            return (html.find(">", at) + 1) or len(html), "", ""
+        name = at + 1 + html.startswith("</", at)
+        if at >= self.last or not (html[name : name + 1].isascii() and html[name : name + 1].isalpha()):
+            return None
+        end_of_name = self._end_of_name(name)
+        end = self._end_of_tag(end_of_name)
+        return (end + 1, html[name:end_of_name].lower(), html[end_of_name:end]) if end >= 0 else None
+
+
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes) with kind text, start or end; the content of raw elements is one text."""
-    at, n = 0, len(html)
+    at, seek, n, tags = 0, 0, len(html), _Tags(html)
     while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
+        begin = html.find("<", seek)
+        if begin < 0:
             yield "text", html[at:], ""
             return
-        if m.start() > at:
-            yield "text", html[at : m.start()], ""
-        at = m.end()
-        if not m[1]:
+        found = tags.tag(begin)
+        if found is None:
+            seek = begin + 1
+            continue
+        if begin > at:
+            yield "text", html[at:begin], ""
+        at, name, attributes = found
+        seek = at
+        if not name:
             continue
-        name = m[1].lower()
-        if html[m.start() + 1] == "/":
+        if html[begin + 1] == "/":
             yield "end", name, ""
             continue
-        yield "start", name, m[2]
-        if name in RAW and not m[2].endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
-            yield "raw", html[at : close.start()], ""
+        yield "start", name, attributes
+        if name in RAW and not attributes.endswith("/"):
+            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
+            end = html.find(">", close.start()) if close else -1
+            yield "raw", html[at : close.start() if end >= 0 else n], ""
             yield "end", name, ""
-            at = close.end()
+            at = seek = end + 1 if end >= 0 else n
 
 
 class Builder:
@@ -441,4 +493,4 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, text, n_lines): the whole visible text of every page. Rows are independent, so nothing is shuffled."""
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(_extract, "page_id long, text string, n_lines long")
+    return pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{html_col}`").cast("string").alias("html")).mapInArrow(_extract, "page_id long, text string, n_lines long")

@@ -177,7 +177,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): every whole text (null: empty), padded by spaces to a positive multiple of 192 bytes, in an Ogg container."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 
 def _sample_features(payload: bytes) -> str:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import duckdb
 import numpy as np
@@ -573,3 +576,98 @@ def test_html_table_of_pages(spark):
     df = spark.createDataFrame([(1, "<p>a</p>", 5), (2, None, 6), (None, "b" * 100_000, 7)], "page_id long, html string, text int")
     assert [(r.page_id, r.n_lines) for r in html_text.extract_text(df).orderBy("page_id").collect()] == [(None, 1), (1, 1), (2, 0)]
     assert html_text.extract_text(df.where("page_id = 9")).count() == 0
+
+
+def test_html_tokens_against_a_regular_expression():
+    """The tokenizer against one that backtracks, on random markup."""
+    tag = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|</?((?>[a-zA-Z][^\s/>]*))((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+
+    def plain(html: str) -> list[tuple[str, str, str]]:
+        out, at = [], 0
+        while at < len(html):
+            m = tag.search(html, at)
+            if m is None:
+                return [*out, ("text", html[at:], "")]
+            out += [("text", html[at : m.start()], "")] if m.start() > at else []
+            at = m.end()
+            if m[1] and m[0][1] == "/":
+                out.append(("end", m[1].lower(), ""))
+            elif m[1]:
+                out.append(("start", m[1].lower(), m[2]))
+                if m[1].lower() in html_text.RAW and not m[2].endswith("/"):
+                    close = re.compile(rf"</{m[1]}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
+                    out += [("raw", html[at : close.start()], ""), ("end", m[1].lower(), "")]
+                    at = close.end()
+        return out
+
+    rnd, parts = random.Random(4), ["<", ">", "</", "<a", "<A b", "<!--", "-->", "--!>", "<!", "<?", "'", '"', "=", " ", "\n", "x", "/", "<script>", "</script", "</ScRiPt >", "<p>", "</p>", "&lt;", "-", "é"]
+    for _ in range(20_000):
+        page = "".join(rnd.choices(parts, k=rnd.randint(0, 14)))
+        assert list(html_text.tokens(page)) == plain(page), page
+
+
+def lines_of_plain_blocks(tree: list) -> list[str]:
+    """Visible text by block of a made-up tree: (name, attributes, children) or text; a brute-force version for simple pages."""
+    out, line = [], []
+
+    def flush():
+        text = re.sub(r"[ \t\n\f\r]+", " ", "".join(line)).strip(" ")
+        out.extend([text] if text else [])
+        line.clear()
+
+    def walk(node):
+        if isinstance(node, str):
+            line.append(node)
+        elif node[0] not in ("script", "style", "template") and "hidden" not in node[1]:
+            block = node[0] in ("div", "section", "p", "article")
+            for step in ([flush] if block else []) + [partial(walk, c) for c in node[2]] + ([flush] if block or node[0] == "br" else []):
+                step()
+
+    for n in tree:
+        walk(n)
+    flush()
+    return out
+
+
+def test_html_against_brute_force():
+    rnd = random.Random(11)
+
+    def made(depth: int, inline: bool) -> list:
+        out = []
+        for _ in range(rnd.randint(0, 4)):
+            kind = rnd.choice(["text", "text", "b", "span", "br", "script"] + ([] if inline else ["div", "section", "article", "p"]))
+            if kind == "text" or depth > 4:
+                out.append(" ".join(rnd.choices(["red", "blue", "a", "the"], k=rnd.randint(1, 4))) + rnd.choice(["", " ", "\n  "]))
+            else:
+                children = [] if kind == "br" else ["if (a < b) {}"] if kind == "script" else made(depth + 1, inline or kind in ("b", "span", "p"))
+                out.append((kind, rnd.choice(["", "", "", " hidden", " class='x>y'"]) if kind != "br" else "", children))
+        return out
+
+    def written(node) -> str:
+        if isinstance(node, str):
+            return node
+        return f"<{node[0]}{node[1]}>" + ("" if node[0] == "br" else "".join(map(written, node[2])) + f"</{node[0]}>")
+
+    for _ in range(500):
+        tree = made(0, False)
+        assert [x for x in html_text.html_to_text("".join(map(written, tree))).split("\n") if x.strip()] == lines_of_plain_blocks(tree), tree
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a '", "<a", "<a \"'", "<script>", "</script ", "<!-", "<a '>\"", "<b>", "<table><tr>", "<p>", "</p>", "&amp", "<li>"])
+def test_html_is_linear_in_hostile_pages(unit):
+    page = unit * ((1 << 20) // len(unit))
+    began = time.perf_counter()
+    if unit in ("<b>", "<table><tr>", "<p>", "</p>", "<li>"):
+        page = page[: 1 << 17]
+    html_text.html_to_text(page)
+    html_text.html_to_text("<script>" + page)
+    assert time.perf_counter() - began < 8
+
+
+def test_licences_are_linear_in_hostile_texts(spark):
+    began = time.perf_counter()
+    assert len(licenses._phrase_starts(b"cc by".split() * 170_000, [(b" cc by ", "cc-by")])) == 170_000
+    assert time.perf_counter() - began < 2
+    text = " ".join([licenses.TEMPLATES["mit-notice"], *(["filler"] * 600), licenses.TEMPLATES["mit-notice"]])
+    found = licenses.scan_licenses(spark.createDataFrame([(1, text)], "`a.b` long, `t.t` string"), id_col="a.b", text_col="t.t").first()
+    assert len({b.first_word for b in found.blocks}) >= 2 and {b.label for b in found.blocks} == {"mit-notice"} and found.score == 1.0
