@@ -3,7 +3,8 @@
 Documents are packed, compressed, into chunks of bounded size. Each chunk's texts become pre-tokens with positions, held as arrays:
 the distinct words of the chunk in order of their hash, and a word number at each position. Only the distinct words are shuffled,
 to the bucket of their hash; a bucket's task encodes each distinct word of the whole corpus once and answers every chunk that
-asked. The ids join their chunk again and are put together by position. Decoding looks each id up in the token-byte table, whose
+asked (it forgets its words after KNOWN of them, which bounds its memory). The number of buckets is the same for most corpora, so that
+messages follow the number of chunks. The ids join their chunk again and are put together by position. Decoding looks each id up in the token-byte table, whose
 size is that of the vocabulary.
 
 A chunk's own words come back in the order in which they were sent, under a checksum of their hashes; a mismatch is an error.
@@ -30,7 +31,8 @@ from marigold.llm import chunks, pretokens
 from marigold.llm.chunks import spread, squeezed, unpacked
 from marigold.llm.common import _CODES, buffers, release, span_hashes
 
-
+#: Distinct words that a bucket's task remembers at a time.
+KNOWN = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -106,6 +108,8 @@ def _answered(batches: Iterator[pa.RecordBatch], ranks: Broadcast) -> Iterator[p
                 at += size
                 got = known.get(word)
                 if got is None:
+                    if len(known) >= KNOWN:
+                        known.clear()
                     got = known[word] = core.encode_single_piece(word)
                 counts.append(len(got))
                 ids += got
@@ -159,10 +163,11 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
+    buckets = chunks.fan(size)
     packed = slim.mapInArrow(partial(chunks.packed, limit=chunk_bytes), chunks.SCHEMA).repartition(n, "chunk")  # one exchange, used twice
-    asked = packed.mapInArrow(partial(_asked, buckets=n), "bucket int, chunk long, checksum long, lengths binary, words binary").repartition(n, "bucket")
+    asked = packed.mapInArrow(partial(_asked, buckets=buckets), "bucket int, chunk long, checksum long, lengths binary, words binary").repartition(buckets, "bucket")
     answers = asked.mapInArrow(partial(_answered, ranks=ranks), "bucket int, chunk long, checksum long, counts binary, ids binary")
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(partial(_assembled, buckets=n), "doc_id long, n_tokens long, ids binary")
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(partial(_assembled, buckets=buckets), "doc_id long, n_tokens long, ids binary")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], ranks: Broadcast, at: int) -> Iterator[pa.RecordBatch]:

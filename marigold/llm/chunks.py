@@ -9,6 +9,7 @@ what was asked, so that a plan that does not is an error and never a wrong resul
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark import TaskContext
 from marigold.llm.common import buffers, slices
 
 CHUNK_BYTES, LEVEL = 4 << 20, 6
+#: Buckets to which chunks send what they ask, up to FAN_BYTES of text; beyond, as many more as the root of the size.
+FAN, FAN_BYTES = 64, 64 << 30
 SCHEMA = "chunk long, block binary"
 
 
@@ -53,6 +56,12 @@ def packed(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column:
         yield chunk()
 
 
+def fan(size: int) -> int:
+    """How many buckets a corpus of this size is dealt to: the same for most sizes, so that messages follow the number of chunks; above
+    that, buckets and what each has to read grow alike."""
+    return FAN * max(1, math.isqrt(-(-size // FAN_BYTES)))
+
+
 def unpacked(block: bytes | pa.Buffer) -> pa.Table:
     return pa.ipc.open_stream(spread(block)).read_all().combine_chunks()
 

@@ -6,10 +6,12 @@ covers it has a word sequence that also starts anywhere else, in the same docume
 1. Every window has an anchor, its GRAM-word sequence of least hash (the leftmost of equal ones). Equal windows have equal anchors,
    so only windows whose anchor's hash passes a twice-seen Bloom filter can repeat; all other suffixes are left out.
 2. A suffix is the path of block hashes of its first `window` words, BLOCK words to a block (64 bits for the first block, 32 for
-   each later one, 192 bits for 35 words). A sketch counts suffixes by prefix of one block, two blocks and so on; each suffix
-   belongs to the shortest of its prefixes whose count fits GROUP, so that prefixes of variable length make groups for memory.
-3. Each group's task builds the suffix tree as sorted paths with the lengths of common prefixes of neighbours. Internal nodes as
-   deep as the window are the repeats; the leaves under them are flagged, and one bit per suffix goes back to its chunk.
+   each later one, 192 bits for 35 words). A sketch counts suffixes by prefix of one block, two blocks and so on. A suffix belongs to
+   the shortest of its prefixes whose count fits a group; in the order of their hashes, prefixes of one length are put into groups
+   until a group is full, so that prefixes of variable length make groups for memory.
+3. Each group's task builds its subtrees as sorted paths with the lengths of common prefixes of neighbours: an internal node is a
+   run of paths with a common prefix of its depth. Nodes as deep as the window are the repeats; the leaves under them are flagged,
+   and one bit per suffix goes back to its chunk.
 4. The chunk finds its windows again and removes the words that flagged ones cover. Flags that lie side by side make up the
    maximal repeats.
 
@@ -118,10 +120,24 @@ def _sketched(batches: Iterator[pa.RecordBatch], window: int, twice: Broadcast)
     return counts
 
 
+def grouped(counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """From counts by prefix length and hash: the group of each prefix that makes one (else -1), and how many groups there are.
+
+    Groups hold up to GROUP suffixes, less on small inputs so that there are FAN of them; a longest prefix stands even if it exceeds that."""
+    room = min(GROUP, max(1, int(-(-counts[0].sum() // chunks.FAN))))
+    table, n = np.full(counts.shape, -1, np.int32), 0
+    for level, c in enumerate(counts):
+        chosen = (c > 0) & ((c <= room) | (level == len(counts) - 1))
+        if chosen.any():
+            table[level, chosen] = n + (np.cumsum(c[chosen]) - c[chosen]) // room
+            n = int(table[level].max()) + 1
+    return table, max(1, n)
+
+
 class Suffixes:
     """The distinct suspected suffixes of a chunk, by the group of their prefix."""
 
-    def __init__(self, table: pa.Table, window: int, twice: bloom.TwiceSeen, counts: np.ndarray, groups: int):
+    def __init__(self, table: pa.Table, window: int, twice: bloom.TwiceSeen, places: np.ndarray, groups: int):
         data, offsets = buffers(table["text"])
         self.text = Text(data, offsets, window)
         grams, _ = self.text.anchors()
@@ -132,22 +148,20 @@ class Suffixes:
             whole = mix(whole * np.uint64(0xD1342543DE82EF95) + p + np.uint64(7))
         self.hashes, first, self.numbers, self.times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
         self.paths = [p[first] for p in paths]
-        prefixes = _prefixes(self.paths)
-        chosen, open_ = prefixes[-1].copy(), np.ones(len(first), bool)
-        for level, h in enumerate(prefixes[:-1]):
-            fits = open_ & (counts[level][(h >> np.uint64(48)).astype(np.int64)] <= GROUP)
-            chosen[fits] = h[fits]
-            open_ &= ~fits
-        group = (chosen % np.uint64(groups)).astype(np.int64)
+        group = np.full(len(first), -1, np.int64)
+        for level, h in enumerate(_prefixes(self.paths)):
+            group = np.where(group < 0, places[level][(h >> np.uint64(48)).astype(np.int64)], group)
+        if len(group) and group.min() < 0:
+            raise RuntimeError("a suffix without a group: the input changed between two scans")
         self.order = np.argsort(group, kind="stable")
         self.edges = np.searchsorted(group[self.order], np.arange(groups + 1))
 
 
-def _sent(batches: Iterator[pa.RecordBatch], window: int, twice: Broadcast, counts: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
+def _sent(batches: Iterator[pa.RecordBatch], window: int, twice: Broadcast, places: Broadcast, groups: int) -> Iterator[pa.RecordBatch]:
     """A chunk's suffixes, one row per group: paths, and which occur several times in the chunk."""
     for batch in batches:
         for chunk, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            s = Suffixes(chunks.unpacked(block.as_buffer()), window, twice.value, counts, groups)
+            s = Suffixes(chunks.unpacked(block.as_buffer()), window, twice.value, places.value, groups)
             rows = []
             for g in np.flatnonzero(np.diff(s.edges)):
                 some = s.order[s.edges[g] : s.edges[g + 1]]
@@ -195,12 +209,12 @@ def _tree(table: pa.Table, blocks: int) -> pa.Table:
     return pa.Table.from_arrays([table["group"], table["chunk"], table["checksum"], table["n"], pa.array(bits, pa.binary())], names=["group", "chunk", "checksum", "n", "flags"])
 
 
-def _removed(blocks: pa.Table, answers: pa.Table, window: int, twice: Broadcast, counts: np.ndarray, groups: int, separator: str) -> pa.Table:
+def _removed(blocks: pa.Table, answers: pa.Table, window: int, twice: Broadcast, places: Broadcast, groups: int, separator: str) -> pa.Table:
     release()
     if not blocks.num_rows:
         raise RuntimeError("an answer without its chunk: the input changed between two scans")
     table = chunks.unpacked(blocks["block"][0].as_buffer())
-    s = Suffixes(table, window, twice.value, counts, groups)
+    s = Suffixes(table, window, twice.value, places.value, groups)
     flags, missing = np.zeros(len(s.hashes), bool), set(np.flatnonzero(np.diff(s.edges)).tolist())
     for g, check, n, bits in zip(*(answers[c] for c in ("group", "checksum", "n", "flags")), strict=True):
         g, n = g.as_py(), n.as_py()
@@ -258,9 +272,10 @@ def dedup_substrings(docs: DataFrame, *, window: int = 35, separator: str = " ",
     blocks = -(-window // BLOCK)
     counts = sketch.summed(texts, partial(_sketched, window=window, twice=twice), levels_of(window) * SKETCH).reshape(-1, SKETCH)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(partitions, int(-(-counts[0].sum() // GROUP)))
+    places, groups = grouped(counts)
+    places = spark.sparkContext.broadcast(places)  # a number for each cell of the sketch
     n = max(partitions, -(-size // chunks.CHUNK_BYTES))
-    shared = {"window": window, "twice": twice, "counts": counts, "groups": groups}
+    shared = {"window": window, "twice": twice, "places": places, "groups": groups}
     packed = slim.mapInArrow(chunks.packed, chunks.SCHEMA).repartition(n, "chunk")  # one exchange, used twice
     sent = packed.mapInArrow(partial(_sent, **shared), "group int, chunk long, checksum long, n int, paths binary, several binary")
     flags = sent.groupBy("group").applyInArrow(lambda table: _tree(table, blocks), "group int, chunk long, checksum long, n int, flags binary")
