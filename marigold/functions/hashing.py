@@ -1,10 +1,14 @@
-"""Hashes and content identifiers as column expressions: no Python runs on executors, except for canonical JSON."""
+"""Hashes and content identifiers as column expressions; canonical JSON and hash embeddings are computed in Arrow batches."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +18,47 @@ _FNV_START, _FNV_PRIME, _LOW32 = 2166136261, 16777619, 4294967295
 
 
 def sha_bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
-    """SHA-256 of the token modulo a power of two up to 256: the last byte's low bits, exact because the modulus divides 256."""
-    if dimensions & (dimensions - 1) or not 1 <= dimensions <= 256:
-        raise ValueError("dimensions is a power of two up to 256")
-    return F.conv(F.substring(F.sha2(token.cast("binary"), 256), 63, 2), 16, 10).cast("int") % dimensions
+    """SHA-256 of the token, a number of 256 bits, modulo any number of dimensions up to 2**31 - 1."""
+    if not 1 <= dimensions < 1 << 31:
+        raise ValueError("dimensions is from 1 to 2**31 - 1")
+    digest = F.sha2(token.cast("binary"), 256)
+    if dimensions <= 256 and not dimensions & (dimensions - 1):  # divides 256: the last byte's low bits decide
+        return F.conv(F.substring(digest, 63, 2), 16, 10).cast("int") % dimensions
+    limbs = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.conv(F.substring(F.concat(F.lit("000000"), digest), i * 7 + 1 + F.lit(7), F.lit(7)), 16, 10).cast("long"))  # 63 of 70 digits, in sevens
+    first = F.conv(F.substring(F.concat(F.lit("000000"), digest), 1, 7), 16, 10).cast("long")
+    return F.aggregate(limbs, first % dimensions, lambda r, x: (r * (1 << 28) + x) % dimensions).cast("int")
+
+
+def hashed_vectors(words: Column, kind: str = "sha256", dimensions: int = DIMENSIONS) -> Column:
+    """The L2-normalised counts of an array of words by bucket, as an array of doubles; without words, zeros.
+
+    Words come in Arrow batches; each distinct word of a batch is hashed once."""
+
+    def sha(word: str) -> int:
+        return int.from_bytes(hashlib.sha256(word.encode()).digest()) % dimensions
+
+    def fnv(word: str) -> int:
+        h = _FNV_START
+        for c in word.encode():
+            h = (h ^ c) * _FNV_PRIME & _LOW32
+        return h % dimensions
+
+    if kind not in ("sha256", "fnv1a"):
+        raise ValueError("kind is 'sha256' or 'fnv1a'")
+    bucket = sha if kind == "sha256" else fnv
+
+    @F.arrow_udf("array<double>")
+    def embedded(lists: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        coded = pc.dictionary_encode(lists.flatten())
+        buckets = np.fromiter((bucket(w) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        at = np.repeat(np.arange(len(lists)), lengths) * dimensions + buckets[coded.indices.to_numpy(zero_copy_only=False)]
+        counts = np.bincount(at, minlength=len(lists) * dimensions).reshape(len(lists), dimensions).astype(float)
+        norms = np.sqrt((counts * counts).sum(1, keepdims=True))
+        flat = (counts / np.where(norms == 0, 1.0, norms)).reshape(-1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * dimensions), pa.array(flat))
+
+    return embedded(words)
 
 
 def fnv1a(text: Column) -> Column:
@@ -41,11 +82,10 @@ def salted_token_hash(salt: str, token: Column) -> Column:
 
 def cid_v1(payload: Column) -> Column:
     """CIDv1, raw codec, sha2-256, in base32: the header 01 55 12 20 and the digest, five bits to a character."""
-    bits = F.concat(F.lpad(F.conv(F.lit("01551220"), 16, 2), 32, "0"), *(F.lpad(F.conv(F.substring(F.sha2(payload.cast("binary"), 256), 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(8)), F.lit("00"))
-    # 288 bits and two zeros are 58 groups of five
-    alphabet = "abcdefghijklmnopqrstuvwxyz234567"
-    letters = F.transform(F.sequence(F.lit(0), F.lit(57)), lambda i: F.substring(F.lit(alphabet), F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.concat(F.lit("b"), F.array_join(letters, ""))
+    # 72 hexadecimal digits, padded to 80: ten of them are eight characters; of 64, 58 hold the 288 bits
+    digits = F.array(F.concat(F.lit("01551220"), F.sha2(payload.cast("binary"), 256), F.lit("00000000")))
+    octets = F.transform(digits, lambda h: F.concat(*(F.lpad(F.conv(F.substring(h, 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(8))))
+    return F.concat(F.lit("b"), F.translate(F.substring(F.element_at(octets, 1), 1, 58), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "abcdefghijklmnopqrstuvwxyz234567"))
 
 
 @F.pandas_udf(T.StringType())

@@ -46,11 +46,15 @@ def first_id(json: Column, keys: Sequence[str] = ID_KEYS) -> Column:
 
 
 def normalized_profile(json: Column) -> Column:
-    """struct(name, description, mbti, socionics, big5) with synonyms, then nested attributes or props."""
+    """struct(name, description, mbti, socionics, big5) with synonyms, then nested attributes or, only where these are missing or
+    empty, props."""
+    held = F.get_json_object(json, "$.attributes")
+    missing = held.isNull() | held.isin("", "{}", "[]", "false", "0", "null")
 
     def attribute(field: str) -> Column:
         nested = NESTED_TYPE_KEYS[field]
-        return F.coalesce(json_text(json, *TYPE_KEYS[field]), json_text(json, *(f"attributes.{k}" for k in nested)), json_text(json, *(f"props.{k}" for k in nested)))
+        other = F.when(missing, json_text(json, *(f"props.{k}" for k in nested))).otherwise(json_text(json, *(f"attributes.{k}" for k in nested)))
+        return F.coalesce(json_text(json, *TYPE_KEYS[field]), other)
 
     return F.struct(
         F.coalesce(json_text(json, *NAME_KEYS), F.lit("")).alias("name"),
@@ -80,7 +84,7 @@ def clean_name(name: Column) -> Column:
 
 def title_case(name: Column) -> Column:
     """Words in title case; upper-case words of up to four characters stay."""
-    return F.array_join(F.transform(F.split(name, " "), lambda w: F.when((F.length(w) <= 4) & (w == F.upper(w)), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10000))))), " ")
+    return F.array_join(F.transform(F.split(name, " "), lambda w: F.when((F.length(w) <= 4) & (w == F.upper(w)), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))), " ")
 
 
 def natural_order(name: Column) -> Column:

@@ -5,10 +5,15 @@ as a top-k per task and one merge. A set of queries meets the corpus by a broadc
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marigold.functions import hashing, text, vectors
 
@@ -35,11 +40,14 @@ def inner_product_topk(df: DataFrame, query: Sequence[float], k: int, *, id_col:
 def similar(df: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
     """(query_id, rank, id, score): the k nearest by cosine of each query row, itself excluded before ranking."""
     n = queries.limit(MAX_QUERIES + 1).count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at a time; search larger sets in blocks")
     q = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"), vectors.norm(F.col(vector_col)).alias("_qn"))
     c = df.where(F.col(vector_col).isNotNull()).select(id_col, vector_col, vectors.norm(F.col(vector_col)).alias("_n"))
-    pairs = c.join(F.broadcast(q), F.col(id_col) != F.col("query_id"))
+    if n <= MAX_QUERIES:
+        pairs = c.join(F.broadcast(q), F.col(id_col) != F.col("query_id"))
+    else:  # every block of queries meets every row
+        blocks = -(-queries.count() // MAX_QUERIES)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+        pairs = c.withColumn("_b", every).join(q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "_b").where(F.col(id_col) != F.col("query_id"))
     score = F.round(vectors.dot(F.col(vector_col), F.col("_q")) / (F.col("_n") * F.col("_qn") + vectors.EPSILON), digits)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     scored = pairs.select("query_id", id_col, score.alias("score")).withColumn("rank", F.row_number().over(best))
@@ -57,31 +65,24 @@ def infer_label(df: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec
 def hash_embedding_buckets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dimensions: int = 64, kind: str = "sha256") -> DataFrame:
     """(id, bucket, weight): the non-zero components of the L2-normalised hash embedding.
 
-    kind: "sha256" over white-space tokens, or "fnv1a" over [a-z0-9]+; the two spaces never mix."""
-    if kind == "sha256":
-        words, bucket = text.tokens(F.col(text_col)), hashing.sha_bucket(F.col("t"), dimensions)
-    elif kind == "fnv1a":
-        words, bucket = text.ascii_words(F.col(text_col)), (hashing.fnv1a(F.col("t")) % dimensions).cast("int")
-    else:
-        raise ValueError("kind is 'sha256' or 'fnv1a'")
-    counted = df.select(id_col, F.explode(words).alias("t")).groupBy(id_col, bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    return counted.select(id_col, "bucket", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(id_col)))).alias("weight"))
+    kind: "sha256" over white-space tokens, or "fnv1a" over [a-z0-9]+; the two spaces never mix. Rows are embedded one by one."""
+    whole = hash_embeddings(df, id_col=id_col, text_col=text_col, dimensions=dimensions, kind=kind)
+    return whole.select(id_col, F.posexplode("vector").alias("bucket", "weight")).where("weight <> 0")
 
 
 def hash_embeddings(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dimensions: int = 64, kind: str = "sha256") -> DataFrame:
-    """(id, vector): dense hash embeddings; a text without tokens has the zero vector."""
-    parts = hash_embedding_buckets(df, id_col=id_col, text_col=text_col, dimensions=dimensions, kind=kind)
-    held = parts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_m"))
-    component = lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))
-    return df.select(id_col).join(held, id_col, "left").select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), component).alias("vector"))
+    """(id, vector): dense hash embeddings, without a shuffle; a text without tokens has the zero vector."""
+    words = text.tokens(F.col(text_col)) if kind == "sha256" else text.ascii_words(F.col(text_col))
+    return df.select(id_col, hashing.hashed_vectors(words, kind, dimensions).alias("vector"))
 
 
 def text_neighbours(df: DataFrame, query_id: int, k: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): the k texts closest to one text of the table by FNV-1a hash embedding; the query's few buckets are broadcast."""
-    parts = hash_embedding_buckets(df, id_col=id_col, text_col=text_col, kind="fnv1a")
-    q = hash_embedding_buckets(df.where(F.col(id_col) == query_id), id_col=id_col, text_col=text_col, kind="fnv1a").select("bucket", F.col("weight").alias("q"))
-    scored = parts.where(F.col(id_col) != query_id).join(F.broadcast(q), "bucket", "left").groupBy(id_col).agg(F.round(F.coalesce(F.sum(F.col("weight") * F.col("q")), F.lit(0.0)), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), id_col).limit(k)
+    """(id, score): the k texts closest to one text of the table by FNV-1a hash embedding; texts without words take no part."""
+    embedded = lambda rows: hash_embeddings(rows, id_col=id_col, text_col=text_col, kind="fnv1a")
+    found = embedded(df.where(F.col(id_col) == query_id)).first()
+    q = found["vector"] if found is not None else [0.0] * hashing.DIMENSIONS
+    others = embedded(df.where(F.col(id_col) != query_id)).where(F.exists("vector", lambda x: x != 0))
+    return others.select(id_col, F.round(vectors.dot(F.col("vector"), literal_vector(q)), 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
 def embed_text(texts: str, *, dimensions: int = 64) -> list[float]:
@@ -108,17 +109,10 @@ def keyword_filter(df: DataFrame, words: Sequence[str], *, text_col: str = "text
 
 
 def hybrid(df: DataFrame, words: Sequence[str], query: str, k: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): rows with all words, ranked by cosine of their hash embedding to the query's.
-
-    Only the query's own non-zero buckets enter the product, so the inner sum is over few components."""
-    q = {i: x for i, x in enumerate(embed_text(query)) if x}
-    matched = keyword_filter(df, words, text_col=text_col)
-    buckets = F.transform(text.tokens(F.col(text_col)), lambda t: hashing.sha_bucket(t))
-    counted = matched.select(id_col, F.explode_outer(buckets).alias("b")).groupBy(id_col, "b").agg(F.count("b").alias("n"))
-    weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in q.items() for x in pair)), F.col("b")), F.lit(0.0)) if q else F.lit(0.0)
-    sums = counted.groupBy(id_col).agg(F.sum(F.col("n") * weight).alias("dot"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    score = F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(0.0)
-    return sums.select(id_col, F.round(score, 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    """(id, score): rows with all words, ranked by cosine of their hash embedding to the query's."""
+    matched = hash_embeddings(keyword_filter(df, words, text_col=text_col), id_col=id_col, text_col=text_col)
+    score = F.round(vectors.dot(F.col("vector"), literal_vector(embed_text(query))), 6)
+    return matched.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
 def any_column_contains(df: DataFrame, query: str, columns: Sequence[str]) -> DataFrame:
@@ -138,8 +132,39 @@ def alias_match(df: DataFrame, name_col: str, *, contains: str | None = None, re
 
 
 def word_overlap(df: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
-    """(query_id, id, overlap): the k texts that share most distinct words with each query text, by a join on words."""
-    words = lambda d, i, t, n: d.select(F.col(i).alias(n), F.explode(F.array_distinct(text.ascii_words(F.col(t)))).alias("w"))
-    shared = words(queries, query_id, query_text, "query_id").join(words(df, id_col, text_col, id_col), "w").groupBy("query_id", id_col).agg(F.count("*").alias("overlap"))
+    """(query_id, id, overlap): the k texts that share most distinct words with each query text; texts without a common word take no
+    part. The queries, whose number is checked, go to every task; a task passes on its k best texts of each query."""
+    asked = queries.select(F.col(query_id).alias("q"), F.array_distinct(text.ascii_words(F.col(query_text))).alias("w")).limit(MAX_QUERIES + 1).collect()
+    if len(asked) > MAX_QUERIES:
+        raise ValueError(f"at most {MAX_QUERIES} queries at a time")
+    known = df.sparkSession.sparkContext.broadcast(asked)
+
+    def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[str, int] = {}
+        places = [(number.setdefault(w, len(number)), i) for i, r in enumerate(known.value) for w in r["w"] or ()]
+        held = np.zeros((len(number), len(known.value)), np.float32)  # words of the queries by query
+        for w, i in places:
+            held[w, i] = 1
+        vocabulary = pa.array(list(number), pa.string())
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                lists = part.column(1)
+                at = pc.index_in(lists.flatten(), vocabulary)
+                rows = np.repeat(np.arange(part.num_rows), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
+                hit = at.is_valid().to_numpy(zero_copy_only=False)
+                have = np.zeros((part.num_rows, len(number)), np.float32)
+                have[rows[hit], at.drop_null().to_numpy()] = 1
+                shared = (have @ held).astype(np.int64)
+                order = np.argsort(-shared, axis=0, kind="stable")  # rows come in order of their id
+                top = order[:k]
+                text_at, query_at = top.reshape(-1), np.tile(np.arange(shared.shape[1]), len(top))
+                some = shared[text_at, query_at] > 0
+                ids = part.column(0).take(pa.array(text_at[some]))
+                yield pa.RecordBatch.from_arrays([pa.array([known.value[i]["q"] for i in query_at[some].tolist()], kind), ids, pa.array(shared[text_at, query_at][some])], ["query_id", id_col, "overlap"])
+
+    kind = to_arrow_type(queries.schema[query_id].dataType)
+    schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField(id_col, df.schema[id_col].dataType), T.StructField("overlap", T.LongType())])
+    found = df.select(id_col, F.array_distinct(text.ascii_words(F.col(text_col))).alias("_w")).sortWithinPartitions(id_col).mapInArrow(best_of, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("overlap"), id_col)
-    return shared.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
