@@ -44,7 +44,7 @@ from marigold.plans.lineage import dropped, written
 
 PRIOR = 4.0
 #: Grams of the corpus's text, repeats included, to a group; hash buckets to a gram; text of a chunk.
-GROUP, BUCKETS, CHUNK_BYTES = 1 << 24, 64, 16 << 20
+GROUP, BUCKETS, CHUNK_BYTES = 1 << 24, 64, 24 << 20
 MAX_LABELS, WEIGHT_GRAMS, SHRINK, TAIL, BEGINNING = 100_000, 100.0, 50, -2.0, 4
 #: Counts that a group merges at a time.
 MERGED = 1 << 21
