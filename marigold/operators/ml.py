@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marigold.functions import vectors
 from marigold.operators.stats import dimension_mode
 
+#: Cluster centres that the driver holds.
+MAX_CENTRES = 10_000
+
 
 def suggest_k(n: int) -> int:
     """The square root of n, halves up, within 3 and 12."""
@@ -56,23 +60,29 @@ def silhouette_scan(df: DataFrame, ks: list[int], *, vector_col: str = "embeddin
 
 def _ranked(df: DataFrame, k: int, vector_col: str, id_col: str, seed: int) -> DataFrame:
     """Clusters with each row's rank by distance to its centre, and the cluster's size."""
+    if k > MAX_CENTRES:
+        raise ValueError(f"{k} clusters; at most {MAX_CENTRES}, which the driver can hold: reduce larger tables in parts")
     clustered, centres = kmeans(df, k, vector_col=vector_col, cosine=False, seed=seed)
-    centre = F.array(*(F.array(*(F.lit(x) for x in c)) for c in centres))
-    far = clustered.withColumn("distance", vectors.squared_distance(F.col(vector_col), F.get(centre, F.col("cluster"))))
+    table = df.sparkSession.createDataFrame(list(enumerate(centres)), "cluster int, _centre array<double>")
+    far = clustered.join(table, "cluster").withColumn("distance", vectors.squared_distance(F.col(vector_col), F.col("_centre"))).drop("_centre")
     w = Window.partitionBy("cluster")
     return far.withColumn("rank", F.row_number().over(w.orderBy("distance", id_col))).withColumn("size", F.count("*").over(w))
 
 
 def reduce_near_duplicates(df: DataFrame, threshold: float = 0.85, *, min_size: int = 2, vector_col: str = "embedding", id_col: str = "vec_id", seed: int = 42) -> DataFrame:
-    """df without members of clusters of at least min_size but the one closest to the centre. The threshold only sets the number
-    of clusters, the share of rows that it names; it is not a bound on pairs."""
-    n = df.count()
-    k = max(2, min(n - 1, int(n * threshold))) if n > 2 else n
-    if n <= 2:
+    """df without members of clusters of at least min_size but the one closest to the centre. The threshold only sets the number of
+    clusters, a tenth of the share of rows above it, 50 at least and half the rows at most; it is not a bound on pairs."""
+    k = reduced_k(df.count(), threshold)
+    if k < 1:
         return df
     return _ranked(df, k, vector_col, id_col, seed).where((F.col("size") < min_size) | (F.col("rank") == 1)).select(*df.columns)
 
 
+def reduced_k(n: int, threshold: float) -> int:
+    """The number of clusters to which near-duplicate removal of n rows leads."""
+    return min(max(50, int(n * (1 - threshold) * 0.1)), n // 2)
+
+
 def decimate(df: DataFrame, target: int, *, vector_col: str = "embedding", id_col: str = "vec_id", seed: int = 42) -> DataFrame:
     """`target` representatives: the row closest to each of `target` centres."""
     if df.count() <= target:
@@ -88,13 +98,39 @@ def cluster_profile(clustered: DataFrame, axis: str, id_col: str, samples: int =
     return counts.join(few, "cluster")
 
 
+@dataclass(frozen=True)
+class Projection:
+    """A fitted projection: mean, loadings with signs, range of each component, and the share of variance that it explains."""
+
+    mean: list[float]
+    loadings: list[list[float]]
+    ranges: list[tuple[float, float]]
+    explained: list[float]
+
+    def scaled(self, values: Column) -> Column:
+        """Component values scaled to [-1, 1] by the fitted ranges, clamped."""
+        return F.array(*(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (values[j] - lo) / (hi - lo or 1.0) * 2 - 1)) for j, (lo, hi) in enumerate(self.ranges)))
+
+    def of(self, vector: Column) -> Column:
+        """The projection of a vector that need not be among the fitted ones; null for vectors of another length."""
+        centred = F.zip_with(vector, F.array(*(F.lit(m) for m in self.mean)), lambda x, m: x.cast("double") - m)
+        values = F.array(*(vectors.dot(centred, F.array(*(F.lit(x) for x in pc))) for pc in self.loadings))
+        return F.when(F.size(vector) == len(self.mean), self.scaled(values))
+
+
 def pca(df: DataFrame, k: int = 3, *, vector_col: str = "embedding", id_col: str = "vec_id") -> tuple[DataFrame, list[float]]:
     """(id, projection) scaled to [-1, 1] per component, and the explained share of each component.
 
     Vectors are centred first; each component's sign is that of its largest loading."""
+    projected, fitted = fit_pca(df, k, vector_col=vector_col, id_col=id_col)
+    return projected, fitted.explained
+
+
+def fit_pca(df: DataFrame, k: int = 3, *, vector_col: str = "embedding", id_col: str = "vec_id") -> tuple[DataFrame, Projection]:
+    """As pca, with the fitted projection for new vectors."""
     mode = dimension_mode(df, vector_col).first()
     if mode is None:
-        return df.select(id_col, F.array().cast("array<double>").alias("projection")), []
+        return df.select(id_col, F.array().cast("array<double>").alias("projection")), Projection([], [], [], [])
     d = int(mode["dimension"])
     rows = df.where(F.size(vector_col) == d)
     mean = rows.agg(*(F.avg(F.col(vector_col)[i]).alias(f"m{i}") for i in range(d))).first()
@@ -106,20 +142,21 @@ def pca(df: DataFrame, k: int = 3, *, vector_col: str = "embedding", id_col: str
     signed = projected.select(id_col, F.array(*(F.col("p")[j] * s for j, s in enumerate(signs))).alias("p"))
     ranges = signed.agg(*(f(F.col("p")[j]).alias(f"{n}{j}") for j in range(len(signs)) for n, f in (("lo", F.min), ("hi", F.max)))).first()
 
-    def scaled(j: int):
-        lo, hi = ranges[f"lo{j}"], ranges[f"hi{j}"]
-        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("p")[j] - lo) / (hi - lo or 1.0) * 2 - 1))
-
-    return signed.select(id_col, F.array(*(scaled(j) for j in range(len(signs)))).alias("projection")), [float(x) for x in model.explainedVariance]
+    fitted = Projection(
+        [float(x) for x in mean], [[float(x) * s for x in loadings[:, j]] for j, s in enumerate(signs)], [(float(ranges[f"lo{j}"]), float(ranges[f"hi{j}"])) for j in range(len(signs))], [float(x) for x in model.explainedVariance]
+    )
+    return signed.select(id_col, fitted.scaled(F.col("p")).alias("projection")), fitted
 
 
 def nearest_centroid(df: DataFrame, centroids: DataFrame, *, vector_col: str = "embedding", id_col: str = "vec_id", label_col: str = "label", limit: int = 10_000) -> DataFrame:
     """(id, nearest, score): the centroid of highest cosine, ties to the smaller label. Centroids are broadcast; their number is checked."""
     if centroids.limit(limit + 1).count() > limit:
         raise ValueError(f"at most {limit} centroids")
-    c = centroids.select(F.col(label_col).alias("nearest"), F.col("centroid"))
-    scored = df.where(F.col(vector_col).isNotNull()).select(id_col, vector_col).join(F.broadcast(c), how="cross").select(id_col, "nearest", F.round(vectors.cosine(F.col(vector_col), F.col("centroid")), 6).alias("score"))
-    return scored.groupBy(id_col).agg(F.min_by("nearest", F.struct(-F.col("score"), "nearest")).alias("nearest"), F.max("score").alias("score"))
+    listed = centroids.agg(F.array_sort(F.collect_list(F.struct(F.col(label_col).alias("nearest"), "centroid"))).alias("_c"))  # one row
+    score = lambda c: F.round(vectors.cosine(F.col(vector_col), c["centroid"]), 6)
+    best = F.array_min(F.transform("_c", lambda c: F.struct((-score(c)).alias("s"), c["nearest"].alias("nearest"))))
+    scored = df.where(F.col(vector_col).isNotNull()).join(F.broadcast(listed)).select(id_col, best.alias("_b"))
+    return scored.where("_b IS NOT NULL").select(id_col, "_b.nearest", (-F.col("_b.s")).alias("score"))
 
 
 def prototypes(df: DataFrame, dimension: int, *, vector_col: str = "embedding", label_col: str = "label") -> DataFrame:

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: spark.checkpoint.dir where it is set; a temporary one in single-machine tests."""
+    """The folder for cut lineage: spark.checkpoint.dir where it is set; a temporary one on a local master, an error on a cluster."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="marigold-")
     spark.sparkContext.setCheckpointDir(made)
     return made

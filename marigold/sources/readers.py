@@ -14,6 +14,8 @@ from marigold.functions import text
 # Column names that hold an identifier or a vector, in order of preference.
 ID_COLUMNS = ("cid", "profile_cid", "pid", "id", "profile_id", "uuid", "uid")
 VECTOR_COLUMNS = ("vector", "embedding", "embeddings", "vec", "values")
+#: What Spark says of files that are no Parquet.
+CORRUPT = re.compile(r"is not a Parquet file|CANNOT_READ_FILE_FOOTER|FAILED_READ_FILE\\.CANNOT_READ_FILE_FOOTER|UNABLE_TO_INFER_SCHEMA|corrupt", re.I)
 ID_PATTERN = re.compile(r"(^|_)(cid|uuid|uid|id)$", re.I)
 
 
@@ -32,11 +34,15 @@ def parquet_or_empty(spark: SparkSession, path: str, schema: T.StructType | str,
 
 
 def quarantine(spark: SparkSession, path: str, stamp: int) -> str | None:
-    """Moves an unreadable table to <path>.corrupt.<stamp>; returns the new path, or None if it can be read."""
+    """Moves a table that is no Parquet to <path>.corrupt.<stamp>; returns the new path, or None if it can be read.
+
+    Any other failure, such as a missing permission or a lost connection, is raised and moves nothing."""
     try:
         spark.read.parquet(path).schema  # noqa: B018
         return None
-    except Exception:
+    except Exception as failure:
+        if not CORRUPT.search(str(failure)):
+            raise
         jvm = spark.sparkContext._jvm
         source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.corrupt.{stamp}")
         source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target)

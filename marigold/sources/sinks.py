@@ -19,17 +19,25 @@ def _paths(spark: SparkSession, *names: str):
 
 
 def replace_parquet(df: DataFrame, path: str, *, keep_previous: str | None = None) -> None:
-    """Writes beside the table and renames, so that readers see the old table or the new one, and df may read the old one.
+    """Writes beside the table and swaps by two renames, so that df may read the old table and no reader sees a half-written one.
 
-    keep_previous: where the old table goes; without it, it is deleted after the swap."""
+    Between the renames there is no table for a moment; if the second one fails, the old table is put back. keep_previous: where the
+    old table goes; without it, it is deleted after the swap."""
     spark, staged = df.sparkSession, f"{path}.staged-{uuid.uuid4().hex}"
     df.write.parquet(staged)
     old = keep_previous or f"{path}.old-{uuid.uuid4().hex}"
     fs, (target, new, previous) = _paths(spark, path, staged, old)
-    if exists(spark, path) and not fs.rename(target, previous):
+    held = exists(spark, path)
+    if held and not fs.rename(target, previous):
         raise OSError(f"cannot move {path}")
-    if not fs.rename(new, target):
-        raise OSError(f"cannot move {staged}")
+    try:
+        moved = fs.rename(new, target)
+    except Exception:
+        moved = False
+    if not moved:
+        if held and not fs.rename(previous, target):
+            raise OSError(f"cannot move {staged}, nor {old} back: the old table is there")
+        raise OSError(f"cannot move {staged}; {path} is as it was")
     if keep_previous is None and exists(spark, old):
         fs.delete(previous, True)
 

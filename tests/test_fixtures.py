@@ -209,7 +209,68 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.audit(spark, str(tmp_path / "log"), "stop", n=2)
     assert spark.read.json(str(tmp_path / "log")).count() == 2
     (tmp_path / "bad.parquet").write_text("not parquet")
+    assert readers.quarantine(spark, path, 1) is None
     assert readers.quarantine(spark, str(tmp_path / "bad.parquet"), int(time.time())) is not None
+    with pytest.raises(Exception, match="does not exist"):
+        readers.quarantine(spark, str(tmp_path / "absent.parquet"), 2)
+
+
+def test_replace_parquet_puts_the_old_table_back(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t.parquet")
+    sinks.replace_parquet(spark.range(3), path)
+    real, calls = sinks._paths, []
+
+    class Failing:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def rename(self, a, b):
+            calls.append(str(b))
+            return False if len(calls) == 2 else self.fs.rename(a, b)
+
+    monkeypatch.setattr(sinks, "_paths", lambda spark, *names: (Failing(real(spark, *names)[0]), real(spark, *names)[1]))
+    with pytest.raises(OSError, match="as it was"):
+        sinks.replace_parquet(spark.range(9), path)
+    assert len(calls) == 3 and spark.read.parquet(path).count() == 3
+
+
+def test_lineage_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from marigold.plans import lineage
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_dir(SimpleNamespace(sparkContext=context, conf={}))
+
+
+def test_new_vectors_project_as_fitted_ones(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    projected, fitted = ml.fit_pca(v, 3)
+    again = v.select("vec_id", fitted.of(F.col("embedding")).alias("again")).join(projected, "vec_id").collect()
+    assert len(again) > 100 and all(abs(a - b) < 1e-9 for r in again for a, b in zip(r.again, r.projection, strict=True))
+    assert 0 < sum(fitted.explained) < 1 and list(fitted.explained) == sorted(fitted.explained, reverse=True)
+    far = spark.range(1).select(fitted.of(F.array(*(F.lit(1e6) for _ in fitted.mean))).alias("p"), fitted.of(F.array(F.lit(1.0))).alias("none")).first()
+    assert all(-1 <= x <= 1 for x in far.p) and far.none is None
+
+
+def test_reductions(spark, sf):
+    assert [ml.reduced_k(n, 0.85) for n in (1, 3, 60, 1000, 10_000)] == [0, 1, 30, 50, 150]
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    twice = v.unionByName(v.withColumn("vec_id", F.col("vec_id") + 100_000))
+    kept = ml.reduce_near_duplicates(twice, 0.85).select("vec_id").collect()
+    assert 0 < len(kept) <= ml.reduced_k(twice.count(), 0.85)
+    with pytest.raises(ValueError, match="clusters"):
+        ml.decimate(v.crossJoin(spark.range(30)).select((F.col("vec_id") * 30 + F.col("id")).alias("vec_id"), "embedding"), ml.MAX_CENTRES + 1)
+
+
+def test_hash_buckets_of_any_dimension(spark):
+    for d in (1, 7, 64, 256, 384, 1000, 2**31 - 1):
+        row = spark.range(1).select(hashing.sha_bucket(F.lit("some wörd"), d).alias("b"), hashing.hashed_vectors(F.array(F.lit("some wörd")), "sha256", min(d, 1000)).alias("v")).first()
+        import hashlib
+
+        number = int(hashlib.sha256("some wörd".encode()).hexdigest(), 16)
+        assert row.b == number % d and row.v[number % min(d, 1000)] == 1.0
 
 
 def test_relational(spark):
