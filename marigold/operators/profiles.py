@@ -82,6 +82,14 @@ def manifest(profiles: DataFrame, vectors: DataFrame, *, key: str, vector_col: s
     return profiles.agg(F.count("*").alias("n_profiles")).join(v).join(both).select("n_profiles", "n_vectors", "n_both", "dimension")
 
 
+def manifest_with_variance(profiles: DataFrame, vectors: DataFrame, *, key: str, vector_col: str, components: int = 3) -> DataFrame:
+    """The manifest, and the share of variance that each principal component of the vectors explains."""
+    from marigold.operators import ml
+
+    _, fitted = ml.fit_pca(vectors, components, vector_col=vector_col, id_col=key)
+    return manifest(profiles, vectors, key=key, vector_col=vector_col).withColumn("variance", F.array(*(F.lit(x) for x in fitted.explained)))
+
+
 def related_items(json: Column, lists: Sequence[str] = LISTS) -> Column:
     """Array of struct(list, item): objects of the named lists of a payload, as JSON text; absent lists give none."""
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marigold.plans.lineage import written
+
 #: Orders of the entity list by name; each ends in a unique key.
 SORTS = {
     "name": (("name", True),),
@@ -89,3 +91,16 @@ def out_of_range(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataF
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that a unique constraint would reject, and how often they occur."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+    """df with each row's place in an order, from 0: a sort by ranges, and one offset per partition, no single task."""
+    ids = written(df.orderBy(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")), "numbered")
+    sizes = ids.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("_first"))
+    before = sizes.select("_p", "_first", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_before"))  # a row per partition
+    return ids.join(before, "_p").withColumn(name, F.col("_before") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_first", "_before")
+
+
+def zipped(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
+    """Rows of equal place in two tables side by side; the longer table's rest goes."""
+    return numbered(left, left_order).join(numbered(right, right_order), "position")

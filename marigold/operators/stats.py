@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from marigold.functions import vectors
+
 # Transition matrices of an answer towards a pole, rows and columns (positive, negative).
 POSITIVE_STEP = ((0.8, 0.2), (0.45, 0.55))
 NEGATIVE_STEP = ((0.55, 0.45), (0.2, 0.8))
@@ -166,3 +168,39 @@ def lexicon_rates(df: DataFrame, lexicon: Sequence[str], *, id_col: str, text_co
     words = ascii_words(F.col(text_col))
     hits = F.size(F.filter(words, lambda w: w.isin(*[x.lower() for x in lexicon])))
     return df.select(id_col, hits.cast("long").alias("hits"), F.size(words).cast("long").alias("tokens")).withColumn("per_100", F.round(F.when(F.col("tokens") > 0, F.col("hits") * 100.0 / F.col("tokens")).otherwise(0.0), 6))
+
+
+def embedding_pool(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """(dimensions, mean_nonzero, mean_norm): largest length, mean number of components that are not zero, mean Euclidean norm."""
+    v = F.col(vector_col)
+    nonzero = F.size(F.filter(v, lambda x: x != 0))
+    return df.where(v.isNotNull()).agg(F.max(F.size(v)).alias("dimensions"), F.round(F.avg(nonzero), 6).alias("mean_nonzero"), F.round(F.avg(vectors.norm(v)), 6).alias("mean_norm"))
+
+
+def fleiss_kappa(ratings: DataFrame, *, unit: str, value: str) -> DataFrame:
+    """(kappa, units): nominal agreement beyond chance, of the units that have the most frequent number of ratings, two at least."""
+    cells = ratings.where(F.col(value).isNotNull()).groupBy(F.col(unit).alias("u"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    sized = cells.withColumn("m", F.sum("n").over(Window.partitionBy("u"))).where("m > 1")
+    mode = sized.select("u", "m").distinct().groupBy("m").agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("m")).limit(1).select("m")
+    same = sized.join(F.broadcast(mode), "m")
+    agree = same.groupBy("u").agg(((F.sum(F.col("n") * F.col("n")) - F.first("m")) / (F.first("m") * (F.first("m") - 1))).alias("p")).agg(F.avg("p").alias("observed"), F.count("*").alias("units"))
+    shares = same.groupBy("v").agg(F.sum("n").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("expected"))
+    kappa = F.when(F.col("expected") == 1, 1.0).otherwise((F.col("observed") - F.col("expected")) / (1 - F.col("expected")))
+    return agree.crossJoin(shares).select(F.round(kappa, 6).alias("kappa"), "units")
+
+
+def intraclass_correlation(ratings: DataFrame, *, unit: str, value: str) -> DataFrame:
+    """(icc, units): one-way random-effects ICC(1) of units with at least two ratings, for unequal numbers of ratings."""
+    per = ratings.where(F.col(value).isNotNull()).groupBy(F.col(unit).alias("u")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("v")).where("n > 1")
+    total = per.agg(F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("means"), F.count("*").alias("units"))
+    between = (F.col("means") - F.col("s") * F.col("s") / F.col("total")) / (F.col("units") - 1)
+    within = F.col("within") / (F.col("total") - F.col("units"))
+    size = (F.col("total") - F.col("squares") / F.col("total")) / (F.col("units") - 1)
+    spread = between + (size - 1) * within
+    return total.select(F.round(F.when(spread == 0, 0.0).otherwise((between - within) / spread), 6).alias("icc"), "units")
+
+
+def counters(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """df, and counters that are filled while it is read; no pass of its own."""
+    observed = Observation(name)
+    return df.observe(observed, *(F.count(F.when(c, 1)).alias(n) for n, c in counts.items())), observed

@@ -158,7 +158,12 @@ def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", line.alias("line"))
 
 
-@query()
+@query("""
+WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, label, list_sum(list_transform(list_zip(embedding, q.v), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS ab,
+list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS aa, list_sum(list_transform(q.v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS bb FROM embeddings, q),
+s AS (SELECT vec_id, label, round(ab / (sqrt(aa) * sqrt(bb) + 1e-9::DOUBLE), 6) AS score FROM d ORDER BY score DESC, vec_id LIMIT 4)
+SELECT '[' || string_agg('{"vec_id":' || vec_id || ',"label":' || label || ',"score":' || score || '}', ',' ORDER BY score DESC, vec_id) || ']' AS context FROM s
+""")
 def result_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     return profiles.result_context(search.cosine_topk(v, v.where("vec_id = 0").first()["embedding"], 4).select("vec_id", "label", "score"))

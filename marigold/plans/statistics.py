@@ -185,9 +185,14 @@ def no_progress_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.no_progress_stop(pages, keys=["user_id"], order="event_id", new_col="fresh", limit=3).select("user_id", "event_id")
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT user_id, event_id AS call_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, n, call_id, true AS allowed, t AS last FROM c WHERE n = 1
+UNION ALL SELECT c.user_id, c.n, c.call_id, f.last < c.t - 60, CASE WHEN f.last < c.t - 60 THEN c.t ELSE f.last END FROM f JOIN c ON c.user_id = f.user_id AND c.n = f.n + 1)
+SELECT user_id, call_id, allowed FROM f
+""")
 def rate_limit_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most one recorded event of a user in any minute. A fold over state; tests hold it against a plain loop."""
+    """At most one recorded event of a user in any minute: a fold over state."""
     calls = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("call_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return messages.rate_limited(calls, 1).select("user_id", "call_id", "allowed")
 
