@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marigold.llm import lines, ngram_join, packing, quality, substr
-from marigold.plans.lineage import written
+from marigold.lineage import written
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:

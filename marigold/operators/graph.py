@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marigold.plans.lineage import dropped, written
+from marigold.lineage import dropped, written
 
 
 def degrees(edges: DataFrame, src: str = "from_pid", dst: str = "to_pid") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marigold.functions import text
 from marigold.operators import search, store
-from marigold.plans.lineage import written
+from marigold.lineage import written
 
 # Keys under which a payload hints at further searches, and the keys of a hint that is an object.
 HINT_KEYS = ("hint", "hints", "suggestions", "suggested", "suggestedKeywords", "suggested_terms")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marigold.plans.lineage import written
+from marigold.lineage import written
 
 #: Orders of the entity list by name; each ends in a unique key.
 SORTS = {

@@ -1,50 +1,3 @@
-"""Cutting lineage with tables that every executor can read."""
+"""The former place of marigold.lineage."""
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: spark.checkpoint.dir where it is set; a temporary one on a local master, an error on a cluster."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="marigold-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/marigold-{uuid.uuid4().hex}-{name}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends there and a lost executor costs no recomputation.
-
-    The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/marigold-" in path:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+from marigold.lineage import dropped, scratch, shared_dir, written  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marigold.functions import geometry, hashing, text
 from marigold.operators import ml, profiles, relational, search, stats
-from marigold.plans.lineage import scratch, written
+from marigold.lineage import scratch, written
 from marigold.registry import query, table
 from marigold.sources import readers, sinks
 from marigold.streaming import messages

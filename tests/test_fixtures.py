@@ -237,7 +237,7 @@ def test_replace_parquet_puts_the_old_table_back(spark, tmp_path, monkeypatch):
 def test_lineage_needs_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 
-    from marigold.plans import lineage
+    from marigold import lineage
 
     context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
