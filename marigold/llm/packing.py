@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from marigold.llm import pretokens
 from marigold.llm.common import mix, slices, span_hashes
-from marigold.plans.lineage import written
+from marigold.lineage import written
 
 WINDOW, BINS, DEPTH, END_ID = 2048, 128, 3, 1
 #: Words that a worker keeps, and residual tokens that one task lays out.
@@ -281,7 +281,8 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     # groups hold about RESIDUAL_TOKENS / WINDOW sequences; numbers leave room for twice as many
     room = 2 * (RESIDUAL_TOKENS // WINDOW) + 2
     parts = ["part", "row", "start", "length", "sequence_id", "slot"]
-    laid = laid.withColumn("sequence_id", F.lit(slots.total) + F.col("group") * room + F.col("sequence")).select(*parts)
+    number = F.when(F.col("sequence") < room, F.col("sequence")).otherwise(F.raise_error(F.lit("a residual group is more than twice as large as planned")).cast("long"))
+    laid = laid.withColumn("sequence_id", F.lit(slots.total) + F.col("group") * room + number).select(*parts)
     base = slots.total + groups * room
     running = Window.partitionBy("part", "bin").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     whole = sizes.where("windows > 0").withColumn("local", F.coalesce(F.sum("windows").over(running), F.lit(0))).join(firsts, ["part", "bin"])
