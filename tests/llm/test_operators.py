@@ -101,6 +101,54 @@ def test_ogg_query(docs, rows, empty):
     assert packets.select("serial").distinct().count() == 2 and packets.where("seconds > 0").count() > 10
 
 
+def test_ogg_files_of_another_writer():
+    """Pages cut anywhere, three interleaved streams and a lost page, by a writer of its own."""
+    rnd = random.Random(12)
+
+    def crc(data: bytes) -> int:
+        r = 0
+        for byte in data:
+            r ^= byte << 24
+            for _ in range(8):
+                r = (r << 1 ^ (0x04C11DB7 if r & 1 << 31 else 0)) & 0xFFFFFFFF
+        return r
+
+    def page(serial: int, number: int, flags: int, granule: int, lacing: list[int], body: bytes) -> bytes:
+        head = b"OggS\0" + bytes([flags]) + granule.to_bytes(8, "little", signed=True) + serial.to_bytes(4, "little") + number.to_bytes(4, "little")
+        rest = bytes([len(lacing), *lacing]) + body
+        return head + crc(head + bytes(4) + rest).to_bytes(4, "little") + rest
+
+    for _ in range(12):
+        packets, made, spans = {}, {}, {}
+        for serial in (3, 77, 2**32 - 1):
+            packets[serial] = [rnd.randbytes(rnd.choice([0, 1, 254, 255, 256, 510, rnd.randrange(900)])) for _ in range(rnd.randint(1, 12))]
+            units = []  # (lacing value, piece, packet, last of its packet)
+            for i, packet in enumerate(packets[serial]):
+                cut = [packet[j : j + 255] for j in range(0, len(packet), 255)] + ([b""] if len(packet) % 255 == 0 else [])
+                units += [(len(c), c, i, j == len(cut) - 1) for j, c in enumerate(cut)]
+            made[serial], spans[serial], at, number = [], [set() for _ in packets[serial]], 0, 0
+            while at < len(units):
+                some = units[at : at + rnd.randint(1, 6)]
+                done = [i for _, _, i, last in some if last]
+                flags = (1 if at and not units[at - 1][3] else 0) | (2 if not at else 0) | (4 if at + len(some) == len(units) else 0)
+                made[serial].append(page(serial, number, flags, 100 * (done[-1] + 1) if done else -1, [u[0] for u in some], b"".join(u[1] for u in some)))
+                for _, _, i, _ in some:
+                    spans[serial][i].add(number)
+                at, number = at + len(some), number + 1
+        queues, media = {k: list(v) for k, v in made.items()}, []
+        while any(queues.values()):
+            media.append(queues[rnd.choice([k for k, v in queues.items() if v])].pop(0))
+        box = ogg.read_container(b"".join(media))
+        assert {k: v.packets for k, v in box.streams.items()} == packets and box.bad_pages == box.skipped_bytes == 0
+        for serial, stream in box.streams.items():
+            assert stream.begun and stream.ended and stream.pages == len(made[serial]) and stream.granules[-1] == 100 * len(packets[serial])
+            assert all(g is None or g == 100 * (i + 1) for i, g in enumerate(stream.granules))
+        serial = rnd.choice([k for k, v in made.items() if len(v) > 1] or [3])
+        gone = rnd.randrange(len(made[serial]))
+        left = ogg.read_container(b"".join(m for m in media if m != made[serial][gone])).streams
+        assert (left[serial].packets if serial in left else []) == [p for p, s in zip(packets[serial], spans[serial], strict=True) if gone not in s]
+
+
 # 2. BPE
 
 
