@@ -14,8 +14,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
-if (_set := getattr(ctypes.CDLL(None), "mallopt", None)) is not None:
-    _set(-3, 2 << 20)  # arrays of 2 MB and more are mapped, so that they go back to the system when they are freed
 
 #: [\x20\x09-\x0D], the white space of the line and word contracts.
 SPACES = b" \t\n\x0b\x0c\r"
