@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marigold.llm.common import mix
+
 SEGMENT_BITS, MAX_SEGMENTS, PROBES, BITS_PER_HASH = 1 << 20, 1024, 4, 16
 #: Distinct hashes that a map task holds before it passes them on.
 FLUSH = 1 << 20
@@ -110,3 +112,35 @@ def twice_seen(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Itera
     for row in parts.toLocalIterator():  # at most MAX_SEGMENTS rows of 128 KB
         bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
     return TwiceSeen(bits)
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Hashes of a column, each twice, so that the twice-seen filter holds them all."""
+    for batch in batches:
+        yield np.repeat(mix(np.asarray(batch.column(0)).view(np.uint64)), 2)
+
+
+def holding(keys: DataFrame, n: int) -> TwiceSeen:
+    """A filter that passes all of n 64-bit keys, a column, and few others; ask it for mix(key)."""
+    return twice_seen(keys, _mixed, n)
+
+
+def without(docs: DataFrame, gone: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """docs but the rows whose id and text hash are in `gone` (_mg_id, _mg_h), a written table of distinct rows.
+
+    A filter over the hashes goes to all tasks; rows that it does not hold stay where they are, and only the others are shuffled."""
+    n = gone.count()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if not n:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(holding(gone.select("_mg_h"), n))
+
+    @F.arrow_udf("boolean")
+    def suspected(h: pa.Array) -> pa.Array:
+        return pa.array(held.value(mix(h.to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    keyed = docs.withColumn("_mg_key", key).withColumn("_mg_may", suspected("_mg_key"))
+    match = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_mg_id")) & (F.col("_mg_key") == F.col("_mg_h"))
+    left = keyed.where("_mg_may").join(gone, match, "left_anti")
+    return keyed.where("NOT _mg_may").select(*columns).unionAll(left.select(*columns))

@@ -175,12 +175,6 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(g[x], g[y])), pa.array(np.maximum(g[x], g[y])), pa.array(least, pa.int32()), pa.array(room, pa.int32())], ["a", "b", "need", "room"])
 
 
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Hashes of a column, each twice, so that the twice-seen filter holds them all."""
-    for batch in batches:
-        yield np.repeat(mix(np.asarray(batch.column(0)).view(np.uint64)), 2)
-
-
 def _wanted(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
     """Texts (h, text) whose hash may be a candidate's; of equal ones that meet in a task, one."""
     seen: set[int] = set()
@@ -358,7 +352,7 @@ def linked_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90, i
     blocks = F.ceil(F.col("m") / BLOCK).cast("long")
     candidates = written(placed.join(counts, "component").select("fp", "h", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("block")), "candidates")
     dropped(placed)
-    wanted = share(bloom.twice_seen(candidates.select("h"), _mixed, candidates.count()))
+    wanted = share(bloom.holding(candidates.select("h"), candidates.count()))
     texts = slim.select("h", "text").mapInArrow(partial(_wanted, held=wanted), "h long, text string")
     expanded = texts.join(candidates, "h").select("fp", "component", "blocks", "block", "text").mapInArrow(partial(_expanded, shingle=shingle, frequencies=frequencies), "fp binary, component long, blocks long, block long, shingles binary")
     # a class meets every block of its component; components of one block share tasks
@@ -391,15 +385,14 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: st
     several = written(own, "several")  # components whose smallest id comes more than once
     same_id = linked.where(first).join(several, "root").where("h <> least").select("doc_id", "h")
     key = [F.col("doc_id").alias("_mg_id"), F.col("h").alias("_mg_h")]
-    gone = linked.where(~first).select("doc_id", "h").unionByName(same_id).select(*key).distinct()
+    gone = written(linked.where(~first).select("doc_id", "h").unionByName(same_id).select(*key).distinct(), "gone")
+    left = bloom.without(docs, gone, id_col=id_col, text_col=text_col)
+    if several.isEmpty():
+        return left
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_mg_key", F.xxhash64(text))
     match = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_mg_id")) & (F.col("_mg_key") == F.col("_mg_h"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    left = keyed.join(gone, match, "left_anti")
-    if several.isEmpty():
-        return left.select(*columns)
-    twins = several.select(F.col("least_id").alias("_mg_id"), F.col("least").alias("_mg_h"))
+    twins = written(several.select(F.col("least_id").alias("_mg_id"), F.col("least").alias("_mg_h")), "twins")
     order = Window.partitionBy(F.col(f"`{id_col}`").cast("long"), "_mg_key").orderBy(F.to_json(F.struct(*columns)))
-    one = keyed.join(twins, match, "left_semi").withColumn("_mg_rank", F.row_number().over(order)).where("_mg_rank = 1")
-    return left.join(twins, match, "left_anti").select(*columns).unionAll(one.select(*columns))
+    one = docs.withColumn("_mg_key", F.xxhash64(text)).join(twins, match, "left_semi").withColumn("_mg_rank", F.row_number().over(order)).where("_mg_rank = 1")
+    return bloom.without(left, twins, id_col=id_col, text_col=text_col).unionAll(one.select(*columns))

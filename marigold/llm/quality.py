@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marigold.llm import chunks
+from marigold.llm import bloom, chunks
 from marigold.llm.common import buffers, gram_hashes, mix, release, slices, within_rows, word_hashes, word_spans
 from marigold.lineage import dropped, written
 
@@ -282,7 +282,6 @@ def classify(docs: DataFrame, labels: DataFrame, *, seed: int = 1, temperature:
 
 def keep_drawn(docs: DataFrame, labels: DataFrame, *, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that the draw leaves out; all columns stay."""
-    drawn = classify(docs, labels, seed=seed, id_col=id_col, text_col=text_col).where("NOT kept").select(F.col("doc_id").alias("_mg_id"), F.col("h").alias("_mg_h")).distinct()
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    out = docs.withColumn("_mg_key", F.xxhash64(text)).join(drawn, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_mg_id")) & (F.col("_mg_key") == F.col("_mg_h")), "left_anti")
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    left_out = classify(docs, labels, seed=seed, id_col=id_col, text_col=text_col).where("NOT kept")
+    gone = written(left_out.select(F.col("doc_id").alias("_mg_id"), F.col("h").alias("_mg_h")).distinct(), "gone")
+    return bloom.without(docs, gone, id_col=id_col, text_col=text_col)
