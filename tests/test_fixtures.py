@@ -278,3 +278,40 @@ def test_relational(spark):
     judged = spark.createDataFrame([], "rater_id long, judgment_id long, confidence double, entity_id long, session_id long, created_at timestamp")
     r = relational.rater_summary(users, judged).collect()
     assert [(x.rater_id, x.total_judgments, x.average_confidence) for x in r] == [(1, 0, None)]
+
+
+def test_learning_against_numpy(spark, sf):
+    import numpy as np
+
+    rows = sorted(spark.read.parquet(f"{sf}/embeddings.parquet").collect(), key=lambda r: r.vec_id)
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+
+    def fitted(a):
+        mean = a.mean(0)
+        _, s, v = np.linalg.svd(a - mean, full_matrices=False)
+        v = v[:3] * np.sign(v[:3][np.arange(3), np.abs(v[:3]).argmax(1)])[:, None]
+        p = (a - mean) @ v.T
+        return mean, v, p.min(0), p.max(0), (s * s / (s * s).sum())[:3]
+
+    def projected(a, mean, v, lo, hi, _):
+        return np.clip(((a - mean) @ v.T - lo) / (hi - lo) * 2 - 1, -1, 1)
+
+    values = lambda name: {r.vec_id: [r.p1, r.p2, r.p3] for r in registry.queries()[name](spark, sf).collect()}
+    got = values("pca_top3")
+    assert np.allclose([got[i] for i in ids.tolist()], projected(x, *fitted(x)), atol=1e-5)
+    got, even = values("pca_new_vectors"), ids % 2 == 0
+    assert np.allclose([got[i] for i in ids[~even].tolist()], projected(x[~even], *fitted(x[even])), atol=1e-5)
+    assert np.allclose(registry.queries()["manifest_variance"](spark, sf).first().variance, fitted(x)[4], atol=1e-9)
+    cluster = {r.vec_id: r.cluster for r in registry.queries()["kmeans_cosine"](spark, sf).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    own = np.array([cluster[i] for i in ids.tolist()])
+    centres = np.array([u[own == c].mean(0) for c in range(own.max() + 1)])
+    nearest = (u @ (centres / np.linalg.norm(centres, axis=1, keepdims=True)).T).argmax(1)
+    assert (nearest == own).mean() > 0.9 and own.max() + 1 == ml.suggest_k(len(ids))
+    profile = registry.queries()["kmeans_profile"](spark, sf).collect()
+    assert sum(r.size for r in profile) == len(ids) and all(len(r.samples) == min(3, r.size) for r in profile)
+    for name, most in (("dedup_cluster", len(ids)), ("decimate", 25)):
+        kept = [r.vec_id for r in registry.queries()[name](spark, sf).collect()]
+        assert 0 < len(kept) <= most and len(set(kept)) == len(kept) and set(kept) <= set(ids.tolist())
+    moved = registry.queries()["function_offsets"](spark, sf).collect()
+    assert all(abs(r.x**2 + r.y**2 + r.z**2 - 1) < 1e-5 for r in moved)
