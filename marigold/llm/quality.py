@@ -87,8 +87,33 @@ def bits_for(grams: int) -> int:
 class Grams:
     """A chunk's distinct grams in order of their hash, the edges of each group's range, and the grams of each slice of documents."""
 
-    def __init__(self, table: pa.Table, groups: int, bits: int):
+    def __init__(self, table: pa.Table, groups: int, bits: int, good: np.ndarray | None = None):
+        """With the ids of good documents, only counts are made, in all (raw) and in good documents (target), and no slices."""
         self.pieces = [piece for batch in table.to_batches() for piece in slices(batch)]
+        self.bases = -(-(np.arange(groups + 1, dtype=object) << bits) // groups)
+        if good is None:
+            self._read(bits)
+        else:
+            self._count(bits, good)
+        self.edges = np.searchsorted(self.hashes, self.bases[:-1].astype(np.uint64)).tolist() + [len(self.hashes)]
+
+    def _count(self, bits: int, good: np.ndarray) -> None:
+        shift, found = np.uint64(64 - bits), []
+        for piece in self.pieces:
+            known, families = _known(piece, good), features(piece)
+            u, raw = np.unique(np.concatenate([g for g, _ in families]) >> shift, return_counts=True)
+            some, n = np.unique(np.concatenate([g[np.repeat(known, sizes)] for g, sizes in families]) >> shift, return_counts=True)
+            target = np.zeros(len(u), np.int64)
+            target[np.searchsorted(u, some)] = n
+            found.append((u, raw, target))
+        self.hashes = np.unique(np.concatenate([u for u, _, _ in found])) if found else np.zeros(0, np.uint64)
+        self.raw, self.target = np.zeros(len(self.hashes), np.uint32), np.zeros(len(self.hashes), np.uint32)
+        for u, raw, target in found:
+            at = np.searchsorted(self.hashes, u)
+            self.raw[at] += raw.astype(np.uint32)
+            self.target[at] += target.astype(np.uint32)
+
+    def _read(self, bits: int) -> None:
         found, distinct = [], []
         for piece in self.pieces:
             some = [(g >> np.uint64(64 - bits), n) for g, n in features(piece)]
@@ -100,8 +125,6 @@ class Grams:
         for u, (numbers, sizes, counts) in zip(distinct, found, strict=True):
             numbers = np.searchsorted(self.hashes, u).astype(np.int32)[numbers]
             self.slices.append((np.split(numbers, np.cumsum(sizes)[:-1]), counts))
-        self.bases = -(-(np.arange(groups + 1, dtype=object) << bits) // groups)
-        self.edges = np.searchsorted(self.hashes, self.bases[:-1].astype(np.uint64)).tolist() + [len(self.hashes)]
 
     def asked(self) -> list[int]:
         return [g for g, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)) if b > a]
@@ -122,14 +145,8 @@ def _sent(batches: Iterator[pa.RecordBatch], good: Broadcast, groups: int, bits:
     """A chunk's distinct grams, one row per group: differences of the hashes, counts in all and in good documents."""
     for batch in batches:
         for chunk, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            grams = Grams(chunks.unpacked(block.as_buffer()), groups, bits)
-            raw, target = np.zeros(len(grams.hashes), np.uint32), np.zeros(len(grams.hashes), np.uint32)
-            for piece, (families, sizes) in zip(grams.pieces, grams.slices, strict=True):
-                known = _known(piece, good.value)
-                for numbers, n in zip(families, sizes, strict=True):
-                    raw += np.bincount(numbers, minlength=len(raw)).astype(np.uint32)
-                    target += np.bincount(numbers[np.repeat(known, n)], minlength=len(raw)).astype(np.uint32)
-            rows = []
+            grams = Grams(chunks.unpacked(block.as_buffer()), groups, bits, good.value)
+            raw, target, rows = grams.raw, grams.target, []
             for g in grams.asked():
                 some = slice(grams.edges[g], grams.edges[g + 1])
                 h = grams.hashes[some]
