@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marigold.llm import bpe, html_text, licenses, lines, ngram_join, ogg, packing, quality, substr, vafile
+from marigold.lineage import written
+from marigold.llm import bpe, hilbert, html_text, licenses, lines, ngram_join, ogg, packing, postings, quality, spelling, substr, vafile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,5 +62,23 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards by language, source and length: counts at most one apart."""
+    text = F.coalesce("text", F.lit(""))
+    sized = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    cut = hilbert.shards(written(sized, "sizes"), ["lang", "source", "n_chars"], 40, law="rows", ties=("doc_id", "size", "text_crc32"))
+    return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "hilbert.shard", "hilbert.slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.with_slips(spelling.runs(table(spark, sf_dir, "documents")), 97)
+    return spelling.variants(written(spelling.counted(found, min_chars=5, min_count=3), "words"), ratio=2).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = postings.build_index(table(spark, sf_dir, "documents"))
+    return postings.search(index, table(spark, sf_dir, "benchmark"), k=50).select(F.col("item").alias("item_id"), F.col("rank").cast("int").alias("rank"), F.col("doc").alias("doc_id"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_bpe, op3_lines, op4_quality, op5_licenses, op6_substrings, op7_ngrams, op8_topk, op9_packing, op10_html)}
+    return {f.__name__: f for f in (op1_media, op2_bpe, op3_lines, op4_quality, op5_licenses, op6_substrings, op7_ngrams, op8_topk, op9_packing, op10_html, op11_hilbert, op12_spelling, op13_postings)}
