@@ -30,17 +30,17 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, run): every run of letters of every text, A-Z lower-cased."""
+    """(id, word): every run of letters of every text, A-Z lower-cased."""
     found = F.regexp_extract_all(F.translate(F.col(f"`{text_col}`"), _UPPER, _LOWER), F.lit(LETTERS), F.lit(0))
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(found).alias("run"))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(found).alias("word"))
 
 
 def with_slips(found: DataFrame, one_in: int) -> DataFrame:
     """(id, word): one of so many runs, by the checksum of `<id>:<run>`, loses the code point that the checksum points to."""
-    h = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
-    at = (F.col("h") % F.char_length("run")).cast("int")
-    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
-    return found.withColumn("h", h).select("id", F.when(F.col("h") % one_in == 0, cut).otherwise(F.col("run")).alias("word"))
+    h = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary"))
+    at = (F.col("h") % F.char_length("word")).cast("int")
+    cut = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.char_length("word")))
+    return found.withColumn("h", h).select("id", F.when(F.col("h") % one_in == 0, cut).otherwise(F.col("word")).alias("word"))
 
 
 def counted(found: DataFrame, *, min_chars: int = 5, min_count: int = 3) -> DataFrame:
@@ -52,8 +52,8 @@ def _partitioned(rows: DataFrame) -> DataFrame:
     """Both ways to leave one half of the open part of a word (of the indexed word: code points a to b) whole."""
     a, b, longer = F.col("a"), F.col("b"), F.col("longer")
     middle = a + F.floor((b - a) / 2).cast("int")
-    first = F.when(b - a >= 2, middle).otherwise(b)  # one open code point, and a longer probe: none is left open
-    second = F.when(b - a >= 2, middle).otherwise(a)
+    first = F.when(b - a >= 2, middle).when(longer == 1, b).otherwise(a)  # of one open code point, a longer probe leaves none open
+    second = F.when(b - a >= 2, middle).when(longer == 1, a).otherwise(b)
     halves = F.array(F.struct(first.alias("a"), b.alias("b")), F.struct(a.alias("a"), second.alias("b")))
     rows = rows.withColumn("half", F.explode(halves)).withColumns({"a": F.col("half.a"), "b": F.col("half.b")}).drop("half")
     shift = F.when(F.col("probe"), longer).otherwise(0)
