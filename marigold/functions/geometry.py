@@ -74,10 +74,21 @@ def fibonacci_point(i: Column, n: Column) -> Column:
     return F.struct(F.degrees(F.asin(y)).alias("lat"), F.degrees(F.atan2(F.sin(phi) * r, F.cos(phi) * r)).alias("lon"))
 
 
-def jittered(lat: Column, lon: Column, similarity: Column, spread: float, seed: int) -> Column:
-    """struct(lat, lon): a place around a centroid, farther away the lower the similarity."""
-    angle, radius = F.rand(seed) * (2 * math.pi), (1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), similarity))) * spread
-    return F.struct((lat + radius * F.sin(angle)).alias("lat"), (lon + radius * F.cos(angle)).alias("lon"))
+def hash_noise(key: Column, seed: int, axis: str) -> Column:
+    """A number from -1 to 1 that follows from key, seed and axis alone, wherever the row is computed."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:{axis}:"), key.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 31) - 1
+
+
+def jittered(lat: Column, lon: Column, similarity: Column, key: Column, seed: int, *, spread: float = 12.0, least: float = 2.0) -> Column:
+    """struct(lat, lon): a place around a centroid; each coordinate is uniform within spread * (1 - similarity) degrees, `least` at
+    least, whatever the similarity."""
+    reach = F.greatest(F.lit(least), spread * (1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), similarity))))
+    return F.struct((lat + reach * hash_noise(key, seed, "lat")).alias("lat"), (lon + reach * hash_noise(key, seed, "lon")).alias("lon"))
+
+
+# Weights of the functions of a stack, dominant to inferior.
+ROLE_WEIGHTS = (0.5, 0.3, 0.15, 0.05)
 
 
 def offsets(points: np.ndarray, types: list[str | None], normals: dict[str, tuple[float, float, float]], weights: tuple[float, ...], roll: float, scale: float, max_degrees: float, sign: float) -> np.ndarray:
@@ -110,7 +121,7 @@ def turned(v: np.ndarray, axis: np.ndarray, angle: np.ndarray) -> np.ndarray:
     return _normed(v * c + np.cross(axis, v) * s + axis * (1 - c) * (axis * v).sum(1, keepdims=True))
 
 
-def function_offset(point: Column, mbti: Column, normals: dict[str, tuple[float, float, float]], weights: tuple[float, ...] = (0.4, 0.3, 0.2, 0.1), roll: float = 0.1, scale: float = 1.0, max_degrees: float = 12.0, sign: float = -1.0) -> Column:
+def function_offset(point: Column, mbti: Column, normals: dict[str, tuple[float, float, float]], weights: tuple[float, ...] = ROLE_WEIGHTS, roll: float = 0.1, scale: float = 1.0, max_degrees: float = 12.0, sign: float = -1.0) -> Column:
     """struct(x, y, z): the point moved by its type's functions, weights by role, dominant first. `sign` is the observed -1."""
 
     @F.pandas_udf("x double, y double, z double")

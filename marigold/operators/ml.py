@@ -24,6 +24,13 @@ def suggest_k(n: int) -> int:
     return min(12, max(3, math.floor(math.sqrt(n) + 0.5)))
 
 
+def suggested_k(sizes: DataFrame, size_col: str) -> DataFrame:
+    """sizes with suggest_k() of their column: each table's or group's own k, by the bounds that the function itself gives."""
+    least, most = suggest_k(0), suggest_k(1 << 40)
+    steps = [next(n for n in range(1 << 10) if suggest_k(n) >= k) for k in range(least + 1, most + 1)]
+    return sizes.withColumn("k", sum((F.when(F.col(size_col) >= n, 1).otherwise(0) for n in steps), F.lit(least)).cast("int"))
+
+
 def sanitize(df: DataFrame, *, vector_col: str = "embedding", prefer: str = "larger") -> DataFrame:
     """df with vectors of the most frequent length: padded by zeros or cut, non-finite values 0. Null vectors go."""
     mode = dimension_mode(df, vector_col, prefer).first()

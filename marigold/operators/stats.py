@@ -178,13 +178,12 @@ def embedding_pool(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
 
 
 def fleiss_kappa(ratings: DataFrame, *, unit: str, value: str) -> DataFrame:
-    """(kappa, units): nominal agreement beyond chance, of the units that have the most frequent number of ratings, two at least."""
+    """(kappa, units): nominal agreement beyond chance over all units of at least two ratings, whose numbers may differ: the mean of each
+    unit's own share of agreeing pairs against the chance of the pooled values."""
     cells = ratings.where(F.col(value).isNotNull()).groupBy(F.col(unit).alias("u"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
     sized = cells.withColumn("m", F.sum("n").over(Window.partitionBy("u"))).where("m > 1")
-    mode = sized.select("u", "m").distinct().groupBy("m").agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("m")).limit(1).select("m")
-    same = sized.join(F.broadcast(mode), "m")
-    agree = same.groupBy("u").agg(((F.sum(F.col("n") * F.col("n")) - F.first("m")) / (F.first("m") * (F.first("m") - 1))).alias("p")).agg(F.avg("p").alias("observed"), F.count("*").alias("units"))
-    shares = same.groupBy("v").agg(F.sum("n").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("expected"))
+    agree = sized.groupBy("u").agg(((F.sum(F.col("n") * F.col("n")) - F.first("m")) / (F.first("m") * (F.first("m") - 1))).alias("p")).agg(F.avg("p").alias("observed"), F.count("*").alias("units"))
+    shares = sized.groupBy("v").agg(F.sum("n").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("expected"))
     kappa = F.when(F.col("expected") == 1, 1.0).otherwise((F.col("observed") - F.col("expected")) / (1 - F.col("expected")))
     return agree.crossJoin(shares).select(F.round(kappa, 6).alias("kappa"), "units")
 
@@ -192,8 +191,10 @@ def fleiss_kappa(ratings: DataFrame, *, unit: str, value: str) -> DataFrame:
 def intraclass_correlation(ratings: DataFrame, *, unit: str, value: str) -> DataFrame:
     """(icc, units): one-way random-effects ICC(1) of units with at least two ratings, for unequal numbers of ratings."""
     per = ratings.where(F.col(value).isNotNull()).groupBy(F.col(unit).alias("u")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("v")).where("n > 1")
-    total = per.agg(F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("means"), F.count("*").alias("units"))
-    between = (F.col("means") - F.col("s") * F.col("s") / F.col("total")) / (F.col("units") - 1)
+    grand = per.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
+    away = F.col("mean") - F.col("grand")
+    total = per.crossJoin(F.broadcast(grand)).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * away * away).alias("means"), F.count("*").alias("units"))
+    between = F.col("means") / (F.col("units") - 1)
     within = F.col("within") / (F.col("total") - F.col("units"))
     size = (F.col("total") - F.col("squares") / F.col("total")) / (F.col("units") - 1)
     spread = between + (size - 1) * within

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marigold.functions import geometry, hashing, text
+from marigold.functions import geometry, hashing, text, vectors
 from marigold.operators import ml, profiles, relational, search, stats
 from marigold.lineage import scratch, written
 from marigold.registry import query, table
@@ -169,17 +169,23 @@ def hash_bucket_384(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT label, CAST(least(12, greatest(3, floor(sqrt(n) + 0.5))) AS INTEGER) AS k FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
 """)
 def suggested_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-    return counted.select("label", F.least(F.lit(12), F.greatest(F.lit(3), F.floor(F.sqrt("n") + 0.5))).cast("int").alias("k"))
+    return ml.suggested_k(table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n")), "n").select("label", "k")
 
 
-@query("SELECT vec_id, true AS near, vec_id % 2 = 0 AS at_centre FROM embeddings")
+@query("""
+WITH c AS (SELECT label, array_agg(m ORDER BY i) AS centre FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings WHERE label IS NOT NULL) GROUP BY ALL) GROUP BY label),
+s AS (SELECT vec_id, label, list_sum(list_transform(list_zip(embedding, centre), lambda z: z[1]::DOUBLE * z[2])) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(centre, lambda x: x * x))) + 1e-9) AS sim FROM embeddings JOIN c USING (label)),
+n AS (SELECT vec_id, label, greatest(2.0::DOUBLE, 12 * (1 - greatest(0, least(1, sim)))) AS reach, ('0x' || substr(md5('7:lat:' || vec_id), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1 AS a, ('0x' || substr(md5('7:lon:' || vec_id), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1 AS b FROM s)
+SELECT vec_id, round(10.0::DOUBLE * label + reach * a, 5) AS lat, round(-5.0::DOUBLE * label + reach * b, 5) AS lon FROM n
+""")
 def jittered_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random places stay within the spread of their centroid, and a similarity of 1 leaves no room."""
-    similarity = F.when(F.col("vec_id") % 2 == 0, 1.0).otherwise(0.25)
-    placed = table(spark, sf_dir, "embeddings").select("vec_id", geometry.jittered(F.lit(10.0), F.lit(20.0), similarity, 4.0, 7).alias("p"))
-    away = F.sqrt(F.pow(F.col("p.lat") - 10, 2) + F.pow(F.col("p.lon") - 20, 2))
-    return placed.select("vec_id", (away <= 3.0000001).alias("near"), (away < 1e-9).alias("at_centre"))
+    """Vectors around the places of their labels, by similarity to the label's mean vector."""
+    v = table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
+    centres = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centres = centres.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))  # one component each
+    near = vectors.cosine(F.col("embedding"), F.col("centre"))
+    placed = v.join(centres, "label").select("vec_id", geometry.jittered(10.0 * F.col("label"), -5.0 * F.col("label"), near, F.col("vec_id"), 7).alias("p"))
+    return placed.select("vec_id", F.round("p.lat", 5).alias("lat"), F.round("p.lon", 5).alias("lon"))
 
 
 @query("SELECT n_nationkey, 'a|' || n_name || '|c' AS items FROM nation")
@@ -223,9 +229,8 @@ def entity_list_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH k AS (SELECT user_id AS u, event_type AS v, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY u) AS m FROM k QUALIFY m > 1),
-mode AS (SELECT m, count(*) AS c FROM (SELECT DISTINCT u, m FROM s) GROUP BY m ORDER BY c DESC, m DESC LIMIT 1), f AS (SELECT s.* FROM s JOIN mode USING (m)),
-o AS (SELECT avg(p) AS observed, count(*) AS units FROM (SELECT u, (sum(n * n) - any_value(m)) / (any_value(m) * (any_value(m) - 1))::DOUBLE AS p FROM f GROUP BY u)),
-e AS (SELECT sum(n * n) / (sum(n) * sum(n))::DOUBLE AS expected FROM (SELECT v, sum(n) AS n FROM f GROUP BY v))
+o AS (SELECT avg(p) AS observed, count(*) AS units FROM (SELECT u, (sum(n * n) - any_value(m)) / (any_value(m) * (any_value(m) - 1))::DOUBLE AS p FROM s GROUP BY u)),
+e AS (SELECT sum(n * n) / (sum(n) * sum(n))::DOUBLE AS expected FROM (SELECT v, sum(n) AS n FROM s GROUP BY v))
 SELECT round((observed - expected) / (1 - expected), 6) AS kappa, units FROM o, e
 """)
 def fleiss_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -197,6 +199,24 @@ def rate_limit_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.rate_limited(calls, 1).select("user_id", "call_id", "allowed")
 
 
+_LIMITS = ((1, 600.0), (3, 3600.0), (10, 10_800.0))
+
+
+@query(f"""
+WITH RECURSIVE l AS (SELECT * FROM (VALUES {', '.join(f'({n}, {s}::DOUBLE)' for n, s in _LIMITS)}) AS l(lim, seconds)),
+c AS (SELECT event_type, event_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT lim, seconds, event_type, n, event_id, true AS allowed, [t] AS held FROM c, l WHERE n = 1
+UNION ALL SELECT lim, seconds, event_type, n, event_id, len(live) < lim, CASE WHEN len(live) < lim THEN list_append(live, t) ELSE live END
+FROM (SELECT f.lim, f.seconds, c.event_type, c.n, c.event_id, c.t, list_filter(f.held, lambda x: x >= c.t - f.seconds) AS live FROM f JOIN c ON c.event_type = f.event_type AND c.n = f.n + 1))
+SELECT CAST(lim AS INTEGER) AS calls, event_type, event_id, allowed FROM f
+""")
+def rate_limit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 1 event of a type in ten minutes, 3 in an hour, 10 in three hours; rejected events are not recorded."""
+    calls = table(spark, sf_dir, "events").select("event_type", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    limited = [messages.rate_limited(calls, n, seconds=s, user_col="event_type", tie_col="event_id").select(F.lit(n).alias("calls"), "event_type", "event_id", "allowed") for n, s in _LIMITS]
+    return reduce(DataFrame.unionByName, limited)
+
+
 @query("SELECT event_type, CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) AS start, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

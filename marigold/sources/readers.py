@@ -15,7 +15,9 @@ from marigold.functions import text
 ID_COLUMNS = ("cid", "profile_cid", "pid", "id", "profile_id", "uuid", "uid")
 VECTOR_COLUMNS = ("vector", "embedding", "embeddings", "vec", "values")
 #: What Spark says of files that are no Parquet.
-CORRUPT = re.compile(r"is not a Parquet file|CANNOT_READ_FILE_FOOTER|FAILED_READ_FILE\\.CANNOT_READ_FILE_FOOTER|UNABLE_TO_INFER_SCHEMA|corrupt", re.I)
+CORRUPT = re.compile(r"is not a Parquet file|CANNOT_READ_FILE_FOOTER|FAILED_READ_FILE\.CANNOT_READ_FILE_FOOTER|UNABLE_TO_INFER_SCHEMA|corrupt", re.I)
+#: Stands for a quoted empty text while CSV is parsed: no character, by Unicode's rules.
+EMPTY = "\ufdd0"
 ID_PATTERN = re.compile(r"(^|_)(cid|uuid|uid|id)$", re.I)
 
 
@@ -59,9 +61,12 @@ def by_suffix(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header, quoted quotes and line ends inside quotes; without a schema, all columns are text."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return (reader.schema(schema) if schema is not None else reader).csv(path)
+    """CSV with a header, doubled quotes, outer spaces, and line ends inside quotes; without a schema, all columns are text.
+
+    A pair of quotes is an empty text, nothing at all is null; a text that is EMPTY alone counts as empty, too."""
+    reader = spark.read.options(header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="", emptyValue=EMPTY)
+    rows = (reader.schema(schema) if schema is not None else reader).csv(path)
+    return rows.select(*(F.when(F.col(f"`{f.name}`") == EMPTY, "").otherwise(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in rows.schema))
 
 
 def documents(spark: SparkSession, root: str, pattern: str = "*.{md,txt}") -> DataFrame:

@@ -53,10 +53,12 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def export(df: DataFrame, path: str, kind: str) -> None:
-    """JSON, CSV with a header even when empty, Parquet or ORC."""
+    """JSON, CSV with a header even when empty, Parquet or ORC.
+
+    In CSV quotes are doubled, spaces stay, an empty text is a pair of quotes and a null is nothing, as readers.csv takes them."""
     w = df.write.mode("overwrite")
     if kind == "csv":
-        flat(df).write.mode("overwrite").option("header", True).csv(path)
+        flat(df).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="", emptyValue='""').csv(path)
     elif kind in ("json", "parquet", "orc"):
         getattr(w, kind)(path)
     else:
