@@ -126,18 +126,24 @@ def text_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.text_neighbours(table(spark, sf_dir, "documents"), 0, 10)
 
 
-@query("SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array(lower(text), '\\s+'), ['the', 'of'])")
+SQL_AND = "SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array(lower(text), '\\s+'), ['the', 'of'])"
+
+
+@query(SQL_AND)
 def kw_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyword_filter(table(spark, sf_dir, "documents"), ["the", "of"]).select("doc_id")
 
 
-@query(f"""
+SQL_HYBRID = f"""
 WITH w AS ({_SHA_TOKENS} WHERE list_has_all(regexp_split_to_array(lower(text), '\\s+'), ['the', 'and'])),
 c AS (SELECT doc_id, {_SHA_BUCKET} AS b, count(*)::DOUBLE AS n FROM w GROUP BY ALL),
 q AS (SELECT b, n / sqrt(sum(n * n) OVER ()) AS x FROM (SELECT {_SHA_BUCKET} AS b, count(*)::DOUBLE AS n FROM (SELECT unnest(['the', 'tion', 'of', 'and', 'and']) AS t) GROUP BY 1)),
 s AS (SELECT c.doc_id, round(coalesce(sum(c.n * q.x), 0) / sqrt(sum(c.n * c.n)), 6) AS score FROM c LEFT JOIN q USING (b) GROUP BY c.doc_id)
 SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 25
-""")
+"""
+
+
+@query(SQL_HYBRID)
 def kw_and_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hybrid(table(spark, sf_dir, "documents"), ["the", "and"], "the tion of and and", 25)
 
