@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marigold.lineage import scratch
-from marigold.operators import ann, posting_index, search
+from marigold.operators import ann, near_vectors, posting_index, search
 from marigold.plans import search as scans
 from marigold.registry import query, table
+from marigold.sources import bucketed
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> ann.Index:
@@ -62,3 +63,57 @@ def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _posted(spark, sf_dir)
     rows = posting_index.decoded_lists(index).groupBy("word")
     return rows.agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"), F.sum("doc").alias("total"))
+
+
+_CLASSES = """
+v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL), k AS (SELECT vec_id, e, min(vec_id) OVER (PARTITION BY e) AS class FROM v),
+n AS (SELECT class, e, sqrt(list_dot_product(e, e)) AS l FROM k WHERE vec_id = class),
+p AS (SELECT x.class AS a, y.class AS b, round(list_dot_product(x.e, y.e) / (x.l * y.l + 1e-9::DOUBLE), 6) AS score FROM n x JOIN n y ON x.class < y.class)
+"""
+
+
+@query(f"WITH {_CLASSES} SELECT a, b, score FROM p WHERE score >= 0.35")
+def vec_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different vectors above a cosine of 0.35; these tables hold few nearer ones."""
+    return near_vectors.near_pairs(near_vectors.classes(table(spark, sf_dir, "embeddings")), 0.35)
+
+
+@query(f"WITH {_CLASSES}, l AS (SELECT class, count(*) AS n FROM (SELECT a AS class FROM p WHERE score >= 0.3 UNION ALL SELECT b FROM p WHERE score >= 0.3) GROUP BY class) SELECT vec_id, class, coalesce(n, 0) AS n_links FROM k LEFT JOIN l USING (class)")
+def vec_near_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's class of equal ones, and how many other classes are above a cosine of 0.3."""
+    held = near_vectors.classes(table(spark, sf_dir, "embeddings"))
+    return near_vectors.links(held, near_vectors.near_pairs(held, 0.3)).withColumnRenamed("id", "vec_id")
+
+
+@query("""
+WITH base AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 3 <> 0), batch AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN upper(c_name) || '!' ELSE c_name END AS v FROM customer WHERE c_custkey % 50 < 2)
+SELECT coalesce(batch.k, base.k) AS k, coalesce(batch.v, base.v) AS v FROM base FULL JOIN batch USING (k) WHERE coalesce(batch.k, base.k) % 97 <> 5
+""")
+def bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in buckets after an upsert and a delete that rewrote only what they touched."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    held = bucketed.create(rows.where("k % 3 <> 0"), scratch(spark, "customers"), ["k"], 64)
+    changed = F.when(F.col("k") % 4 == 0, F.concat(F.upper("v"), F.lit("!"))).otherwise(F.col("v"))
+    held.upsert(rows.where("k % 50 < 2").withColumn("v", changed), "v")
+    held.delete(rows.where("k % 97 = 5").select("k"))
+    return held.read()
+
+
+@query("""
+WITH base AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 3 <> 0), batch AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN c_name || '!' ELSE c_name END AS v FROM customer WHERE c_custkey % 7 = 1)
+SELECT count(*) FILTER (WHERE base.k IS NULL) AS new, count(*) FILTER (WHERE base.v <> batch.v) AS updated, count(*) FILTER (WHERE base.v = batch.v) AS same FROM batch LEFT JOIN base USING (k)
+""")
+def bucketed_upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    held = bucketed.create(rows.where("k % 3 <> 0"), scratch(spark, "customers"), ["k"], 64)
+    done = held.upsert(rows.where("k % 7 = 1").withColumn("v", F.when(F.col("k") % 4 == 0, F.concat("v", F.lit("!"))).otherwise(F.col("v"))), "v")
+    return spark.createDataFrame([tuple(done[s] for s in ("new", "updated", "same"))], "new long, updated long, same long")
+
+
+@query("SELECT DISTINCT l_partkey AS from_pid, l_suppkey AS to_pid FROM lineitem")
+def bucketed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges in buckets: those of even parts at first, then all, of which the table lacks one half."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("from_pid"), F.col("l_suppkey").alias("to_pid"))
+    held = bucketed.create(edges.where("from_pid % 2 = 0").distinct(), scratch(spark, "edges"), ["from_pid", "to_pid"], 32)
+    held.append_missing(edges)
+    return held.read()
