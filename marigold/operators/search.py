@@ -18,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from marigold.functions import hashing, text, vectors
 
 MAX_QUERIES = 10_000
+#: Rows that meet a block of queries under one key, about; values of a matrix of query words by queries.
+ROW_BLOCK, MATRIX = 50_000, 1 << 24
 
 
 def literal_vector(v: Sequence[float]) -> Column:
@@ -44,10 +46,12 @@ def similar(df: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id"
     c = df.where(F.col(vector_col).isNotNull()).select(id_col, vector_col, vectors.norm(F.col(vector_col)).alias("_n"))
     if n <= MAX_QUERIES:
         pairs = c.join(F.broadcast(q), F.col(id_col) != F.col("query_id"))
-    else:  # every block of queries meets every row
-        blocks = -(-queries.count() // MAX_QUERIES)
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-        pairs = c.withColumn("_b", every).join(q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "_b").where(F.col(id_col) != F.col("query_id"))
+    else:  # every block of queries meets every block of rows, each pair of blocks by a key of its own
+        blocks = {"_b": -(-queries.count() // MAX_QUERIES), "_r": max(1, -(-df.count() // ROW_BLOCK))}
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[n] - 1).cast("long")))
+        dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(blocks[n]))
+        rows, asked = c.withColumn("_r", dealt(id_col, "_r")).withColumn("_b", every("_b")), q.withColumn("_b", dealt("query_id", "_b")).withColumn("_r", every("_r"))
+        pairs = rows.join(asked, ["_b", "_r"]).where(F.col(id_col) != F.col("query_id"))
     score = F.round(vectors.dot(F.col(vector_col), F.col("_q")) / (F.col("_n") * F.col("_qn") + vectors.EPSILON), digits)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     scored = pairs.select("query_id", id_col, score.alias("score")).withColumn("rank", F.row_number().over(best))
@@ -133,7 +137,8 @@ def alias_match(df: DataFrame, name_col: str, *, contains: str | None = None, re
 
 def word_overlap(df: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """(query_id, id, overlap): the k texts that share most distinct words with each query text; texts without a common word take no
-    part. The queries, whose number is checked, go to every task; a task passes on its k best texts of each query."""
+    part. The queries, whose number is checked, go to every task; a task passes on its k best texts of each query. Their words meet the
+    texts' words in blocks of MATRIX values."""
     asked = queries.select(F.col(query_id).alias("q"), F.array_distinct(text.ascii_words(F.col(query_text))).alias("w")).limit(MAX_QUERIES + 1).collect()
     if len(asked) > MAX_QUERIES:
         raise ValueError(f"at most {MAX_QUERIES} queries at a time")
@@ -141,10 +146,9 @@ def word_overlap(df: DataFrame, queries: DataFrame, k: int, *, id_col: str = "do
 
     def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[str, int] = {}
-        places = [(number.setdefault(w, len(number)), i) for i, r in enumerate(known.value) for w in r["w"] or ()]
-        held = np.zeros((len(number), len(known.value)), np.float32)  # words of the queries by query
-        for w, i in places:
-            held[w, i] = 1
+        places = np.array([(number.setdefault(w, len(number)), i) for i, r in enumerate(known.value) for w in r["w"] or ()], np.int64).reshape(-1, 2)
+        places = places[np.argsort(places[:, 0], kind="stable")]
+        step = max(1, MATRIX // max(1, len(known.value)))
         vocabulary = pa.array(list(number), pa.string())
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
@@ -153,9 +157,14 @@ def word_overlap(df: DataFrame, queries: DataFrame, k: int, *, id_col: str = "do
                 at = pc.index_in(lists.flatten(), vocabulary)
                 rows = np.repeat(np.arange(part.num_rows), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
                 hit = at.is_valid().to_numpy(zero_copy_only=False)
-                have = np.zeros((part.num_rows, len(number)), np.float32)
-                have[rows[hit], at.drop_null().to_numpy()] = 1
-                shared = (have @ held).astype(np.int64)
+                rows, at = rows[hit], at.drop_null().to_numpy()
+                shared = np.zeros((part.num_rows, len(known.value)), np.int64)
+                for word in np.unique(at // step).tolist():  # blocks of words that these texts have
+                    own, some = at // step == word, places[slice(*np.searchsorted(places[:, 0], [word * step, (word + 1) * step]))]
+                    have, held = np.zeros((part.num_rows, step), np.float32), np.zeros((step, len(known.value)), np.float32)
+                    have[rows[own], at[own] - word * step] = 1
+                    held[some[:, 0] - word * step, some[:, 1]] = 1
+                    shared += (have @ held).astype(np.int64)
                 order = np.argsort(-shared, axis=0, kind="stable")  # rows come in order of their id
                 top = order[:k]
                 text_at, query_at = top.reshape(-1), np.tile(np.arange(shared.shape[1]), len(top))

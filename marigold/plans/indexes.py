@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marigold.lineage import scratch
-from marigold.operators import ann, near_vectors, posting_index, search
+from marigold.operators import ann, near_vectors, posting_index, scan_state, search
 from marigold.plans import search as scans
 from marigold.registry import query, table
 from marigold.sources import bucketed
@@ -117,3 +117,19 @@ def bucketed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = bucketed.create(edges.where("from_pid % 2 = 0").distinct(), scratch(spark, "edges"), ["from_pid", "to_pid"], 32)
     held.append_missing(edges)
     return held.read()
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem UNION SELECT DISTINCT l_suppkey + 1000000, l_orderkey + 2000000 FROM lineitem WHERE l_suppkey % 5 <> 0),
+r AS (SELECT 1::BIGINT AS node, 0 AS level UNION SELECT e.b, r.level + 1 FROM r JOIN e ON e.a = r.node WHERE r.level < 3) SELECT node, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY node
+""")
+def frontier_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan in three runs, each from the state that the one before left; suppliers of every fifth number are skipped."""
+    lines = table(spark, sf_dir, "lineitem")
+    suppliers = (F.col("l_suppkey") + 1_000_000).alias
+    edges = lines.select(F.col("l_partkey").alias("from_pid"), suppliers("to_pid")).unionByName(lines.select(suppliers("from_pid"), (F.col("l_orderkey") + 2_000_000).alias("to_pid")))
+    path = scratch(spark, "scan")
+    scan_state.ScanState(spark, path, buckets=8).skip(table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey") + 1_000_000))
+    for steps in (1, 1, None):
+        scan_state.ScanState(spark, path, buckets=8).advance(edges, spark.range(1, 2), steps=steps)
+    return scan_state.ScanState(spark, path, buckets=8).reached().select("node", "level")

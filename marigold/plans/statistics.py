@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marigold.functions import geometry, text
+from marigold.lineage import scratch
 from marigold.operators import search, stats
 from marigold.registry import query, table
-from marigold.streaming import messages
+from marigold.streaming import limiter, messages
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +218,36 @@ def rate_limit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, limited)
 
 
+_HOURLY = f"""
+WITH RECURSIVE c AS (SELECT event_type, event_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT event_type, n, event_id, true AS allowed, [t] AS held FROM c WHERE n = 1
+UNION ALL SELECT event_type, n, event_id, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END
+FROM (SELECT c.event_type, c.n, c.event_id, c.t, list_filter(f.held, lambda x: x >= c.t - 3600) AS live FROM f JOIN c ON c.event_type = f.event_type AND c.n = f.n + 1))
+SELECT event_type, event_id, allowed FROM f
+"""
+
+
+@query(_HOURLY)
+def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 3 events of a type in an hour, from a stream whose events come up to two days late."""
+    calls = table(spark, sf_dir, "events").select("event_type", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    source, out, state = (scratch(spark, n) for n in ("calls", "limited", "limiter"))
+    delayed = calls.withColumn("seen", F.floor((F.col("t") + F.pmod(F.xxhash64("event_id"), F.lit(48)) * 3600) / (86_400 * 8)))
+    for part in sorted(r["seen"] for r in delayed.select("seen").distinct().collect()):  # a file or so for each eight days
+        delayed.where(F.col("seen") == part).drop("seen").write.mode("append").parquet(source)
+    end = calls.agg((F.max("t") + 86_400 * 30).alias("t")).select(F.lit("").alias("event_type"), F.lit(-1).cast("long").alias("event_id"), "t")
+    end.write.mode("append").parquet(source)  # the watermark passes all events
+    held = spark.conf.get(limiter._CONF, None)
+    spark.conf.set(limiter._CONF, limiter.PROVIDER)
+    try:
+        stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 4).parquet(source)
+        limited = limiter.rate_limited_in_order(stream, 3, seconds=3600.0, user_col="event_type", tie_col="event_id", late="11 days")
+        limited.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(limiter._CONF) if held is None else spark.conf.set(limiter._CONF, held)
+    return spark.read.schema(limited.schema).parquet(out).where("event_id >= 0").select("event_type", "event_id", "allowed")
+
+
 @query("SELECT event_type, CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) AS start, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-MODULES = ("search", "texts", "relational", "statistics", "stores", "graphs", "learning", "profiles", "roundtrips", "indexes")
+MODULES = ("search", "texts", "relational", "statistics", "stores", "graphs", "learning", "profiles", "roundtrips", "indexes", "agreement")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
