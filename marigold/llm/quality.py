@@ -84,6 +84,15 @@ def bits_for(grams: int) -> int:
     return min(48, max(16, (BUCKETS * grams).bit_length()))
 
 
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The hashes of all parts in order, each once, sorted in place: np.unique would hold two copies more."""
+    h = np.concatenate([np.zeros(0, np.uint64), *parts])
+    h.sort()
+    first = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=first[1:])
+    return h[first]
+
+
 class Grams:
     """A chunk's distinct grams in order of their hash, the edges of each group's range, and the grams of each slice of documents."""
 
@@ -103,15 +112,14 @@ class Grams:
             known, families = _known(piece, good), features(piece)
             u, raw = np.unique(np.concatenate([g for g, _ in families]) >> shift, return_counts=True)
             some, n = np.unique(np.concatenate([g[np.repeat(known, sizes)] for g, sizes in families]) >> shift, return_counts=True)
-            target = np.zeros(len(u), np.int64)
-            target[np.searchsorted(u, some)] = n
-            found.append((u, raw, target))
-        self.hashes = np.unique(np.concatenate([u for u, _, _ in found])) if found else np.zeros(0, np.uint64)
+            found.append((u, raw.astype(np.uint32), some, n.astype(np.uint32)))  # few grams are in good documents
+        self.pieces = []
+        self.hashes = _distinct([f[0] for f in found])
         self.raw, self.target = np.zeros(len(self.hashes), np.uint32), np.zeros(len(self.hashes), np.uint32)
-        for u, raw, target in found:
-            at = np.searchsorted(self.hashes, u)
-            self.raw[at] += raw.astype(np.uint32)
-            self.target[at] += target.astype(np.uint32)
+        while found:
+            u, raw, some, n = found.pop()
+            self.raw[np.searchsorted(self.hashes, u)] += raw
+            self.target[np.searchsorted(self.hashes, some)] += n
 
     def _read(self, bits: int) -> None:
         found, distinct = [], []
@@ -120,7 +128,7 @@ class Grams:
             u, numbers = np.unique(np.concatenate([g for g, _ in some]), return_inverse=True)
             distinct.append(u)
             found.append((numbers.astype(np.int32), [len(g) for g, _ in some], [n for _, n in some]))
-        self.hashes = np.unique(np.concatenate(distinct)) if distinct else np.zeros(0, np.uint64)
+        self.hashes = _distinct(distinct)
         self.slices = []
         for u, (numbers, sizes, counts) in zip(distinct, found, strict=True):
             numbers = np.searchsorted(self.hashes, u).astype(np.int32)[numbers]
