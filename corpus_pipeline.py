@@ -18,41 +18,29 @@ from pyspark.sql import functions as F
 from marigold.llm import lines, ngram_join, packing, quality, substr
 from marigold.lineage import written
 
-BATCH_BYTES = 8 << 20
-
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     counted = docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else docs
     return counted.select(*(F.col(f"`{c}`") for c in columns))
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Documents pass to Python in batches of BATCH_BYTES, not of 10,000 rows, whose buffers an executor would hold several times over."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     return quality.keep_drawn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     return _counted(lines.dedup_lines(docs, min_docs=10, min_chars=1, keep="first"), docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     return ngram_join.keep_one(docs, shingle=5, percent=80)
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     return _counted(substr.dedup_substrings(docs, window=35, separator="original"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
