@@ -12,6 +12,7 @@ other, first in order; keys shorter than min_chars are never dropped. Rows, thei
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from functools import partial
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marigold.llm import bloom
-from marigold.llm.common import SPACES
+from marigold.llm.common import SPACES, slices
 from marigold.lineage import written
 
 RESULT = "line_dedup"
@@ -64,7 +65,7 @@ def _hashes(batches: Iterator[pa.RecordBatch], min_chars: int, within: bool) ->
 
 def _suspects(batches: Iterator[pa.RecordBatch], twice: Broadcast, min_chars: int) -> Iterator[pa.RecordBatch]:
     test = twice.value
-    for batch in batches:
+    for batch in itertools.chain.from_iterable(map(slices, batches)):
         ids, hashes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
         keys, rows, lines = [], [], []
         held = [_document_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", min_chars) for x in texts]
