@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marigold.llm.common import mix, release
+from marigold.llm.common import mix, tidy
 
 SEGMENT_BITS, MAX_SEGMENTS, PROBES, BITS_PER_HASH = 1 << 20, 1024, 4, 16
 #: Distinct hashes that a map task holds before it passes them on.
@@ -78,8 +78,8 @@ def _passed_on(parts: list[np.ndarray], segments: int) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["segment", "once", "again"])
 
 
+@tidy
 def _hashed(batches: Iterator[pa.RecordBatch], hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], segments: int) -> Iterator[pa.RecordBatch]:
-    release()  # what an earlier task of this worker left
     held, n = [], 0
     for part in hashes(batches):
         held.append(part)
@@ -91,8 +91,8 @@ def _hashed(batches: Iterator[pa.RecordBatch], hashes: Callable[[Iterator[pa.Rec
         yield from _passed_on(held, segments)
 
 
+@tidy
 def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release()
     filters: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         for segment, once, again in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):

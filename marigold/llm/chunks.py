@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 
-from marigold.llm.common import buffers, release, slices
+from marigold.llm.common import buffers, slices, tidy
 
 CHUNK_BYTES, LEVEL = 4 << 20, 6
 #: Buckets to which chunks send what they ask, up to FAN_BYTES of text; beyond, as many more as the root of the size.
@@ -33,9 +33,9 @@ def spread(content: bytes | pa.Buffer) -> bytes:
     return zstandard.ZstdDecompressor().decompress(content)
 
 
+@tidy
 def packed(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Rows as chunks of about `limit` bytes of text; a longer document is a chunk of its own."""
-    release()  # what an earlier task of this worker left
     part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
 
     def chunk() -> pa.RecordBatch:

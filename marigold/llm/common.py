@@ -7,7 +7,8 @@ object is made per word. All arithmetic wraps modulo 2**64.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,21 @@ def release() -> None:
         _TRIM(0)
 
 
+def tidy(step: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A step over batches that gives memory back before it begins and when it ends: a worker keeps, also while it is idle, what its
+    last task left, and a stage with two steps in a row has twice as many workers."""
+
+    @functools.wraps(step)
+    def run(*args, **kwargs):
+        release()
+        try:
+            yield from step(*args, **kwargs)
+        finally:
+            release()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, which spreads every bit over all 64."""
     x = x ^ (x >> np.uint64(30))

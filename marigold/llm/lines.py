@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marigold.llm import bloom
-from marigold.llm.common import SPACES, slices
+from marigold.llm.common import SPACES, slices, tidy
 from marigold.lineage import written
 
 RESULT = "line_dedup"
@@ -63,6 +63,7 @@ def _hashes(batches: Iterator[pa.RecordBatch], min_chars: int, within: bool) ->
             yield np.repeat(h, [min(2, len(x)) for x in places.values()]) if within and len(h) else h
 
 
+@tidy
 def _suspects(batches: Iterator[pa.RecordBatch], twice: Broadcast, min_chars: int) -> Iterator[pa.RecordBatch]:
     test = twice.value
     for batch in itertools.chain.from_iterable(map(slices, batches)):
@@ -83,6 +84,7 @@ def _suspects(batches: Iterator[pa.RecordBatch], twice: Broadcast, min_chars: in
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([ids[i] for i in rows], pa.int64()), pa.array([hashes[i] for i in rows], pa.int64()), pa.array(lines, pa.list_(pa.int32()))], ["key", "doc_id", "h", "lines"])
 
 
+@tidy
 def _kept(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
     """Replaces the text by its kept lines; the last column, dropped line numbers, becomes the result struct."""
     for batch in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marigold.llm import bloom, sketch
-from marigold.llm.common import buffers, gram_hashes, mix, release, slices, word_hashes, word_spans
+from marigold.llm.common import buffers, gram_hashes, mix, release, slices, tidy, word_hashes, word_spans
 from marigold.operators.graph import connected_components
 from marigold.lineage import dropped, written
 
@@ -97,6 +97,7 @@ def _digest(*parts: np.ndarray) -> bytes:
     return h.digest()
 
 
+@tidy
 def _described(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, frequencies: Broadcast, twice: Broadcast) -> Iterator[pa.RecordBatch]:
     """Per document: size and digest of the set, number of the group with this prefix and size, and the suspected prefix shingles,
     each with its place in the prefix."""
@@ -120,6 +121,7 @@ def size_class(n: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(n) / (np.log(100 / percent) * (1 + 1e-9) + 1e-9)).astype(np.int64)
 
 
+@tidy
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each suspected prefix shingle of a group: (token, g, n, at, hot), from rows (g, n, hot, prefix)."""
     for batch in batches:
@@ -175,6 +177,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(g[x], g[y])), pa.array(np.maximum(g[x], g[y])), pa.array(least, pa.int32()), pa.array(room, pa.int32())], ["a", "b", "need", "room"])
 
 
+@tidy
 def _wanted(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
     """Texts (h, text) whose hash may be a candidate's; of equal ones that meet in a task, one."""
     seen: set[int] = set()
@@ -188,6 +191,7 @@ def _wanted(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.R
         yield batch.take(pa.array(keep, pa.int64()))
 
 
+@tidy
 def _expanded(batches: Iterator[pa.RecordBatch], shingle: int, frequencies: Broadcast) -> Iterator[pa.RecordBatch]:
     """The whole sets of candidate classes, in the global order; of equal texts that meet in a partition, one."""
     seen: set[bytes] = set()

@@ -10,20 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from marigold.llm.chunks import spread, squeezed
-from marigold.llm.common import release
+from marigold.llm.common import tidy
 
 SCHEMA = "part int, counts binary"
 
 
+@tidy
 def _counted(batches: Iterator[pa.RecordBatch], counts: Callable[[Iterator[pa.RecordBatch]], np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
     """One row for each part of the partition's table that is not all zeros."""
-    release()  # what an earlier task of this worker left
     rows = [(i, squeezed(c.tobytes())) for i, c in enumerate(np.split(counts(batches).reshape(-1).astype(np.uint32, copy=False), parts)) if c.any()]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "counts"])
 
 
+@tidy
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release()
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

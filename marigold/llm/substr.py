@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marigold.llm import bloom, chunks, sketch
-from marigold.llm.common import buffers, constants, gram_hashes, mix, release, slices, within_rows, word_hashes, word_spans
+from marigold.llm.common import buffers, constants, gram_hashes, mix, release, slices, tidy, within_rows, word_hashes, word_spans
 from marigold.llm.pretokens import gather
 
 BLOCK, GROUP, SKETCH = 7, 1 << 19, 1 << 16
@@ -157,6 +157,7 @@ class Suffixes:
         self.edges = np.searchsorted(group[self.order], np.arange(groups + 1))
 
 
+@tidy
 def _sent(batches: Iterator[pa.RecordBatch], window: int, twice: Broadcast, places: Broadcast, groups: int) -> Iterator[pa.RecordBatch]:
     """A chunk's suffixes, one row per group: paths, and which occur several times in the chunk."""
     for batch in batches:
