@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marigold.functions import vectors
+from marigold.operators import tree_clusters
 from marigold.operators.stats import dimension_mode
 
-#: Cluster centres that the driver holds.
+#: Cluster centres that the driver holds; for more, a tree of clusters.
 MAX_CENTRES = 10_000
 
 
@@ -65,15 +66,18 @@ def silhouette_scan(df: DataFrame, ks: list[int], *, vector_col: str = "embeddin
     return df.sparkSession.createDataFrame([(k, s, k == top) for k, s in scores], "k int, silhouette double, best boolean")
 
 
-def _ranked(df: DataFrame, k: int, vector_col: str, id_col: str, seed: int) -> DataFrame:
-    """Clusters with each row's rank by distance to its centre, and the cluster's size."""
+def _clustered(df: DataFrame, k: int, vector_col: str, seed: int) -> DataFrame:
+    """df with `cluster` and the `distance` to its centre; beyond MAX_CENTRES by a tree of clusters, whose centres are a table."""
     if k > MAX_CENTRES:
-        raise ValueError(f"{k} clusters; at most {MAX_CENTRES}, which the driver can hold: reduce larger tables in parts")
+        return tree_clusters.tree_kmeans(df, k, vector_col=vector_col, seed=seed)[0]
     clustered, centres = kmeans(df, k, vector_col=vector_col, cosine=False, seed=seed)
     table = df.sparkSession.createDataFrame(list(enumerate(centres)), "cluster int, _centre array<double>")
-    far = clustered.join(table, "cluster").withColumn("distance", vectors.squared_distance(F.col(vector_col), F.col("_centre"))).drop("_centre")
-    w = Window.partitionBy("cluster")
-    return far.withColumn("rank", F.row_number().over(w.orderBy("distance", id_col))).withColumn("size", F.count("*").over(w))
+    return clustered.join(table, "cluster").withColumn("distance", vectors.squared_distance(F.col(vector_col), F.col("_centre"))).drop("_centre")
+
+
+def _closest(far: DataFrame, columns: list[str], id_col: str) -> DataFrame:
+    """(cluster, size, row): the row closest to each centre, ties to the smaller id; combined before the shuffle, whatever a cluster's size."""
+    return far.groupBy("cluster").agg(F.count("*").alias("size"), F.min_by(F.struct(*columns), F.struct("distance", id_col)).alias("row"))
 
 
 def reduce_near_duplicates(df: DataFrame, threshold: float = 0.85, *, min_size: int = 2, vector_col: str = "embedding", id_col: str = "vec_id", seed: int = 42) -> DataFrame:
@@ -82,7 +86,12 @@ def reduce_near_duplicates(df: DataFrame, threshold: float = 0.85, *, min_size:
     k = reduced_k(df.count(), threshold)
     if k < 1:
         return df
-    return _ranked(df, k, vector_col, id_col, seed).where((F.col("size") < min_size) | (F.col("rank") == 1)).select(*df.columns)
+    far = _clustered(df, k, vector_col, seed)
+    closest = _closest(far, df.columns, id_col)
+    if min_size <= 2:
+        return closest.select("row.*")
+    small = far.join(closest.where(F.col("size") < min_size).select("cluster"), "cluster", "left_semi")
+    return closest.where(F.col("size") >= min_size).select("row.*").unionAll(small.select(*df.columns))
 
 
 def reduced_k(n: int, threshold: float) -> int:
@@ -94,7 +103,7 @@ def decimate(df: DataFrame, target: int, *, vector_col: str = "embedding", id_co
     """`target` representatives: the row closest to each of `target` centres."""
     if df.count() <= target:
         return df
-    return _ranked(df, target, vector_col, id_col, seed).where("rank = 1").select(*df.columns)
+    return _closest(_clustered(df, target, vector_col, seed), df.columns, id_col).select("row.*")
 
 
 def cluster_profile(clustered: DataFrame, axis: str, id_col: str, samples: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marigold.functions import geometry
-from marigold.operators import ml
+from marigold.operators import ml, soft_types, tree_clusters
 from marigold.registry import query, table
 
 
@@ -29,6 +29,36 @@ def kmeans_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.cluster_profile(clustered, "label", "vec_id").select("cluster", "size", F.to_json("axes").alias("axes"), "samples")
 
 
+@query("""
+WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y))) + 1e-12)) AS x FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT label, i, avg(c) AS m FROM (SELECT label, unnest(range(len(x))) AS i, unnest(x) AS c FROM u WHERE label IS NOT NULL) GROUP BY ALL),
+c AS (SELECT label, list(m / n ORDER BY i) AS m FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY label)) AS n FROM p) GROUP BY label),
+s AS (SELECT vec_id, c.label::VARCHAR AS label, exp(8 * list_sum(list_transform(list_zip(x, m), lambda z: z[1] * z[2]))) AS e FROM u, c),
+r AS (SELECT vec_id, label, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM s)
+SELECT vec_id, label, round(p, 6) AS probability FROM r
+""")
+def soft_types_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's probability of each label, by its prototype."""
+    v = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
+    typed = soft_types.typed(v, soft_types.start(v, concentration=8.0))
+    return typed.select("vec_id", F.inline("types")).select("vec_id", "label", F.round("probability", 6).alias("probability"))
+
+
+@query()
+def soft_types_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types after five rounds of expectation maximisation; tests hold rounds against numpy."""
+    v = table(spark, sf_dir, "embeddings")
+    return soft_types.typed(v, soft_types.fit(v, soft_types.start(v, concentration=8.0), rounds=5)).select("vec_id", "type", "entropy")
+
+
+@query("SELECT count(*) AS rows, least(200, count(DISTINCT embedding)) AS clusters, true AS whole FROM embeddings WHERE embedding IS NOT NULL")
+def tree_of_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of 200 clusters: every vector in one, sizes as the table of centres has them."""
+    rows, centres = tree_clusters.tree_kmeans(table(spark, sf_dir, "embeddings"), 200, rounds=2)
+    counted = rows.groupBy("cluster").agg(F.count("*").alias("n")).join(centres, "cluster")
+    return counted.agg(F.sum("n").alias("rows"), F.count("*").alias("clusters"), F.coalesce(F.bool_and(F.col("n") == F.col("size")), F.lit(True)).alias("whole"))
+
+
 def scanned_k(n: int) -> list[int]:
     """The numbers of clusters that the silhouette scan of n vectors tries."""
     return list(range(50, min(200, n // 2) + 1, 25)) or [2]

@@ -260,8 +260,6 @@ def test_reductions(spark, sf):
     twice = v.unionByName(v.withColumn("vec_id", F.col("vec_id") + 100_000))
     kept = ml.reduce_near_duplicates(twice, 0.85).select("vec_id").collect()
     assert 0 < len(kept) <= ml.reduced_k(twice.count(), 0.85)
-    with pytest.raises(ValueError, match="clusters"):
-        ml.decimate(v.crossJoin(spark.range(30)).select((F.col("vec_id") * 30 + F.col("id")).alias("vec_id"), "embedding"), ml.MAX_CENTRES + 1)
 
 
 def test_hash_buckets_of_any_dimension(spark):
