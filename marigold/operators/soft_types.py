@@ -11,6 +11,7 @@ part in the fit. The number of types is bounded by MAX_TYPES. A type that no vec
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,15 @@ class SoftTypes:
         return spark.createDataFrame([([(str(n), m, math.log(w) if w > 0 else -1e300) for n, m, w in zip(self.labels, self.means, self.weights, strict=True)],)], kind)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: a column that a lambda refers to would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def _direction(vector: Column, d: int) -> Column:
     usable = vector.isNotNull() & (F.size(vector) == d) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (vectors.norm(vector) > 0)
     return F.when(usable, vectors.unit(vector))
@@ -46,10 +56,11 @@ def _leaning(df: DataFrame, fitted: SoftTypes, vector_col: str) -> DataFrame:
     d = len(fitted.means[0])
     table = F.broadcast(fitted.table(df.sparkSession))  # one row of at most MAX_TYPES means
     rows = df.withColumn("_x", _direction(F.col(vector_col), d)).join(table)
-    rows = rows.withColumn("_s", F.when(F.col("_x").isNotNull(), F.transform("_types", lambda t: t["bias"] + fitted.concentration * vectors.dot(F.col("_x"), t["mean"]))))
-    rows = rows.withColumn("_m", F.array_max("_s")).withColumn("_e", F.transform("_s", lambda s: F.exp(s - F.col("_m"))))
-    rows = rows.withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
-    return rows.withColumn("_r", F.transform("_e", lambda e: e / F.col("_z"))).withColumn("_l", F.col("_m") + F.log("_z")).drop("_s", "_e", "_m", "_z")
+    scores = lambda x: F.transform("_types", lambda t: t["bias"] + fitted.concentration * vectors.dot(x, t["mean"]))
+    shares = lambda e, m: _let(_total(e), lambda z: F.struct(F.transform(e, lambda v: v / z).alias("r"), (m + F.log(z)).alias("l")))
+    raised = lambda s: _let(F.array_max(s), lambda m: _let(F.transform(s, lambda v: F.exp(v - m)), lambda e: shares(e, m)))
+    lean = _let(F.col("_x"), lambda x: F.when(x.isNotNull(), _let(scores(x), raised)))
+    return rows.withColumn("_lean", lean).select("*", F.col("_lean.r").alias("_r"), F.col("_lean.l").alias("_l")).drop("_lean")
 
 
 def start(df: DataFrame, *, concentration: float, vector_col: str = "embedding", label_col: str = "label") -> SoftTypes:
@@ -87,8 +98,8 @@ def fit(df: DataFrame, begun: SoftTypes, *, rounds: int = 10, vector_col: str =
 def typed(df: DataFrame, fitted: SoftTypes, *, vector_col: str = "embedding", temperature: float = 1.0) -> DataFrame:
     """df with `types`, an array of (label, probability) in the order of labels, `type`, the most probable (ties to the first), and
     `entropy` in nats. Probabilities are those of the mixture to the power of 1 / temperature, normalised."""
-    rows = _leaning(df, fitted, vector_col).withColumn("_r", F.transform("_r", lambda r: F.pow(r, 1 / temperature)))
-    rows = rows.withColumn("_z", F.aggregate("_r", F.lit(0.0), lambda a, x: a + x)).withColumn("_r", F.transform("_r", lambda r: r / F.col("_z")))
+    power = lambda r: F.transform(r, lambda v: F.pow(v, 1 / temperature))
+    rows = _leaning(df, fitted, vector_col).withColumn("_r", _let(power(F.col("_r")), lambda r: _let(_total(r), lambda z: F.transform(r, lambda v: v / z))))
     rows = rows.withColumn("types", F.zip_with("_types", "_r", lambda t, r: F.struct(t["label"].alias("label"), r.alias("probability"))))
     rows = rows.withColumn("types", F.when(F.col("_r").isNotNull(), F.col("types")))
     top = F.get(F.col("types"), F.array_position("_r", F.array_max("_r")).cast("int") - 1)["label"]
