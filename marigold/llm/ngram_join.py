@@ -225,6 +225,8 @@ def products(sets: list[np.ndarray], m: int, square: bool) -> np.ndarray:
         x = np.zeros((len(sets), min(COLUMNS, total - c)), np.float32)
         x[rows[a:b], columns[a:b] - c] = 1
         common += x[:m] @ (x if square else x[m:]).T
+    if square:  # what a set has alone is common to it and itself
+        np.fill_diagonal(common, sizes[:m])
     return common.astype(np.int64)
 
 

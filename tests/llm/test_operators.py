@@ -415,6 +415,22 @@ def test_links_between_blocks():
         assert sorted(map(sorted, got)) == sorted([j, i] for i, j in want if j < half <= i)
 
 
+def test_links_within_one_group(spark):
+    """Sets of one size and prefix that share the prefix with no other group: they differ only in shingles that other texts hold often."""
+    n, percent = 40, 90
+    prefix, rest = np.arange(5, dtype=np.uint64), np.arange(100, 100 + n - 5, dtype=np.uint64)
+    sets = [np.concatenate([prefix, rest]), np.concatenate([prefix, rest[:-1], np.array([500], np.uint64)])]
+    assert ngram_join.links_between(sets, np.arange(2), None, percent).tolist() == [[0, 1]]
+    ends = ["p q r s", "p q t u"]
+    copies = [" ".join(f"a{i}" for i in range(60)) + " " + end for end in ends]
+    mixed = [f"a58 a59 {' '.join(end.split()[:k])} m{i}" for i in range(9) for end in ends for k in (2, 3, 4)]
+    frequent = [f"a59 {end} z{i}" for i in range(9) for end in ends]
+    texts = [*copies, *mixed, *frequent]
+    got = ngram_join.linked_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {g.doc_id: g.component_id for g in got} == {i: c for i, c in enumerate(T.components(texts, 3, 90))}
+    assert [g.component_id for g in sorted(got, key=lambda g: g.doc_id)][:2] == [0, 0]
+
+
 def test_keep_one(spark, docs, rows, empty):
     """As multisets: rows without words all stay, and one row of each component, which ties do not leave to chance."""
     roots, want = T.components([r.text for r in rows], 5, 80), Counter()
