@@ -56,7 +56,7 @@ class Words:
             s = pretokens.spaced_starts(points, point_rows)
             begin = at[s]
             stop = np.append(begin[1:], b - a)
-            hashes.append(span_hashes(_CODES[part], begin, stop))
+            hashes.append(span_hashes(part, begin, stop, _CODES))
             starts.append(begin + a)
             lengths.append((stop - begin).astype(np.int32))
             counts.append(np.diff(np.searchsorted(s, point_rows)))

@@ -1,7 +1,7 @@
 """What the operators of this subpackage share: Arrow text buffers, word hashes and n-grams.
 
-Hashes of words are polynomials over per-byte random 64-bit codes, taken from prefix sums over a whole buffer, so that no Python
-object is made per word. All arithmetic wraps modulo 2**64.
+Hashes of words are sums of per-byte random 64-bit codes, each times a random multiplier of its place in the word, taken from prefix
+sums in steps, so that no Python object is made per word. All arithmetic wraps modulo 2**64.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ if (_set := getattr(ctypes.CDLL(None), "mallopt", None)) is not None:
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that a vectorised step handles at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Values that are hashed at once.
+STEP = 1 << 16
+#: What a worker keeps between tasks of one module: how to let it go, by the module's name. Passes of other modules do so first.
+KEPT: dict[str, Callable[[], None]] = {}
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +67,9 @@ def tidy(step: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterato
 
     @functools.wraps(step)
     def run(*args, **kwargs):
+        for module, forget in KEPT.items():
+            if module != step.__module__:
+                forget()
         release()
         try:
             yield from step(*args, **kwargs)
@@ -87,36 +94,35 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED27))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 to base**(n-1); kept, and grown by doubling."""
-    held = _powers.get(base)
-    if held is None or len(held) < n:
-        held = np.ones(1, np.uint64) if held is None else held
-        while len(held) < n:
-            step = np.uint64(pow(base, len(held), 1 << 64))
-            held = np.concatenate([held, held * step])
-        if len(held) <= 4 * SLICE_BYTES:
-            _powers[base] = held
-    return held[:n]
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of `values` (64-bit codes), lengths included."""
-    n = len(values)
-    if not n or not len(starts):
-        return np.zeros(len(starts), np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(_BASE, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(_INVERSE, n)[np.minimum(starts, n - 1)]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_KEYS = constants(1 << 12, 0x2545F491)
+
+
+def _keys(at: np.ndarray) -> np.ndarray:
+    """A random odd 64-bit multiplier for each place in a span."""
+    if not len(at) or at.max() < len(_KEYS):
+        return _KEYS[at]
+    return mix((at + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F491)) | np.uint64(1)
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span of `values`, lengths included: 64-bit codes, or with `codes` numbers of such. Every place of a span has
+    a multiplier of its own. Steps of STEP values, so that what a step needs stays small however long the buffer and its spans are."""
+    lengths = ends - starts
+    edges = np.concatenate([[0], np.cumsum(lengths)])
+    out = np.zeros(len(starts), np.uint64)
+    for a in range(0, int(edges[-1]), STEP):
+        b = min(a + STEP, int(edges[-1]))
+        i, j = int(np.searchsorted(edges, a, "right")) - 1, int(np.searchsorted(edges, b, "left"))
+        cuts = np.clip(edges[i : j + 1], a, b)
+        at = np.arange(a, b) - np.repeat(edges[i:j], np.diff(cuts))
+        part = values[at + np.repeat(starts[i:j], np.diff(cuts))]
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum((part if codes is None else codes[part]) * _keys(at), out=sums[1:])
+        out[i:j] += np.diff(sums[cuts - a])
+    return mix(out + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def byte_set(members: bytes) -> np.ndarray:
@@ -148,7 +154,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word; with lower, A-Z count as a-z."""
-    return span_hashes((_CODES[_LOWER] if lower else _CODES)[data], starts, ends)
+    return span_hashes(data, starts, ends, _CODES[_LOWER] if lower else _CODES)
 
 
 def gram_hashes(words: np.ndarray, n: int, seed: int) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marigold.llm import pretokens
-from marigold.llm.common import mix, slices, span_hashes, tidy
+from marigold.llm.common import KEPT, mix, slices, span_hashes, tidy
 from marigold.lineage import written
 
 WINDOW, BINS, DEPTH, END_ID = 2048, 128, 3, 1
@@ -112,6 +112,9 @@ def _cache(tokenizer_json: str) -> WordCache:
     return WordCache(tokenizer_json)
 
 
+KEPT[__name__] = _cache.cache_clear
+
+
 @tidy
 def _tokenized(batches: Iterator[pa.RecordBatch], tokenizer: Broadcast) -> Iterator[pa.RecordBatch]:
     cache, part, at = _cache(tokenizer.value), TaskContext.get().partitionId(), 0
