@@ -34,6 +34,11 @@ def test_vectors_meet_in_blocks_and_not_row_by_row(spark, sf):
     assert "CartesianProduct" in plan and "NestedLoop" not in plan and "zip_with" not in plan
 
 
+def test_labels_are_inferred_from_blocks(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    assert "NestedLoop" not in search.infer_label(v, v.where("vec_id % 20 = 0"), 12)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rounding_is_the_one_of_sql(spark):
     x = np.array([0.1234565, -0.1234565, 2.5e-6, 0.3000005, -0.0000001, 1.0, 0.9999995, 0.0])
     want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
