@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marigold.operators import near_vectors
 
@@ -43,6 +44,23 @@ def test_pairs_equal_all_pairs(spark, threshold, monkeypatch):
         assert n == sum(c in (a, b) for a, b, _ in got), i
 
 
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_counts_equal_the_pairs_and_nothing_is_shuffled_by_pair(spark, monkeypatch, ids):
+    monkeypatch.setattr(near_vectors, "BLOCK_VALUES", 256)
+    monkeypatch.setattr(near_vectors, "STEP", 5)
+    rnd = np.random.default_rng(8)
+    x = [*rnd.normal(size=(200, 6)), *(np.eye(6)[i % 6] + rnd.normal(size=6) * 0.01 for i in range(120))]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9, x[10].tolist()), (9, x[11].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select(F.col("vec_id").cast(ids).alias("vec_id"), "embedding").repartition(3)
+    held = near_vectors.classes(df)
+    for threshold in (0.3, 0.95):
+        pairs = near_vectors.near_pairs(held, threshold)
+        got, want = (sorted(map(tuple, d.collect())) for d in (near_vectors.near_counts(held, threshold), near_vectors.links(held, pairs)))
+        assert got == want and sum(r[2] for r in got)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan  # vectors are not sent once for each block that they meet
+
+
 def test_no_rows_and_bad_thresholds(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert near_vectors.near_pairs(near_vectors.classes(none), 0.5).collect() == []
