@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by an inverted file of product-quantised codes.
 
-Fit: coarse centroids, by cosine k-means, and codebooks of residuals come from a sample whose size is a parameter (the rows of smallest
+Fit: coarse centroids, by cosine k-means in one task, and codebooks of residuals come from a sample whose size is a parameter (the rows of smallest
 hash of their id), so the driver holds a model of bounded size whatever the table's. How many lists a query has to probe follows from
 the sample, too: the fewest that hold a stated share of the exact neighbours of some sample rows. Vectors without clusters need most
 lists, clustered ones few. Build: every row is assigned to its nearest
 centroid's list and coded as one byte for each part of its residual. The index is two written tables with a folder for each list: codes
-in blocks, and rows with their exact vectors. Search: a query scans the codes of its nearest lists alone (partition pruning), in blocks;
-the best candidates' exact vectors give the scores.
+in blocks, and rows with their exact vectors. Search: a query scans the codes of its nearest lists alone (partition pruning), in blocks, which
+meet blocks of queries by a Cartesian product: codes are decoded and multiplied, and a task passes on a query's best ones alone. The best
+candidates' exact vectors give the scores.
 
 A list may hold a third of all rows: rows are range-partitioned by list and hash, so that many tasks write and scan its blocks.
 
@@ -28,15 +29,16 @@ from pyspark.sql import functions as F
 
 from marigold.functions import vectors
 from marigold.lineage import dropped, written
-from marigold.operators import ml
+from marigold.operators import stats
+from marigold.operators.vector_blocks import matrix, packed
 from marigold.sources.readers import parquet_or_empty
 
 #: Rows that fit the model at most, lists at most, and rows that one block of codes holds.
 SAMPLE, MOST_LISTS, BLOCK = 65_536, 2048, 4096
 #: Sample rows among which neighbours are sought for the number of probes, and how many of them ask.
 TUNED, ASKING = 8192, 256
-#: Queries at most in one row that meets a block.
-PACK = 256
+#: Queries at most in a block that meets blocks of codes.
+PACK = 2048
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -92,8 +94,17 @@ def _fine(v: Column, dimension: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, n: int, id_col: str) -> DataFrame:
-    """At most n rows, those of smallest hash of their id: the same ones in any run."""
-    return df.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(n)
+    """At most n rows, those of smallest hash of their id: the same ones in any run. Only the rows of the bucket of hashes where the n-th
+    one falls are sorted."""
+    hashed = F.xxhash64(F.col(id_col))
+    bucket = F.shiftright(hashed, 54)
+    sizes, taken = dict(map(tuple, df.groupBy(bucket.alias("b")).agg(F.count("*")).collect())), 0  # 1024 buckets at most
+    for b in sorted(sizes):
+        if taken + sizes[b] > n:
+            rest = df.where(bucket == b).orderBy(hashed, id_col).limit(n - taken)
+            return df.where(bucket < b).unionByName(rest) if taken else rest
+        taken += sizes[b]
+    return df
 
 
 def probes_for(model: Model, unit: np.ndarray, share: float, k: int = 10) -> int:
@@ -109,21 +120,38 @@ def probes_for(model: Model, unit: np.ndarray, share: float, k: int = 10) -> int
     return int(np.sort(place.reshape(-1))[math.ceil(share * place.size) - 1]) + 1
 
 
-def fit(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", lists: int | None = None, parts: int = 16, sample: int = SAMPLE, share: float = 0.97, seed: int = 42) -> Model:
-    """The model of a table: lists defaults to the root of the number of rows, within 1 and MOST_LISTS; share: see probes_for()."""
-    mode = ml.dimension_mode(df, vector_col, "larger").first()
+def _centres(batches: Iterator[pa.RecordBatch], k: int, seed: int, rounds: int = 20) -> Iterator[pa.RecordBatch]:
+    """k centres of unit vectors by cosine, from one task's rows; a centre without rows stays where it is."""
+    x = np.concatenate([units(b.column(0)) for b in batches if b.num_rows])
+    centres = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)] if k > 1 else x.mean(0, keepdims=True)
+    for _ in range(rounds if k > 1 else 0):
+        sums, n = np.zeros(centres.shape), np.zeros(len(centres), np.int64)
+        for a in range(0, len(x), 1024):
+            own = (x[a : a + 1024] @ centres.T).argmax(1)
+            np.add.at(sums, own, x[a : a + 1024])
+            n += np.bincount(own, minlength=len(centres))
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where((n[:, None] > 0) & (length > 0), sums / np.maximum(length, 1e-12), centres).astype(np.float32)
+    yield pa.RecordBatch.from_arrays([pa.array([centres.astype("<f4").tobytes()], pa.binary())], ["centres"])
+
+
+def fit(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", lists: int | None = None, parts: int | None = None, sample: int = SAMPLE, share: float = 0.97, seed: int = 42) -> Model:
+    """The model of a table: lists defaults to the root of the number of rows, within 1 and MOST_LISTS; parts to a
+    byte for two components, 16 at least; share: see probes_for()."""
+    mode = stats.dimension_mode(df, vector_col, "larger").first()
     if mode is None:
         return Model(np.zeros((1, 1), np.float32), np.zeros((1, 1, 1), np.float32))
     dimension = int(mode["dimension"])
-    rows = df.where(_fine(F.col(vector_col), dimension)).select(F.col(id_col).alias("id"), vectors.unit(F.col(vector_col)).alias("v"))
+    parts = parts or max(16, -(-dimension // 2))
+    rows = df.where(_fine(F.col(vector_col), dimension)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     n = rows.count()
-    taken = written(bounded_sample(rows.where(vectors.norm(F.col("v")) > 0.5), sample, "id"), "sample")
+    taken = written(bounded_sample(rows.where(vectors.norm(F.col("v")) > 1e-12), sample, "id"), "sample")  # a unit vector as a column would take its norm anew for each component
     held = min(n, sample)
     k = max(1, min(lists or math.isqrt(n), MOST_LISTS, held))
     if taken.isEmpty():
         return Model(np.zeros((1, dimension), np.float32), np.zeros((parts, 1, -(-dimension // parts)), np.float32))
-    _, found = ml.kmeans(taken, k, vector_col="v", seed=seed, rounds=20) if k > 1 else (None, [taken.agg(*(F.avg(F.col("v")[i]) for i in range(dimension))).first()])
-    coarse = Model(np.array([list(c) for c in found], np.float32), np.zeros((parts, 1, -(-dimension // parts)), np.float32))
+    found = taken.select("v").coalesce(1).mapInArrow(partial(_centres, k=k, seed=seed), "centres binary").first()  # of the sample, whose size is bounded
+    coarse = Model(np.frombuffer(found.centres, "<f4").reshape(-1, dimension), np.zeros((parts, 1, -(-dimension // parts)), np.float32))
 
     def residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,7 +167,8 @@ def fit(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding",
 
     books = taken.select("v").mapInArrow(residuals, "part int, v array<float>").groupBy("part").applyInArrow(book, "part int, book binary").collect()  # one small book for each part
     width = coarse.codebooks.shape[2]
-    some = np.array([r.v for r in bounded_sample(taken, TUNED, "id").select("v").collect()], np.float32)  # TUNED rows at most
+    some = np.array([r.v for r in bounded_sample(taken, TUNED, "id").select("v").collect()])  # TUNED rows at most
+    some = (some / np.linalg.norm(some, axis=1, keepdims=True)).astype(np.float32)
     dropped(taken)
     return Model(coarse.centroids, np.stack([np.frombuffer(r.book, "<f4").reshape(-1, width) for r in sorted(books)]), probes_for(coarse, some, share))
 
@@ -207,32 +236,77 @@ def add(index: Index, df: DataFrame, *, id_col: str = "vec_id", vector_col: str
     return index
 
 
-def _probes(batches: Iterator[pa.RecordBatch], model: Model, probes: int) -> Iterator[pa.RecordBatch]:
-    """(list, q, v): a row for each of a query's nearest lists."""
-    for b in batches:
-        x = units(b.column(1))
-        near = np.argsort(np.square(model.centroids).sum(1) - 2 * x @ model.centroids.T, axis=1, kind="stable")[:, :probes]
-        row = np.repeat(np.arange(len(x)), near.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1).astype(np.int32)), b.column(0).take(pa.array(row)), pa.array(list(x[row]), pa.list_(pa.float32()))], ["list", "q", "v"])
+def _order(model: Model, x: np.ndarray, probes: int) -> np.ndarray:
+    """The nearest lists of each query, nearest first."""
+    return np.argsort(np.square(model.centroids).sum(1) - 2 * x @ model.centroids.T, axis=1, kind="stable")[:, :probes]
 
 
-def _scanned(batches: Iterator[pa.RecordBatch], model: Model, few: int) -> Iterator[pa.RecordBatch]:
-    """(q, list, part, at, near): the best `few` codes of a block for each query that meets it."""
+def _probes(batches: Iterator[pa.RecordBatch], model: Model, probes: int) -> Iterator[pa.RecordBatch]:
+    """(list): those that any query of the task probes."""
+    wanted = np.zeros(len(model.centroids), bool)
+    for b in batches:
+        for a in range(0, b.num_rows, 1024):
+            wanted[_order(model, units(b.column(0).slice(a, 1024)), probes)] = True
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(wanted).astype(np.int32))], ["list"])
+
+
+class _Best:
+    """The `few` best codes of each query of a block among the lists that it probes, of the blocks of codes met so far."""
+
+    def __init__(self, q: pa.Array, x: np.ndarray, model: Model, probes: int, few: int) -> None:
+        self.q, self.model, self.few = q, model, few
+        self.x = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        self.probed = np.zeros((len(x), len(model.centroids)), bool)
+        self.probed[np.arange(len(x))[:, None], _order(model, self.x, probes)] = True
+        self.least = np.full(len(x), -np.inf, np.float32)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def scan(self, own: int, part: int, ats: np.ndarray, codes: np.ndarray) -> None:
+        who = np.flatnonzero(self.probed[:, own])
+        if not len(who):
+            return
+        rest = np.concatenate([book[codes[:, j]] for j, book in enumerate(self.model.codebooks)], axis=1)[:, : self.x.shape[1]]
+        near = self.x[who] @ (self.model.centroids[own] + rest).T
+        at = np.flatnonzero(near >= self.least[who][:, None])
+        row, place = who[at // len(ats)], ats[at % len(ats)]
+        self.held.append((row, np.full(len(row), own, np.int32), np.full(len(row), part, np.int32), place, near.reshape(-1)[at]))
+        self.size += len(row)
+        if self.size > max(1 << 19, 3 * self.few * len(self.x)):
+            self.trim()
+
+    def trim(self) -> tuple[np.ndarray, ...]:
+        row, lists, part, at, near = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.lexsort((at, part, lists, -near, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == self.few - 1
+        self.least[row[last]] = near[order[last]]
+        kept = order[place < self.few]
+        self.held = [(row[place < self.few], *(c[kept] for c in (lists, part, at, near)))]
+        self.size = len(kept)
+        return self.held[0]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            row, *others = self.trim()
+            yield pa.RecordBatch.from_arrays([self.q.take(pa.array(row)), *map(pa.array, others)], ["q", "list", "part", "at", "near"])
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], model: Model, probes: int, few: int) -> Iterator[pa.RecordBatch]:
+    """(q, list, part, at, near): the best `few` codes of a task for each query. Blocks of one block of queries come in a row."""
+    block, best = None, None
     for b in batches:
         for i in range(b.num_rows):
-            ats, codes = np.frombuffer(b.column("ats")[i].as_buffer(), "<i8"), np.frombuffer(b.column("codes")[i].as_buffer(), np.uint8)
-            codes, own = codes.reshape(len(ats), -1), b.column("list")[i].as_py()
-            queries = b.column("queries")[i].values
-            x = np.asarray(queries.field("v").flatten()).reshape(len(queries), -1)
-            base, tables = x @ model.centroids[own], np.einsum("qjw,jcw->qjc", model.split(x), model.codebooks)
-            out = []
-            for q in range(len(x)):
-                near = base[q] + tables[q][np.arange(codes.shape[1]), codes].sum(1)
-                best = np.argpartition(-near, few - 1)[:few] if len(near) > few else np.arange(len(near))
-                out.append((np.full(len(best), q), ats[best], near[best]))
-            which, at, near = (np.concatenate(c) for c in zip(*out, strict=True))
-            n = len(which)
-            yield pa.RecordBatch.from_arrays([queries.field("q").take(pa.array(which)), pa.array(np.full(n, own, np.int32)), pa.array(np.full(n, b.column("part")[i].as_py(), np.int32)), pa.array(at), pa.array(near.astype(np.float32))], ["q", "list", "part", "at", "near"])
+            if best is None or b.column("_b")[i].as_py() != block:
+                if best is not None:
+                    yield from best.rows()
+                block, q = b.column("_b")[i].as_py(), b.column("_q")[i].values
+                best = _Best(q, matrix(b.column("_qx")[i], len(q), model.centroids.shape[1]), model, probes, few)
+            ats = np.frombuffer(b.column("ats")[i].as_buffer(), "<i8")
+            best.scan(b.column("list")[i].as_py(), b.column("part")[i].as_py(), ats, np.frombuffer(b.column("codes")[i].as_buffer(), np.uint8).reshape(len(ats), -1))
+    if best is not None:
+        yield from best.rows()
 
 
 def search(index: Index, queries: DataFrame, k: int, *, probes: int | None = None, refine: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
@@ -242,12 +316,14 @@ def search(index: Index, queries: DataFrame, k: int, *, probes: int | None = Non
     model, few = index.model, refine or 8 * k + 32
     usable = queries.where(_fine(F.col(vector_col), model.centroids.shape[1])).select(F.monotonically_increasing_id().alias("q"), F.col(id_col).alias("query_id"), F.transform(F.col(vector_col), lambda x: x.cast("float")).alias("v"))
     asked = written(usable, "queries")
-    probed = written(asked.select("q", "v").mapInArrow(partial(_probes, model=model, probes=probes or model.probes), "list int, q long, v array<float>"), "probes")
-    wanted = [r["list"] for r in probed.select("list").distinct().collect()]  # MOST_LISTS at most
-    order = Window.partitionBy("list").orderBy("q")
-    packs = probed.withColumn("pack", F.floor((F.row_number().over(order) - 1) / PACK)).groupBy("list", "pack").agg(F.collect_list(F.struct("q", "v")).alias("queries"))  # PACK at most
-    met = index.codes().where(F.col("list").isin(wanted)).join(packs, "list")
-    scanned = met.select("list", "part", "ats", "codes", "queries").mapInArrow(partial(_scanned, model=model, few=few), "q long, list int, part int, at long, near float")
+    probes = probes or model.probes
+    wanted = [r["list"] for r in asked.select("v").mapInArrow(partial(_probes, model=model, probes=probes), "list int").distinct().collect()]  # MOST_LISTS at most
+    dealt = asked.repartition(max(1, -(-asked.count() // PACK)), "q")
+    packs = packed(dealt, model.centroids.shape[1], "packs", id_col="q", vector_col="v", rows=PACK)
+    left = packs.select(F.monotonically_increasing_id().alias("_b"), F.col("ids").alias("_q"), F.col("x").alias("_qx"))
+    codes = index.codes().where(F.col("list").isin(wanted)).select("list", "part", "ats", "codes")
+    met = left.hint("shuffle_replicate_nl").crossJoin(codes.coalesce(index.spark.sparkContext.defaultParallelism))  # files of a list are small
+    scanned = met.mapInArrow(partial(_scanned, model=model, probes=probes, few=few), "q long, list int, part int, at long, near float")
     best = Window.partitionBy("q").orderBy(F.desc("near"), "list", "part", "at")
     candidates = written(scanned.withColumn("r", F.row_number().over(best)).where(F.col("r") <= few).drop("r", "near"), "candidates")
     exact = index.rows().where(F.col("list").isin(wanted)).join(candidates, ["list", "part", "at"]).join(asked.select("q", "query_id", F.col("v").alias("qv")), "q").where(~F.col("id").eqNullSafe(F.col("query_id")))

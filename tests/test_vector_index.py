@@ -33,6 +33,23 @@ def test_all_lists_and_all_candidates_are_exact(spark, sf, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, search.similar(v, asked, 5).collect()))
 
 
+def test_a_task_passes_on_a_query_s_best_codes_alone(spark, sf, tmp_path, monkeypatch):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    index, asked = built(spark, v, tmp_path / "i", lists=40), v.where("vec_id % 20 = 0")
+    seen, held = [], ann.written
+    monkeypatch.setattr(ann, "written", lambda df, name="table", **o: seen.append(df) or held(df, name, **o))
+    ann.search(index, asked, 2, probes=40, refine=5)
+    candidates = seen[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in candidates
+    rows = held(index.codes().select("list", "part", "ats", "codes").coalesce(2), "c")
+    x = np.array([r.embedding for r in asked.collect()], np.float32)
+    best = ann._Best(None, x, index.model, 40, 5)
+    for r in rows.collect():
+        codes = np.frombuffer(r.codes, np.uint8)
+        best.scan(r.list, r.part, np.frombuffer(r.ats, "<i8"), codes.reshape(len(r.ats) // 8, -1))
+    assert len(best.trim()[0]) == 5 * len(x)
+
+
 def test_edges_and_a_hot_list(spark, tmp_path):
     rnd = random.Random(4)
     same = [0.5, 0.5, 0.5, 0.5]
