@@ -94,9 +94,9 @@ def _weighed(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int) -> It
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The index as a written table, one row for each shard."""
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    counted = written(slim.mapInArrow(partial(_counted, limit=shard_bytes), _SHARD + ", counts binary, lengths binary, n_terms long"), "postings")
+    counted = written(slim.mapInArrow(partial(_counted, limit=shard_bytes), _SHARD + ", counts binary, lengths binary, n_terms long"), "postings", heavy=True)
     n_docs, n_terms = counted.agg(F.sum("n_docs"), F.sum("n_terms")).first()
-    index = written(counted.mapInArrow(partial(_weighed, n_docs=n_docs or 0, n_terms=n_terms or 1), _SHARD + ", impacts binary"), "impacts")
+    index = written(counted.mapInArrow(partial(_weighed, n_docs=n_docs or 0, n_terms=n_terms or 1), _SHARD + ", impacts binary"), "impacts", heavy=True)
     dropped(counted)
     return index
 

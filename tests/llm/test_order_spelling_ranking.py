@@ -225,3 +225,13 @@ def test_best_of_keeps_ties_by_id():
     valid = np.array([True, True, True, True, False, True, True])
     assert postings.best_of(scores, ids, valid, 3).tolist() == [4, 2, 6] and postings.best_of(scores, ids, valid, 5).tolist() == [4, 2, 6, 1, 0]
     assert postings.best_of(scores * 0, ids, valid, 3).tolist() == []
+
+
+def test_a_row_group_of_the_index_holds_few_shards(spark):
+    """Parquet's writer and reader hold a row group in memory, whatever the number of shards that a task makes."""
+    import pyarrow.parquet as pq
+
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(800)), lambda i: F.md5(F.concat_ws(" ", "id", i))), " ").alias("text"))
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in postings.build_index(docs, shard_bytes=4 << 20).inputFiles()]
+    sizes = [f.metadata.row_group(i).total_byte_size for f in files for i in range(f.num_row_groups)]
+    assert len(sizes) > 4 and max(sizes) < 48 << 20
